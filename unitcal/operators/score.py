@@ -32,20 +32,20 @@ def baseline_frame(
     threshold: float,
     epsilon: float,
     constant: float,
-    asof: str = "known",
+    last: str = "known",
 ) -> tuple[DataFrame, DataFrame]:
     """Truth with both baseline predictions per unit, and the count of dropped units.
 
-    ``units`` is the per-unit frame, ``known`` the as-of table.  Units without an as-of
+    ``units`` is the per-unit frame, ``known`` the as-of table with its column ``last``.  Units without an as-of
     value cannot be forecast: they leave the frame and are counted in the second table.
     """
     joined = units.join(known, unit, "left")
-    missing = F.col(asof).isNull()
+    missing = F.col(last).isNull()
     dropped = joined.agg(
         F.count(F.lit(1)).alias("n_units"), F.count_if(missing).alias("n_dropped")
     )
     frame = joined.filter(~missing).withColumns({
-        "pred_persistence": floored_persistence(F.col(asof), threshold, epsilon),
+        "pred_persistence": floored_persistence(F.col(last), threshold, epsilon),
         "pred_constant": F.lit(float(constant)),
     })
     return frame, dropped

@@ -105,8 +105,8 @@ def unit_frame_gaps(spark, sf):
     return frame.select("unit", "last_input_value").filter(F.col("last_input_value").isNotNull())
 
 
-@query("asof_value", f"WITH {M}, {A} SELECT * FROM a")
-def asof_value(spark, sf):
+@query("as_of_value", f"WITH {M}, {A} SELECT * FROM a")
+def as_of_value(spark, sf):
     return series.as_of(messages(spark, sf), ORDERS, CUTOFF)
 
 
