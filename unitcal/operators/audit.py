@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.functions import approximately
-from unitcal.operators.ordered import null_safe_join, quantiles
-from unitcal.operators.weights import attach_one
+from unitcal.operators.ordered import attach_one, null_safe_join, quantiles
 
 
 def expected_counts(observed: DataFrame, expected: DataFrame, key: str = "item") -> DataFrame:

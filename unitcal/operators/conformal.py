@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from unitcal.functions import inf, is_finite
 from unitcal.functions.exact import binomial_p, clopper_pearson
 from unitcal.operators.ordered import null_safe_join, quantiles, running_totals
+from unitcal.operators.resample import bootstrap_means
 
 # Fixed value: slack in the comparisons of cumulative mass.
 MASS_SLACK = 1e-12
@@ -219,6 +220,16 @@ def coverage_table(
     return out
 
 
+def coverage_with_bounds(
+    intervals: DataFrame, unit: str, by: Sequence[str], level: float = 0.95, **drawing
+) -> DataFrame:
+    """:func:`coverage_table` plus percentile bounds from resampled units."""
+    boot = bootstrap_means(
+        intervals, unit, {"share": F.col("covered").cast("int")}, by, level, **drawing
+    ).select(*by, F.col("share_lo").alias("boot_lo"), F.col("share_hi").alias("boot_hi"))
+    return null_safe_join(coverage_table(intervals, by, True, level), boot, list(by))
+
+
 def sweep(
     cal: DataFrame,
     evaluations: Mapping[str, DataFrame],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.functions import is_finite, signed_asinh
-from unitcal.operators.ordered import null_safe_join
+from unitcal.operators.ordered import null_safe_join, with_row
 from unitcal.operators.series import admissible, last_k, lateness
 from unitcal.operators.splits import SUMMARIES, require_safe_features
 from unitcal.roles import SeriesSpec
@@ -199,11 +199,10 @@ def standard_scale(fit: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def standardised(df: DataFrame, scale: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns on the given scale, clipped to +-20."""
-    s = scale.select(F.struct(*scale.columns).alias("s")).scalar()
-    z = {c: (F.col(c) - s[f"mean_{c}"]) / s[f"sd_{c}"] for c in columns}
-    return df.withColumns({
+    z = {c: (F.col(c) - F.col(f"_scale.mean_{c}")) / F.col(f"_scale.sd_{c}") for c in columns}
+    return with_row(df, scale, "_scale").withColumns({
         c: F.greatest(F.least(v, F.lit(CLIP)), F.lit(-CLIP)) for c, v in z.items()
-    })
+    }).drop("_scale")
 
 
 def padded_sequences(

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from unitcal.functions import approximately, normal_cdf
 from unitcal.functions.exact import kolmogorov_p
-from unitcal.operators.ordered import average_ranks, interpolate, null_safe_join, running_totals
-from unitcal.operators.weights import attach_one
+from unitcal.operators.ordered import attach_one, average_ranks, interpolate, null_safe_join, running_totals
 
 
 def two_sided_normal(z: Column) -> Column:

@@ -17,10 +17,9 @@ from unitcal.functions import normal_cdf, normal_quantile
 from unitcal.functions.exact import binomial_p
 from unitcal.operators.features import anchor, from_model_output, to_model_target
 from unitcal.operators.hypothesis_tests import two_sample, uniformity
-from unitcal.operators.ordered import null_safe_join, quantiles
+from unitcal.operators.ordered import attach_one, null_safe_join, quantiles
 from unitcal.operators.resample import score_with_bounds
 from unitcal.operators.score import best_promotion, promote, promotion_sweep
-from unitcal.operators.weights import attach_one
 from unitcal.session import stage
 
 # The quantile heads, the search grid and the nominal levels.

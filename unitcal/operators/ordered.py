@@ -75,6 +75,24 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Attach a one-row table to every row as the struct column ``name``.
+
+    The row enters the plan once, as a scalar subquery: no join, and no repeated
+    evaluation when many of its fields are used.
+    """
+    return df.withColumn(name, row.select(F.struct(*row.columns).alias("r")).scalar())
+
+
+def attach_one(
+    left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join per-group tables; without groups the right side is one row and becomes a subquery."""
+    if by:
+        return null_safe_join(left, right, by, how)
+    return with_row(left, right, "_one").select(*left.columns, "_one.*")
+
+
 def dense_index(df: DataFrame, key: str, by: Sequence[str] = (), name: str = "idx") -> DataFrame:
     """Distinct ``key`` values of each group with their 0-based rank and the group size."""
     ranked = running_totals(df.select(*by, key).distinct(), key, {"one": F.lit(1)}, by)

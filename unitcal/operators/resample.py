@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from unitcal.functions import is_finite, nan
 from unitcal.functions.columns import TWO_32, hex_slot, joined
 from unitcal.functions.exact import clopper_pearson
-from unitcal.operators.ordered import dense_index, null_safe_join
+from unitcal.operators.ordered import attach_one, dense_index, null_safe_join
 from unitcal.operators.score import additive_score_parts, score_from_parts
-from unitcal.operators.weights import attach_one
 
 SLOTS = 4
 POISSON_CUTS = 12

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.functions import inf, is_finite, nan
-from unitcal.operators.ordered import interpolate, null_safe_join, running_totals
+from unitcal.operators.ordered import attach_one, interpolate, running_totals, with_row
 from unitcal.session import stage
 
 
@@ -53,11 +53,13 @@ def rule_weights(
         ((1.0 - F.col("test_prev")) / (1.0 - F.col("train_prev"))).alias("low"),
         "test_prev",
     )
-    packed = ratios.select(F.struct("high", "low").alias("r")).scalar()
-    risk = F.when(proxy >= threshold, packed["high"]).otherwise(packed["low"])
-    weighted = cal.withColumn(
-        "w", risk * F.when(recency_ok, 1.0).otherwise(float(recency_epsilon))
-    ).withColumn("supported", F.col("w") > 0)
+    risk = F.when(proxy >= threshold, F.col("_lr.high")).otherwise(F.col("_lr.low"))
+    weighted = (
+        with_row(cal, ratios, "_lr")
+        .withColumn("w", risk * F.when(recency_ok, 1.0).otherwise(float(recency_epsilon)))
+        .withColumn("supported", F.col("w") > 0)
+        .drop("_lr")
+    )
     mixed = F.col("test_prev") * F.col("high") + (1.0 - F.col("test_prev")) * F.col("low")
     return weighted, ratios.select(mixed.alias("test_weight"))
 
@@ -110,16 +112,6 @@ def weight_summary(df: DataFrame, by: Sequence[str] = (), w: str = "w") -> DataF
     return attach_one(moments, quartiles, by)
 
 
-def attach_one(
-    left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Join per-group tables; without groups both are one row and the right one is a subquery."""
-    if by:
-        return null_safe_join(left, right, by, how)
-    packed = right.select(F.struct(*right.columns).alias("s")).scalar()
-    return left.withColumns({c: packed[c] for c in right.columns})
-
-
 def balance(
     df: DataFrame, covariates: Sequence[str], by: Sequence[str] = (), w: str = "w"
 ) -> DataFrame:
@@ -139,11 +131,12 @@ def balance(
 def gamma_divergence(df: DataFrame, rule: str, other: str) -> DataFrame:
     """Largest ratio between two weightings, each scaled to mean 1 where the rule has support."""
     kept = df.filter(F.col(rule) > 0)
-    means = kept.agg(
-        F.struct(F.avg(rule).alias("rule"), F.avg(other).alias("other")).alias("m")
-    ).scalar()
-    a = F.col(rule) / means["rule"]
-    b = F.when(means["other"] > 0, F.try_divide(F.col(other), means["other"])).otherwise(F.col(other))
+    means = kept.agg(F.avg(rule).alias("rule"), F.avg(other).alias("other"))
+    kept = with_row(kept, means, "_mean")
+    a = F.col(rule) / F.col("_mean.rule")
+    b = F.when(
+        F.col("_mean.other") > 0, F.try_divide(F.col(other), F.col("_mean.other"))
+    ).otherwise(F.col(other))
     ratio = F.greatest(F.try_divide(a, b), F.try_divide(b, a))
     usable = is_finite(ratio) & (b > 0)
     return kept.agg(
@@ -313,10 +306,12 @@ def conditional_clip(
     decided = attach_one(before, bound, ()).withColumn(
         "clipped", ~F.isnan("khat_before") & (F.col("khat_before") > trigger)
     ).withColumn("bound", F.when(F.col("clipped"), F.col("cut")).otherwise(inf()))
-    limit = decided.select("bound").scalar()
-    clipped_rows = df.withColumn("w_used", F.least(F.col(w), limit))
+    decided = stage(decided)
+    limit = F.col("_cut.bound")
+    cut = decided.select("bound")
+    clipped_rows = with_row(df, cut, "_cut").withColumn("w_used", F.least(F.col(w), limit)).drop("_cut")
     after = pareto_khat(clipped_rows, (), "w_used").select(F.col("khat").alias("khat_after"))
-    effect = ranked.agg(
+    effect = with_row(ranked, cut, "_cut").agg(
         (F.sum(F.when(F.col(w) > limit, F.col("n")).otherwise(0)) / F.sum("n")).alias("clipped_share"),
         (
             1.0
@@ -342,7 +337,7 @@ def weighted_diagnostics(
     row = attach_one(row, weight_summary(cal, (), w).drop("n"), ())
     row = row.withColumn("test_weight", test_weight.select("test_weight").scalar())
     report = balance(cal.select(w, *[F.col(c).alias(n) for n, c in covariates.items()]), list(covariates), (), w)
-    packed = report.agg(
-        F.map_from_entries(F.collect_list(F.struct("covariate", "asmd"))).alias("m")
-    ).scalar()
-    return row.withColumns({f"asmd_{name}": packed[name] for name in covariates})
+    pivoted = report.agg(*[
+        F.max(F.when(F.col("covariate") == n, F.col("asmd"))).alias(f"asmd_{n}") for n in covariates
+    ])
+    return attach_one(row, pivoted, ())

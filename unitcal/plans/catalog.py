@@ -1,6 +1,8 @@
 """All registered queries."""
 
 from unitcal.plans import (  # noqa: F401  (importing registers the queries)
+    conformal_queries,
+    feature_queries,
     score_queries,
     series_queries,
 )
