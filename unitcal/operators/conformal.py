@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from unitcal.functions import inf, is_finite
 from unitcal.functions.exact import binomial_p, clopper_pearson
 from unitcal.operators.ordered import null_safe_join, quantiles, running_totals
 from unitcal.operators.resample import bootstrap_means
+from unitcal.session import stage
 
 # Fixed value: slack in the comparisons of cumulative mass.
 MASS_SLACK = 1e-12
@@ -59,58 +61,81 @@ def require_scores(cal: DataFrame, score: str = "score", weight: str | None = No
     return cal
 
 
-def conformal_quantile(
+@dataclass(frozen=True)
+class Weighting:
+    """How one method weighs the calibration rows.
+
+    ``weight`` names a column (uniform without it).  ``test_weight`` is a one-row or
+    per-group table with the test point's weight; without it the mean calibration weight
+    is used.  ``shrink`` is a like table with an ``alpha_shift`` taken off alpha (the bias
+    of clipped weights).
+    """
+
+    weight: str | None = None
+    test_weight: DataFrame | None = None
+    shrink: DataFrame | None = None
+
+
+def conformal_quantiles(
     cal: DataFrame,
     levels: Sequence[float],
+    weightings: Mapping[str, Weighting],
     by: Sequence[str] = (),
     score: str = "score",
-    weight: str | None = None,
-    test_weight: DataFrame | None = None,
-    shrink: DataFrame | None = None,
 ) -> DataFrame:
-    """Score quantile with the test point's mass at +Infinity: one row per (group, level).
+    """Score quantiles with the test point's mass at +Infinity, for several weightings at once.
 
-    ``weight`` names a weight column (uniform without it).  ``test_weight`` maps the
-    weighted groups to a ``test_weight``; without it the mean calibration weight is used.
-    ``shrink`` maps groups to an ``alpha_shift`` that is taken off alpha (clip bias).
-    Output: ``by``, ``level``, ``alpha``, ``q``, ``n_cal``.
+    All weightings share one ordering of the scores: each is one more running sum in the
+    same pass.  One row per (group, method, level): ``alpha, q, n_cal``.
     """
     for level in levels:
         if not 0.0 < level < 1.0:
             raise ValueError(f"level must be in (0, 1), got {level}")
     by = list(by)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    ranked = running_totals(cal, score, {"w": w, "n": F.lit(1)}, by)
-    ranked = with_group_value(ranked, test_weight, "test_weight", by)
-    ranked = with_group_value(ranked, shrink, "alpha_shift", by)
-    shift = F.coalesce(F.col("alpha_shift"), F.lit(0.0))
-    atom = F.coalesce(F.col("test_weight"), F.col("all_w") / F.col("all_n"))
-    mass = F.col("all_w") + atom
-    picked = []
-    for i, level in enumerate(levels):
-        alpha = alpha_after(level, shift)
-        reached = F.col("cum_w") / mass >= 1.0 - alpha - MASS_SLACK
-        picked += [
-            F.min(F.when(reached, F.col(score))).alias(f"q{i}"),
-            F.max(atom / mass > alpha + MASS_SLACK).alias(f"open{i}"),
-            F.max(alpha).alias(f"alpha{i}"),
-        ]
+    sums = {"n": F.lit(1)}
+    for i, spec in enumerate(weightings.values()):
+        sums[f"w{i}"] = F.col(spec.weight).cast("double") if spec.weight else F.lit(1.0)
+    ranked = running_totals(cal, score, sums, by)
+    for i, spec in enumerate(weightings.values()):
+        ranked = with_group_value(ranked, spec.test_weight, "test_weight", f"atom{i}", by)
+        ranked = with_group_value(ranked, spec.shrink, "alpha_shift", f"shift{i}", by)
+    picked, rows = [], []
+    for i, method in enumerate(weightings):
+        total = F.col(f"all_w{i}")
+        atom = F.coalesce(F.col(f"atom{i}"), total / F.col("all_n"))
+        mass = total + atom
+        for j, level in enumerate(levels):
+            alpha = alpha_after(level, F.coalesce(F.col(f"shift{i}"), F.lit(0.0)))
+            reached = F.col(f"cum_w{i}") / mass >= 1.0 - alpha - MASS_SLACK
+            tag = f"{i}_{j}"
+            picked += [
+                F.min(F.when(reached, F.col(score))).alias(f"q{tag}"),
+                F.max(atom / mass > alpha + MASS_SLACK).alias(f"open{tag}"),
+                F.max(alpha).alias(f"alpha{tag}"),
+            ]
+            q = F.when(F.col(f"open{tag}"), inf()).otherwise(F.coalesce(f"q{tag}", "largest"))
+            rows.append(F.struct(
+                F.lit(method).alias("method"), F.lit(float(level)).alias("level"),
+                F.col(f"alpha{tag}").alias("alpha"), q.alias("q"),
+            ))
     wide = ranked.groupBy(*by).agg(
         F.max("all_n").alias("n_cal"), F.max(score).alias("largest"), *picked
     )
-    rows = [
-        F.struct(
-            F.lit(float(level)).alias("level"),
-            F.col(f"alpha{i}").alias("alpha"),
-            F.when(F.col(f"open{i}"), inf())
-            .otherwise(F.coalesce(F.col(f"q{i}"), F.col("largest")))
-            .alias("q"),
-        )
-        for i, level in enumerate(levels)
-    ]
-    return wide.select(*by, "n_cal", F.explode(F.array(*rows)).alias("r")).select(
-        *by, "r.level", "r.alpha", "r.q", "n_cal"
-    )
+    return wide.select(*by, "n_cal", F.explode(F.array(*rows)).alias("r")).select(*by, "r.*", "n_cal")
+
+
+def conformal_quantile(
+    cal: DataFrame,
+    levels: Sequence[float],
+    by: Sequence[str] = (),
+    score: str = "score",
+    weight: str | None = None,
+    test_weight: DataFrame | None = None,
+    shrink: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`conformal_quantiles` for one weighting: ``by, level, alpha, q, n_cal``."""
+    one = {"only": Weighting(weight, test_weight, shrink)}
+    return conformal_quantiles(cal, levels, one, by, score).drop("method")
 
 
 def alpha_after(level: float, shift: Column) -> Column:
@@ -119,14 +144,16 @@ def alpha_after(level: float, shift: Column) -> Column:
     return F.when(shift > 0, F.greatest(alpha - shift, F.lit(1e-6))).otherwise(alpha)
 
 
-def with_group_value(df: DataFrame, table: DataFrame | None, name: str, by: Sequence[str]) -> DataFrame:
+def with_group_value(
+    df: DataFrame, table: DataFrame | None, column: str, name: str, by: Sequence[str]
+) -> DataFrame:
     """Attach a per-group value; a table without group columns holds one value for all."""
     if table is None:
         return df.withColumn(name, F.lit(None).cast("double"))
     keys = [c for c in table.columns if c in by]
     if not keys:
-        return df.withColumn(name, table.select(name).scalar())
-    return null_safe_join(df, table.select(*keys, name), keys, "left")
+        return df.withColumn(name, table.select(column).scalar())
+    return null_safe_join(df, table.select(*keys, F.col(column).alias(name)), keys, "left")
 
 
 def order_statistic_quantile(
@@ -234,46 +261,36 @@ def sweep(
     cal: DataFrame,
     evaluations: Mapping[str, DataFrame],
     levels: Sequence[float],
-    weights: Mapping[str, tuple[DataFrame, DataFrame]],
-    unit: str,
+    weightings: Mapping[str, Weighting],
     supported: Column,
     keys: Sequence[str] = ("learner", "seed"),
     truth: str = "target",
     pred: str = "pred",
     sides: Sequence[str] = ("two", "upper"),
-    shrink: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Per-row intervals of the whole comparison as one long table.
 
-    ``cal`` and the ``evaluations`` are prediction tables ``(unit, *keys, truth, pred)``.
-    Evaluation ``selftest`` and ``naive`` use the plain quantile; every entry of
-    ``weights`` (method -> (unit weights ``(unit, w)``, one-row ``test_weight``)) is
-    evaluated on the supported rows of ``naive``.  ``shrink`` gives a method's one-row
-    ``alpha_shift`` when its weights were clipped.
+    ``cal`` and the ``evaluations`` are prediction tables ``(*keys, truth, pred, ...)``;
+    ``cal`` also carries the weight columns.  Every evaluation gets the plain quantile
+    under its own name; every weighting is evaluated as ``weighted_<name>`` on the
+    supported rows of the evaluation called ``naive``.
     """
     keys = list(keys)
-    scored = score_table(cal, truth, pred, sides).select(unit, *keys, "sided", "score")
-    group = [*keys, "sided"]
-    plain = conformal_quantile(scored, levels, group)
-    parts = []
-    for method, table in evaluations.items():
-        parts.append(attach_intervals(table, plain, keys, pred, truth).withColumn("method", F.lit(method)))
-    for method, (unit_weights, test_weight) in weights.items():
-        weighted = conformal_quantile(
-            scored.join(unit_weights.select(unit, "w"), unit),
-            levels,
-            group,
-            weight="w",
-            test_weight=test_weight,
-            shrink=(shrink or {}).get(method),
-        )
-        parts.append(
-            attach_intervals(evaluations["naive"].filter(supported), weighted, keys, pred, truth)
-            .withColumn("method", F.lit(f"weighted_{method}"))
-        )
+    scored = score_table(cal, truth, pred, sides)
+    every = {"plain": Weighting()} | {f"weighted_{n}": w for n, w in weightings.items()}
+    # a few rows: groups x sides x levels x methods
+    q = stage(conformal_quantiles(scored, levels, every, [*keys, "sided"]))
+    plain = q.filter("method = 'plain'").drop("method")
+    parts = [
+        attach_intervals(table, plain, keys, pred, truth).withColumn("method", F.lit(name))
+        for name, table in evaluations.items()
+    ]
+    if weightings:
+        weighted = q.filter("method <> 'plain'")
+        parts.append(attach_intervals(evaluations["naive"].filter(supported), weighted, keys, pred, truth))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        out = out.unionByName(p)
     return out
 
 

@@ -42,20 +42,38 @@ def split_units(
     permutation is the order of ``md5(seed:unit)``, so it depends on nothing but the
     seed and the unit ids.
     """
-    if abs(sum(fractions.values()) - 1.0) > 1e-9:
-        raise ValueError(f"fractions must sum to 1, got {sum(fractions.values())}")
-    keyed = units.select(unit).distinct().withColumn("shuffle_key", F.md5(joined(seed, F.col(unit))))
+    placed = shuffled(units, unit, seed)
+    subset = by_rank(F.col("rank"), F.col("n_total"), fractions)
+    return placed.select(unit, subset.alias("subset"))
+
+
+def shuffled(units: DataFrame, unit: str, seed: int) -> DataFrame:
+    """Distinct units with their 0-based ``rank`` in the seeded order, and ``n_total``."""
+    place = F.struct(F.md5(joined(seed, F.col(unit))).alias("shuffle_key"), F.col(unit))
     placed = running_totals(
-        keyed.withColumn("place", F.struct("shuffle_key", unit)), "place", {"one": F.lit(1)}
+        units.select(unit).distinct().select(place.alias("place")), "place", {"one": F.lit(1)}
     )
-    names = list(fractions)
-    rank, total = F.col("cum_one") - 1, F.col("all_one")
+    return placed.select(
+        F.col("place")[unit].alias(unit),
+        (F.col("cum_one") - 1).alias("rank"),
+        F.col("all_one").alias("n_total"),
+    )
+
+
+def by_rank(rank: Column, total: Column, fractions: Mapping[str, float]) -> Column:
+    """Subset name from a rank: consecutive blocks of the rounded sizes."""
+    if abs(sum(fractions.values()) - 1.0) > 1e-9:
+        raise ValueError(f"fractions must sum to 1, got {sum(fractions.values())}")
+    *firsts, last = fractions
     edge, subset = F.lit(0), None
-    for name in names[:-1]:
-        edge = edge + F.bround(F.lit(float(fractions[name])) * total).cast("bigint")
+    for name in firsts:
+        edge = edge + share_size(total, fractions[name])
         subset = F.when(rank < edge, name) if subset is None else subset.when(rank < edge, name)
-    subset = F.lit(names[-1]) if subset is None else subset.otherwise(names[-1])
-    return placed.select(F.col("place")[unit].alias(unit), subset.alias("subset"))
+    return F.lit(last) if subset is None else subset.otherwise(last)
+
+
+def share_size(total: Column, fraction: float) -> Column:
+    return F.bround(F.lit(float(fraction)) * total).cast("bigint")
 
 
 def nested_split(
@@ -65,16 +83,23 @@ def nested_split(
     fractions: Mapping[str, float] | None = None,
     inner_validation: float = 0.2,
 ) -> DataFrame:
-    """Training pool into fit_inner / val_inner / calibration / self_test."""
+    """Training pool into fit_inner / val_inner / calibration / self_test.
+
+    Both levels use the same seeded order, so the units are ranked once: the first block
+    is the fit pool, and the inner split cuts that block by the same rank.
+    """
     fractions = fractions or {"fit": 0.6, "calibration": 0.2, "self_test": 0.2}
-    outer = split_units(units, unit, fractions, seed)
-    inner = split_units(
-        outer.filter(F.col("subset") == "fit"),
-        unit,
+    if next(iter(fractions)) != "fit":
+        raise ValueError("the fit pool must come first")
+    rank, total = F.col("rank"), F.col("n_total")
+    outer = by_rank(rank, total, fractions)
+    inner = by_rank(
+        rank,
+        share_size(total, fractions["fit"]),
         {"fit_inner": 1.0 - inner_validation, "val_inner": inner_validation},
-        seed,
     )
-    return outer.filter(F.col("subset") != "fit").unionByName(inner)
+    subset = F.when(outer == "fit", inner).otherwise(outer)
+    return shuffled(units, unit, seed).select(unit, subset.alias("subset"))
 
 
 def overlapping_units(splits: DataFrame, unit: str, subset: str = "subset") -> DataFrame:

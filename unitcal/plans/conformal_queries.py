@@ -101,12 +101,15 @@ cp AS (SELECT k, n, CASE WHEN k = 0 THEN 0.0 ELSE lo1 END::DOUBLE AS cp_lo,
               CASE WHEN k = n THEN 1.0 ELSE hi2 END::DOUBLE AS cp_hi FROM bis WHERE it = 45)"""
 
 
-def predictions(spark, sf):
-    """Long prediction table of two learners and two seeds, with split and subset."""
+def tagged_pairs(spark, sf):
+    """Forecastable customers with split and training subset, written once per query."""
     frame = pairs(spark, sf).select("unit", "split", "target", "target_ttr", "known")
-    tagged = frame.join(training_split(spark, sf), "unit", "left")
-    seeds = F.explode(F.array(*[F.lit(s) for s in SEEDS]))
-    spread = tagged.withColumn("seed", seeds)
+    return stage(frame.join(training_split(spark, sf), "unit", "left"))
+
+
+def with_learners(frame):
+    """Two learners and two seeds per row."""
+    spread = frame.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
     noise = (draw_bits(F.col("seed"), F.col("unit")) / float(TWO_32) - 0.5) * 0.2
     learners = F.array(
         F.struct(F.lit("persistence").alias("learner"), F.col("known").alias("pred")),
@@ -115,9 +118,14 @@ def predictions(spark, sf):
     return spread.withColumn("_l", F.explode(learners)).select("*", "_l.*").drop("_l")
 
 
+def predictions(spark, sf):
+    """Long prediction table of all customers."""
+    return with_learners(tagged_pairs(spark, sf))
+
+
 def calibration_units(spark, sf):
-    frame = pairs(spark, sf)
-    return frame, frame.join(training_split(spark, sf).filter("subset = 'calibration'"), "unit")
+    frame = tagged_pairs(spark, sf)
+    return frame, frame.filter("subset = 'calibration'")
 
 
 def rule_weights_of(frame, cal):
@@ -132,14 +140,21 @@ def odds_weights_of(cal):
 
 
 def sweep_intervals(spark, sf):
-    preds = stage(predictions(spark, sf))
     frame, cal = calibration_units(spark, sf)
+    weighted, rule_test = rule_weights_of(frame, cal)
+    weighted, odds_test = odds_weights_of(weighted.withColumnRenamed("w", "w_rule"))
+    carried = ["unit", "learner", "seed", "target", "target_ttr", "pred"]
     return conformal.sweep(
-        preds.filter("subset = 'calibration'"),
-        {"selftest": preds.filter("subset = 'self_test'"), "naive": preds.filter("split = 'test'")},
+        with_learners(weighted.withColumnRenamed("w", "w_odds")),
+        {
+            "selftest": with_learners(frame.filter("subset = 'self_test'")).select(*carried),
+            "naive": with_learners(frame.filter("split = 'test'")).select(*carried),
+        },
         LEVELS,
-        {"rule": rule_weights_of(frame, cal), "classifier": odds_weights_of(cal)},
-        "unit",
+        {
+            "rule": conformal.Weighting("w_rule", rule_test),
+            "classifier": conformal.Weighting("w_odds", odds_test),
+        },
         F.col("target_ttr") <= RECENCY,
     )
 
@@ -290,9 +305,8 @@ def mcnemar(spark, sf):
 
 
 @query("largest_gap", PAIRS + f", {SWEEP}" + """,
-r AS (SELECT learner, method, sided, level, avg(coverage) AS c, 100 * (avg(coverage) - level) AS gap FROM cov GROUP BY ALL)
-SELECT method, round(gap, 6) AS gap_pp FROM (
-  SELECT *, row_number() OVER (PARTITION BY method ORDER BY abs(gap) DESC) AS rn FROM r) WHERE rn = 1""")
+r AS (SELECT learner, method, sided, level, 100 * (avg(coverage) - level) AS gap FROM cov GROUP BY learner, method, sided, level)
+SELECT method, round(max(abs(gap)), 6) AS gap_pp FROM r GROUP BY method""")
 def largest_gap(spark, sf):
     rows = conformal.aggregate_coverage(coverage_rows(spark, sf))
     return rounded(conformal.largest_gap(rows).select("method", F.abs("gap_pp").alias("gap_pp")))
@@ -422,7 +436,7 @@ def zero_weights(spark, sf):
 
 @query("weight_histogram", W + """,
 b AS (SELECT CAST(least(floor(w / 0.5) + 1, 20) AS INTEGER) AS bin FROM odds WHERE w >= 0 AND w <= 10)
-SELECT bin, round((bin - 1) * 0.5, 6) AS left_edge, count(*) AS n, round(count(*) / ((SELECT count(*) FROM b) * 0.5), 6) AS density
+SELECT bin, ((bin - 1) * 0.5)::DOUBLE AS left_edge, count(*) AS n, round(count(*) / ((SELECT count(*) FROM b) * 0.5), 6) AS density
 FROM b GROUP BY bin""")
 def weight_histogram(spark, sf):
     odds, _ = odds_weights_of(calibration_units(spark, sf)[1])
@@ -432,7 +446,7 @@ def weight_histogram(spark, sf):
 @query("weight_histogram_log", W + """,
 b AS (SELECT CAST(least(floor((log10(w) + 2.0) / 0.25) + 1, 16) AS INTEGER) AS bin FROM odds
       WHERE w > 0 AND log10(w) >= -2 AND log10(w) <= 2)
-SELECT bin, round(-2.0 + (bin - 1) * 0.25, 6) AS left_edge, count(*) AS n,
+SELECT bin, (-2.0 + (bin - 1) * 0.25)::DOUBLE AS left_edge, count(*) AS n,
        round(count(*) / ((SELECT count(*) FROM b) * 0.25), 6) AS density FROM b GROUP BY bin""")
 def weight_histogram_log(spark, sf):
     odds, _ = odds_weights_of(calibration_units(spark, sf)[1])
@@ -516,16 +530,15 @@ SELECT learner, CAST(seed AS BIGINT) AS seed, sided, level, round(any_value(q),
 FROM iv GROUP BY learner, seed, sided, level""")
 def weighted_interval(spark, sf):
     """Weighted intervals with conditional clipping and the alpha it costs."""
-    preds = stage(predictions(spark, sf))
-    odds, test_weight = odds_weights_of(calibration_units(spark, sf)[1])
+    frame, cal = calibration_units(spark, sf)
+    odds, test_weight = odds_weights_of(cal)
     clipped, row = weights.conditional_clip(odds)
-    scored = conformal.score_table(preds.filter("subset = 'calibration'"), "target", "pred")
     q = conformal.conformal_quantile(
-        scored.join(clipped.select("unit", "w_used"), "unit"), LEVELS, ["learner", "seed", "sided"],
+        conformal.score_table(with_learners(clipped), "target", "pred"), LEVELS, ["learner", "seed", "sided"],
         weight="w_used", test_weight=test_weight, shrink=row.select(F.col("bias").alias("alpha_shift")),
     )
-    test = preds.filter((F.col("split") == "test") & (F.col("target_ttr") <= RECENCY))
-    out = conformal.attach_intervals(test, q, ["learner", "seed"], "pred", "target")
+    test = frame.filter((F.col("split") == "test") & (F.col("target_ttr") <= RECENCY))
+    out = conformal.attach_intervals(with_learners(test), q, ["learner", "seed"], "pred", "target")
     return longs(rounded(out.groupBy(*KEYS).agg(
         F.max("q").alias("q"), F.count(F.lit(1)).alias("n"), F.avg(F.col("covered").cast("int")).alias("coverage")
     ), 6, q=4), "seed")
