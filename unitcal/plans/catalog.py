@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from unitcal.plans import (  # noqa: F401  (importing registers the queries)
+    audit_queries,
     conformal_queries,
     feature_queries,
     score_queries,
