@@ -1,7 +1,8 @@
 """Collision probability of close approaches from state and covariance columns.
 
-Geometry and covariance are column expressions; only the integral over the hard-body
-disk leaves the JVM, in Arrow batches of one number per row.
+Covariance and geometry are column expressions; the integral over the hard-body disk
+runs in Arrow batches of six numbers per row.  Everything a caller is likely to filter on
+comes out of that step, so the optimizer does not copy the geometry into filters.
 """
 
 from __future__ import annotations
@@ -141,50 +142,50 @@ def encounter_plane(df: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def principal_axes(df: DataFrame) -> DataFrame:
-    """Principal variances ``var_1 <= var_2`` of the plane and the miss vector along them."""
-    mean = (F.col("p_xx") + F.col("p_yy")) / 2.0
-    half = (F.col("p_xx") - F.col("p_yy")) / 2.0
-    radius = F.sqrt(half * half + F.col("p_xy") * F.col("p_xy"))
-    step = df.withColumns({
-        "var_1": mean - radius,
-        "var_2": mean + radius,
-        "_turn": F.atan2(F.col("p_xy"), half) / 2.0,
-    })
-    c, s = F.cos("_turn"), F.sin("_turn")
-    # the angle points along the larger variance
-    return step.withColumns({
-        "miss_2": c * F.col("miss_x") + s * F.col("miss_y"),
-        "miss_1": -s * F.col("miss_x") + c * F.col("miss_y"),
-    }).drop("_turn")
-
-
 def disk_probability(n_radial: int = 200, n_angular: int = 360, chunk_points: int = 4_000_000):
-    """Pandas UDF: Gaussian mass of the disk of radius ``hbr`` by the polar midpoint rule."""
+    """Pandas UDF (miss_x, miss_y, p_xx, p_xy, p_yy, hbr) -> (pc, miss_2d, mahalanobis_2d).
+
+    Gaussian mass of the disk of radius ``hbr`` by the polar midpoint rule in the
+    principal axes of the plane covariance.  ``pc`` is missing where the plane is undefined or
+    its covariance is not positive definite; a disk without extent has probability 0.
+    """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("pc double, miss_2d double, mahalanobis_2d double")
     def integrate(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
+        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
+    ) -> Iterator[pd.DataFrame]:
         angle = (np.arange(n_angular) + 0.5) * (2.0 * np.pi / n_angular)
         ring = (np.arange(n_radial) + 0.5) / n_radial
         unit_x = np.outer(ring, np.cos(angle)).ravel()
         unit_y = np.outer(ring, np.sin(angle)).ravel()
         area = np.repeat(ring, n_angular) * (2.0 * np.pi / n_angular / n_radial)
         rows = max(1, chunk_points // area.size)
-        for m1, m2, v1, v2, hbr in batches:
-            cols = [s.to_numpy(dtype=float, na_value=np.nan) for s in (m1, m2, v1, v2, hbr)]
-            out = np.full(len(m1), np.nan)
-            for start in range(0, len(out), rows):
-                a, b, va, vb, h = (c[start:start + rows, None] for c in cols)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    quad = (h * unit_x - a) ** 2 / va + (h * unit_y - b) ** 2 / vb
-                    mass = np.exp(-0.5 * quad) @ area
-                    p = mass * (h * h)[:, 0] / (2.0 * np.pi * np.sqrt(va * vb))[:, 0]
-                out[start:start + rows] = np.where(h[:, 0] <= 0, 0.0, np.clip(p, 0.0, 1.0))
-            yield pd.Series(out)
-
-    return integrate
+        for batch in batches:
+            x, y, xx, xy, yy, hbr = (s.to_numpy(dtype=float, na_value=np.nan) for s in batch)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                middle, radius = (xx + yy) / 2.0, np.hypot((xx - yy) / 2.0, xy)
+                small, large = middle - radius, middle + radius
+                turn = np.arctan2(xy, (xx - yy) / 2.0) / 2.0
+                along_large = np.cos(turn) * x + np.sin(turn) * y
+                along_small = np.cos(turn) * y - np.sin(turn) * x
+                distance = np.sqrt((yy * x * x - 2.0 * xy * x * y + xx * y * y) / (xx * yy - xy * xy))
+            pc = np.where(np.isnan(x) | ~(small > 0), np.nan, 0.0)
+            pc[(hbr <= 0) & ~np.isnan(x)] = 0.0
+            todo = np.flatnonzero((small > 0) & (hbr > 0) & ~np.isnan(x))
+            for start in range(0, todo.size, rows):
+                part = todo[start:start + rows]
+                h, a, b, va, vb = (c[part, None] for c in (hbr, along_small, along_large, small, large))
+                quad = (h * unit_x - a) ** 2 / va + (h * unit_y - b) ** 2 / vb
+                mass = np.exp(-0.5 * quad) @ area * (h * h / (2.0 * np.pi * np.sqrt(va * vb)))[:, 0]
+                pc[part] = np.clip(mass, 0.0, 1.0)
+            yield pd.DataFrame({"pc": pc, "miss_2d": np.hypot(x, y), "mahalanobis_2d": distance})
+
+    # declared non-deterministic only so that filters on the result are not rewritten into
+    # filters on a second evaluation of it below the projection
+    return integrate.asNondeterministic()
+
+
+PLANE = ("miss_x", "miss_y", "p_xx", "p_xy", "p_yy", "hbr")
 
 
 def collision_probability(
@@ -199,38 +200,24 @@ def collision_probability(
     base = df.withColumn("n_missing", n_missing_required()).withColumn(
         "hbr", (F.col("t_span") + F.col("c_span")) / 2.0
     )
-    plane = principal_axes(encounter_plane(combined_covariance(base)))
-    # a disk without extent has probability 0 before its covariance is looked at
-    flat = F.col("hbr") <= 0
+    plane = encounter_plane(combined_covariance(base))
+    keep = [*df.columns, "n_missing", "hbr", "cov_det"]
+    solved = plane.select(*keep, disk_probability(n_radial, n_angular)(*PLANE).alias("_r"))
     status = (
         F.when(F.col("n_missing") > 0, "missing")
-        .when(F.col("speed") == 0, "degenerate")
-        .when(~flat & ((F.col("var_1") <= 0) | (F.col("var_2") <= 0)), "degenerate")
+        .when(F.col("_r.pc").isNull() | F.isnan("_r.pc"), "degenerate")
         .otherwise("ok")
     )
     ok = F.col("status") == "ok"
-    det = F.col("p_xx") * F.col("p_yy") - F.col("p_xy") * F.col("p_xy")
-    distance2 = (
-        F.col("p_yy") * F.col("miss_x") * F.col("miss_x")
-        - 2.0 * F.col("p_xy") * F.col("miss_x") * F.col("miss_y")
-        + F.col("p_xx") * F.col("miss_y") * F.col("miss_y")
-    )
-    integrate = disk_probability(n_radial, n_angular)
-    result = (
-        plane.withColumn("status", status)
-        .withColumn("pc", integrate("miss_1", "miss_2", "var_1", "var_2", "hbr"))
-        .withColumns({
-            "pc": F.when(ok, F.col("pc")),
-            "miss_2d": F.when(ok, F.sqrt(F.col("miss_x") * F.col("miss_x") + F.col("miss_y") * F.col("miss_y"))),
-            "mahalanobis_2d": F.when(ok & (det > 0), F.sqrt(F.try_divide(distance2, det))),
-        })
-        .withColumn(
-            "log10_pc",
-            F.when(F.col("pc") > 0, F.greatest(F.log10("pc"), F.lit(floor))).when(ok, F.lit(floor)),
-        )
+    pc = F.col("_r.pc")
+    return solved.withColumn("status", status).select(
+        *keep,
+        F.when(ok, F.col("_r.miss_2d")).alias("miss_2d"),
+        F.when(ok & ~F.isnan("_r.mahalanobis_2d"), F.col("_r.mahalanobis_2d")).alias("mahalanobis_2d"),
+        F.when(ok, pc).alias("pc"),
+        F.when(ok & (pc > 0), F.greatest(F.log10(pc), F.lit(floor))).when(ok, F.lit(floor)).alias("log10_pc"),
+        "status",
     )
-    keep = [*df.columns, "n_missing", "hbr", "cov_det", "miss_2d", "mahalanobis_2d", "pc", "log10_pc", "status"]
-    return result.select(*keep)
 
 
 def isotropic_centred(sigma: Column, hbr: Column) -> Column:
