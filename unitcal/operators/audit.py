@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.functions import approximately
-from unitcal.operators.ordered import attach_one, null_safe_join, quantiles
+from unitcal.operators.ordered import (
+    attach_one,
+    interpolate,
+    null_safe_join,
+    quantiles,
+    running_totals,
+)
 
 
 def expected_counts(observed: DataFrame, expected: DataFrame, key: str = "item") -> DataFrame:
@@ -51,14 +57,13 @@ def enrichment(prevalence: DataFrame, key: str, base: str, share: str = "share")
 
 def size_summary(units: DataFrame, size: str, by: Sequence[str]) -> DataFrame:
     """Count, mean, extremes and quartiles of the rows per unit."""
-    base = units.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_units"),
-        F.avg(size).alias("mean"),
-        F.min(size).alias("min"),
-        F.max(size).alias("max"),
-    )
-    q = quantiles(units, size, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
-    return attach_one(base, q, by)
+    ranked = running_totals(units, size, {"n": F.lit(1)}, by)
+    return interpolate(ranked, size, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by, {
+        "n_units": F.sum("n"),
+        "mean": F.sum(F.col(size) * F.col("n")) / F.sum("n"),
+        "min": F.min(size),
+        "max": F.max(size),
+    })
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
@@ -158,7 +163,8 @@ def error_blocks(
 ) -> DataFrame:
     """Error statistics over all rows, without an excluded subset, and per stratum.
 
-    Every row is labelled with the blocks it belongs to; all blocks come from one pass.
+    Every row is labelled with the blocks it belongs to; all blocks share one ordering of
+    the sizes and one of the signed errors.
     """
     labels = F.array_compact(F.array(
         F.lit("all"),
@@ -168,15 +174,16 @@ def error_blocks(
     long = df.select(
         F.explode(labels).alias("block"), F.col(delta).alias("d"), F.abs(delta).alias("size")
     )
-    base = long.groupBy("block").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("size") <= tolerance).cast("int")).alias("share_within"),
-        F.avg("size").alias("mae"),
-        F.max("size").alias("max_abs"),
-    )
-    sizes = quantiles(long, "size", {"median_abs": 0.5, "p90_abs": 0.9}, ["block"])
-    bias = quantiles(long, "d", {"median_bias": 0.5}, ["block"])
-    return null_safe_join(null_safe_join(base, sizes, ["block"]), bias, ["block"])
+    by = ["block"]
+    ranked = running_totals(long, "size", {"n": F.lit(1)}, by)
+    total = F.sum("n")
+    sizes = interpolate(ranked, "size", {"median_abs": 0.5, "p90_abs": 0.9}, by, {
+        "n": total,
+        "share_within": F.sum(F.when(F.col("size") <= tolerance, F.col("n")).otherwise(0)) / total,
+        "mae": F.sum(F.col("size") * F.col("n")) / total,
+        "max_abs": F.max("size"),
+    })
+    return null_safe_join(sizes, quantiles(long, "d", {"median_bias": 0.5}, by), by)
 
 
 def outside_tolerance(df: DataFrame, delta: str, tolerance: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from unitcal.functions import inf, is_finite
 from unitcal.functions.exact import binomial_p, clopper_pearson
-from unitcal.operators.ordered import null_safe_join, quantiles, running_totals
+from unitcal.operators.ordered import interpolate, null_safe_join, running_totals
 from unitcal.operators.resample import bootstrap_means
 from unitcal.session import stage
 
@@ -229,16 +229,21 @@ def coverage_table(
     intervals: DataFrame, by: Sequence[str], bounds: bool = True, level: float = 0.95
 ) -> DataFrame:
     """Coverage per group: n, n_covered, share of infinite widths, median finite width, exact bounds."""
-    finite = is_finite(F.col("width"))
-    counts = intervals.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("covered").alias("n_covered"),
-        F.avg(F.col("covered").cast("int")).alias("coverage"),
-        F.avg((~finite).cast("int")).alias("share_infinite"),
+    by = list(by)
+    finite = is_finite(F.col("width")).cast("int")
+    ranked = running_totals(
+        intervals, "width", {"all": F.lit(1), "k": F.col("covered").cast("int"), "n": finite}, by
     )
-    medians = quantiles(intervals.filter(finite), "width", {"median_width": 0.5}, by)
-    out = null_safe_join(counts, medians, list(by), "left").withColumn(
-        "median_width", F.coalesce("median_width", inf())
+    # infinite widths sort last, so the running count of finite ones orders the finite part
+    out = interpolate(ranked, "width", {"median_width": 0.5}, by, {
+        "total": F.sum("all"), "n_covered": F.sum("k"), "n_finite": F.sum("n"),
+    }).select(
+        *by,
+        F.col("total").alias("n"),
+        "n_covered",
+        (F.col("n_covered") / F.col("total")).alias("coverage"),
+        (1.0 - F.col("n_finite") / F.col("total")).alias("share_infinite"),
+        F.when(F.col("n_finite") > 0, F.col("median_width")).otherwise(inf()).alias("median_width"),
     )
     if bounds:
         out = out.withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from unitcal.functions import approximately, normal_cdf
 from unitcal.functions.exact import kolmogorov_p
 from unitcal.operators.ordered import attach_one, average_ranks, interpolate, null_safe_join, running_totals
+from unitcal.session import stage
 
 
 def two_sided_normal(z: Column) -> Column:
@@ -110,16 +111,21 @@ def signed_rank(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:
 def correlations(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson on values and Spearman on average ranks."""
     by = list(by)
-    pairs = df.select(*by, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranks_a = average_ranks(pairs, a, by, "rank_a").select(*by, a, "rank_a")
-    ranks_b = average_ranks(pairs, b, by, "rank_b").select(*by, b, "rank_b")
-    # equal pairs are one row with a count, so a frequent value is not joined row by row
-    counted = pairs.groupBy(*by, a, b).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    # Equal pairs become one row with a count.  Written once: it is ordered by either side
+    # and joined to both rank tables; adaptive skew handling splits a frequent value.
+    counted = stage(
+        df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+        .groupBy(*by, a, b)
+        .agg(F.count(F.lit(1)).alias("m"))
+    )
+    ranks_a = average_ranks(counted, a, by, "rank_a", F.col("m")).select(*by, a, "rank_a")
+    ranks_b = average_ranks(counted, b, by, "rank_b", F.col("m")).select(*by, b, "rank_b")
     both = null_safe_join(null_safe_join(counted, ranks_a, [*by, a]), ranks_b, [*by, b])
+    m = F.col("m").cast("double")
     return both.groupBy(*by).agg(
-        F.sum("m").cast("bigint").alias("n"),
-        weighted_corr(F.col(a), F.col(b), F.col("m")).alias("pearson"),
-        weighted_corr(F.col("rank_a"), F.col("rank_b"), F.col("m")).alias("spearman"),
+        F.sum("m").alias("n"),
+        weighted_corr(F.col(a), F.col(b), m).alias("pearson"),
+        weighted_corr(F.col("rank_a"), F.col("rank_b"), m).alias("spearman"),
     )
 
 

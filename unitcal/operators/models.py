@@ -17,7 +17,13 @@ from unitcal.functions import normal_cdf, normal_quantile
 from unitcal.functions.exact import binomial_p
 from unitcal.operators.features import anchor, from_model_output, to_model_target
 from unitcal.operators.hypothesis_tests import two_sample, uniformity
-from unitcal.operators.ordered import attach_one, null_safe_join, quantiles
+from unitcal.operators.ordered import (
+    attach_one,
+    interpolate,
+    null_safe_join,
+    quantiles,
+    running_totals,
+)
 from unitcal.operators.resample import score_with_bounds
 from unitcal.operators.score import best_promotion, promote, promotion_sweep
 from unitcal.session import stage
@@ -353,16 +359,19 @@ def empirical_pit(samples: DataFrame, unit: str, truth: str, by: Sequence[str] =
 def reliability(intervals: DataFrame, truth: str, by: Sequence[str] = ()) -> DataFrame:
     """Empirical coverage per nominal level with gap, widths and the binomial p-value."""
     covered = (F.col(truth) >= F.col("lo")) & (F.col(truth) <= F.col("hi"))
-    width = F.col("hi") - F.col("lo")
     keys = [*by, "level"]
-    table = intervals.withColumn("width", width).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(covered).alias("n_covered"),
-        F.avg(covered.cast("int")).alias("coverage"),
-        F.avg(width).alias("mean_width"),
+    ranked = running_totals(
+        intervals.withColumn("width", F.col("hi") - F.col("lo")),
+        "width", {"n": F.lit(1), "k": covered.cast("int")}, keys,
     )
-    medians = quantiles(intervals.withColumn("width", width), "width", {"median_width": 0.5}, keys)
-    return null_safe_join(table, medians, keys).withColumns({
+    total = F.sum("n")
+    table = interpolate(ranked, "width", {"median_width": 0.5}, keys, {
+        "rows": total,
+        "n_covered": F.sum("k"),
+        "coverage": F.sum("k") / total,
+        "mean_width": F.sum(F.col("width") * F.col("n")) / total,
+    }).withColumnRenamed("rows", "n")
+    return table.withColumns({
         "gap_pp": 100.0 * (F.col("coverage") - F.col("level")),
         "binomial_p": binomial_p(F.col("n_covered"), F.col("n"), F.col("level")),
     })

@@ -114,9 +114,17 @@ def quantiles(
 
 
 def interpolate(
-    ranked: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
+    ranked: DataFrame,
+    value: str,
+    probs: Mapping[str, float],
+    by: Sequence[str] = (),
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Quantiles from a :func:`running_totals` table that counted rows as ``n``."""
+    """Quantiles from a :func:`running_totals` table that counted rows as ``n``.
+
+    ``extra`` adds aggregates over the same table, so that a summary needs one pass.
+    """
+    extra = extra or {}
     picks, outputs = [], []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("all_n") - 1)
@@ -127,14 +135,19 @@ def interpolate(
         outputs.append((low + (spot - F.floor(spot)) * (high - low)).alias(name))
     return (
         ranked.groupBy(*by)
-        .agg(F.max("all_n").alias("size"), *picks)
-        .select(*by, *outputs)
+        .agg(F.max("all_n").alias("size"), *picks, *[c.alias(n) for n, c in extra.items()])
+        .select(*by, *extra, *outputs)
     )
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Average rank (1-based, ties share the mean) per distinct value, with the tie count."""
-    ranked = running_totals(df, value, {"ties": F.lit(1)}, by)
+def average_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank", weight: Column | None = None
+) -> DataFrame:
+    """Average rank (1-based, ties share the mean) per distinct value, with the tie count.
+
+    ``weight`` counts rows that stand for several equal ones.
+    """
+    ranked = running_totals(df, value, {"ties": F.lit(1) if weight is None else weight}, by)
     return ranked.select(
         *by,
         value,

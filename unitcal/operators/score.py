@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitcal.functions import approximately, inf, is_finite, nan
+from unitcal.operators.ordered import interpolate, running_totals
 
 
 class ScoreError(ValueError):
@@ -258,12 +259,15 @@ def compare_models(tables: Mapping[str, DataFrame]) -> DataFrame:
 def target_distribution(
     df: DataFrame, target: str, floor: float, threshold: float, by: Sequence[str]
 ) -> DataFrame:
-    """Units, share at the floor and share high per split; the median comes from quantiles()."""
-    from unitcal.operators.ordered import null_safe_join, quantiles
+    """Units, share at the floor, share high and median target per split."""
+    ranked = running_totals(df, target, {"n": F.lit(1)}, by)
+    total = F.sum("n")
 
-    shares = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_units"),
-        F.avg(approximately(F.col(target), floor).cast("int")).alias("share_floor"),
-        F.avg((F.col(target) >= threshold).cast("int")).alias("share_high"),
-    )
-    return null_safe_join(shares, quantiles(df, target, {"median": 0.5}, by), by)
+    def share(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)) / total
+
+    return interpolate(ranked, target, {"median": 0.5}, by, {
+        "n_units": total,
+        "share_floor": share(approximately(F.col(target), floor)),
+        "share_high": share(F.col(target) >= threshold),
+    })

@@ -100,16 +100,14 @@ def effective_size(df: DataFrame, by: Sequence[str] = (), w: str = "w") -> DataF
 def weight_summary(df: DataFrame, by: Sequence[str] = (), w: str = "w") -> DataFrame:
     """Counts, quartiles, mean and the largest share of a weight distribution."""
     ranked = running_totals(df, w, {"n": F.lit(1), "mass": F.col(w)}, by)
-    quartiles = interpolate(ranked, w, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by)
-    moments = ranked.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.coalesce(F.sum(F.when(F.col(w) > 0, F.col("n"))), F.lit(0)).alias("n_positive"),
-        F.min(w).alias("min"),
-        F.max(w).alias("max"),
-        (F.sum("mass") / F.sum("n")).alias("mean"),
-        F.coalesce(F.try_divide(F.max(w), F.sum("mass")), nan()).alias("max_share"),
-    )
-    return attach_one(moments, quartiles, by)
+    return interpolate(ranked, w, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by, {
+        "rows": F.sum("n"),
+        "n_positive": F.coalesce(F.sum(F.when(F.col(w) > 0, F.col("n"))), F.lit(0)),
+        "min": F.min(w),
+        "max": F.max(w),
+        "mean": F.sum("mass") / F.sum("n"),
+        "max_share": F.coalesce(F.try_divide(F.max(w), F.sum("mass")), nan()),
+    }).withColumnRenamed("rows", "n")
 
 
 def balance(
