@@ -232,11 +232,11 @@ def coverage_table(
     by = list(by)
     finite = is_finite(F.col("width")).cast("int")
     ranked = running_totals(
-        intervals, "width", {"all": F.lit(1), "k": F.col("covered").cast("int"), "n": finite}, by
+        intervals, "width", {"all": F.lit(1), "hits": F.col("covered").cast("int"), "n": finite}, by
     )
     # infinite widths sort last, so the running count of finite ones orders the finite part
     out = interpolate(ranked, "width", {"median_width": 0.5}, by, {
-        "total": F.sum("all"), "n_covered": F.sum("k"), "n_finite": F.sum("n"),
+        "total": F.sum("all"), "n_covered": F.sum("hits"), "n_finite": F.sum("n"),
     }).select(
         *by,
         F.col("total").alias("n"),

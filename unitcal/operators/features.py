@@ -263,16 +263,15 @@ def prepared_sequences(
 
 
 def aligned(*tables: DataFrame, unit: str) -> DataFrame:
-    """Inner-align per-unit tables; a unit missing from any of them is an error."""
+    """Align per-unit tables by unit; a unit missing from any of them is an error."""
     out = tables[0]
     for t in tables[1:]:
         new = [c for c in t.columns if c not in out.columns]
-        side = t.select(unit, *new).withColumn("_has", F.lit(1))
-        joined = stage(out.join(side, unit, "full_outer").withColumn("_n", F.lit(1)))
-        lost = joined.filter(F.col("_has").isNull()).limit(1).count()
-        if lost:
+        left, right = out.withColumn("_l", F.lit(1)), t.select(unit, *new).withColumn("_r", F.lit(1))
+        joined = stage(left.join(right, unit, "full_outer"))
+        if not joined.filter(F.col("_l").isNull() | F.col("_r").isNull()).isEmpty():
             raise FeatureError("per-unit tables do not hold the same units")
-        out = joined.drop("_has", "_n")
+        out = joined.drop("_l", "_r")
     return out
 
 

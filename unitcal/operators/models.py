@@ -362,13 +362,13 @@ def reliability(intervals: DataFrame, truth: str, by: Sequence[str] = ()) -> Dat
     keys = [*by, "level"]
     ranked = running_totals(
         intervals.withColumn("width", F.col("hi") - F.col("lo")),
-        "width", {"n": F.lit(1), "k": covered.cast("int")}, keys,
+        "width", {"n": F.lit(1), "hits": covered.cast("int")}, keys,
     )
     total = F.sum("n")
     table = interpolate(ranked, "width", {"median_width": 0.5}, keys, {
         "rows": total,
-        "n_covered": F.sum("k"),
-        "coverage": F.sum("k") / total,
+        "n_covered": F.sum("hits"),
+        "coverage": F.sum("hits") / total,
         "mean_width": F.sum(F.col("width") * F.col("n")) / total,
     }).withColumnRenamed("rows", "n")
     return table.withColumns({

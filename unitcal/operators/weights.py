@@ -209,11 +209,14 @@ def tail_excess(
     )
 
 
-# The search grid of the tail fit in units of theta * (largest excess).
-GRID_POSITIVE = tuple(10.0 ** (-3.0 + 0.1 * i) for i in range(71))
-GRID_NEGATIVE = tuple(-(10.0 ** (-3.0 + 0.1 * i)) for i in range(23)) + tuple(
+# The search grid of the tail fit in units of theta * (largest excess), and
+# the half widths (in decades) of the refinements around its best point.  A heavy tail of n
+# excesses has its optimum near n ** shape, hence the long positive side.
+GRID_POSITIVE = tuple(10.0 ** (-3.0 + 0.25 * i) for i in range(109))
+GRID_NEGATIVE = tuple(-(10.0 ** (-3.0 + 0.25 * i)) for i in range(9)) + tuple(
     -(1.0 - 10.0 ** (-0.1 * i)) for i in range(1, 41)
 )
+REFINEMENTS = (0.25, 0.025, 0.0025)
 REFINE_STEPS = 10
 
 
@@ -223,8 +226,8 @@ def pareto_khat(
     """Shape of a generalised Pareto fit to the upper tail of the positive weights.
 
     Profile likelihood: with t = theta * max(x), the shape is mean(log1p(theta x)) and the
-    profile is -log(shape / theta) - shape.  A fixed grid on both signs is refined twice
-    around its best point.  NaN when fewer than ``2 * min_tail`` weights are positive or
+    profile is -log(shape / theta) - shape.  A fixed grid on both signs is refined around
+    its best point.  NaN when fewer than ``2 * min_tail`` weights are positive or
     fewer than ``min_tail`` excesses are; -Infinity when all excesses are equal.
     """
     by = list(by)
@@ -236,14 +239,13 @@ def pareto_khat(
         F.count_distinct(F.when(F.col("x") > 0, F.col("x"))).alias("n_distinct"),
     )
     usable = attach_one(excess.filter(F.col("x") > 0).select(*by, "x", "count"), facts.select(*by, "largest"), by)
-    # read three times below, so it is written once
+    # read once per refinement below, so it is written once
     rel = stage(usable.select(*by, (F.col("x") / F.col("largest")).alias("u"), "count"))
     grid = F.array(*[F.lit(t) for t in sorted(GRID_NEGATIVE + GRID_POSITIVE)])
     best = best_theta(rel, grid, by)
-    for round_ in (1, 2):
-        # log-spaced neighbours: the step shrinks tenfold per round
-        step = 0.1 ** round_
-        best = best_theta(attach_one(rel, best.select(*by, "t"), by), neighbours(F.col("t"), step), by)
+    for reach in REFINEMENTS:
+        around = attach_one(rel, best.select(*by, "t"), by)
+        best = best_theta(around, neighbours(F.col("t"), reach), by)
     degenerate = (F.col("largest") <= 1e-8) | (F.col("n_distinct") <= 1) & (F.col("n_excess") > 0)
     merged = (
         attach_one(facts, best.select(*by, F.col("shape").alias("k")), by, "left")
@@ -259,9 +261,9 @@ def pareto_khat(
     return merged.select(*by, "n_positive", "khat", khat_band(F.col("khat")).alias("band"))
 
 
-def neighbours(t: Column, step: float) -> Column:
+def neighbours(t: Column, reach: float) -> Column:
     """Ten points on either side of ``t``, spaced on the same log scale as the grid."""
-    offsets = F.array(*[F.lit(step * i / REFINE_STEPS) for i in range(-REFINE_STEPS, REFINE_STEPS + 1)])
+    offsets = F.array(*[F.lit(reach * i / REFINE_STEPS) for i in range(-REFINE_STEPS, REFINE_STEPS + 1)])
     return F.transform(
         offsets,
         lambda d: F.when(t > 0, t * F.pow(F.lit(10.0), d)).otherwise(

@@ -462,21 +462,22 @@ def khat_sql(name: str, source: str) -> str:
         return f"""{name}_s{tag} AS (SELECT t, avg(ln(1 + t * u)) AS shape FROM {name}_u, ({thetas}) WHERE t > -1 AND t <> 0 GROUP BY t),
 {name}_b{tag} AS (SELECT t, shape FROM {name}_s{tag} ORDER BY -ln(shape / t) - shape DESC, t DESC LIMIT 1)"""
 
-    def around(tag: str, step: float) -> str:
-        d = ", ".join(repr(step * i / weights.REFINE_STEPS) for i in range(-weights.REFINE_STEPS, weights.REFINE_STEPS + 1))
+    def around(tag: str, reach: float) -> str:
+        d = ", ".join(repr(reach * i / weights.REFINE_STEPS) for i in range(-weights.REFINE_STEPS, weights.REFINE_STEPS + 1))
         return f"SELECT CASE WHEN t > 0 THEN t * pow(10.0, d) ELSE -(1.0 - (1.0 + t) * pow(10.0, d)) END AS t FROM {name}_b{tag}, (SELECT unnest([{d}]) AS d)"
 
+    refined = ", ".join(best(str(i + 1), around(str(i), r)) for i, r in enumerate(weights.REFINEMENTS))
     return f"""{name}_r AS (SELECT w, row_number() OVER (ORDER BY w) AS rn, count(*) OVER () AS n FROM {source} WHERE w > 0),
 {name}_k AS (SELECT *, least(greatest(20, ceil(0.2 * n)), n - 1) AS n_tail FROM {name}_r),
 {name}_x AS (SELECT w - (SELECT max(w) FROM {name}_k WHERE rn = n - n_tail) AS x FROM {name}_k WHERE rn > n - n_tail),
 {name}_u AS (SELECT x / (SELECT max(x) FROM {name}_x) AS u FROM {name}_x WHERE x > 0),
-{best("0", f"SELECT unnest([{grid}]) AS t")}, {best("1", around("0", 0.1))}, {best("2", around("1", 0.1 * 0.1))},
+{best("0", f"SELECT unnest([{grid}]) AS t")}, {refined},
 {name} AS (SELECT (SELECT count(*) FROM {name}_r) AS n_positive,
    CASE WHEN (SELECT count(*) FROM {name}_r) < 40 THEN 'nan'::DOUBLE
         WHEN (SELECT max(x) FROM {name}_x) <= 1e-8 THEN '-infinity'::DOUBLE
         WHEN (SELECT count(*) FROM {name}_u) < 20 THEN 'nan'::DOUBLE
         WHEN (SELECT count(DISTINCT u) FROM {name}_u) <= 1 THEN '-infinity'::DOUBLE
-        ELSE (SELECT shape FROM {name}_b2) END AS khat)"""
+        ELSE (SELECT shape FROM {name}_b{len(weights.REFINEMENTS)}) END AS khat)"""
 
 
 BAND_SQL = """CASE WHEN isnan(khat) THEN 'undiagnosable' WHEN khat < 0.5 THEN 'stable' WHEN khat < 0.7 THEN 'flagged'
