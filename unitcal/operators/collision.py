@@ -142,7 +142,7 @@ def encounter_plane(df: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def disk_probability(n_radial: int = 200, n_angular: int = 360, chunk_points: int = 4_000_000):
+def disk_probability(n_radial: int = 200, n_angular: int = 360, chunk_points: int = 65_536):
     """Pandas UDF (miss_x, miss_y, p_xx, p_xy, p_yy, hbr) -> (pc, miss_2d, mahalanobis_2d).
 
     Gaussian mass of the disk of radius ``hbr`` by the polar midpoint rule in the
@@ -185,6 +185,17 @@ def disk_probability(n_radial: int = 200, n_angular: int = 360, chunk_points: in
     return integrate.asNondeterministic()
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when the scan has fewer files than that.
+
+    The integral costs far more per row than moving the row, so a handful of small files
+    must not leave most cores idle.  Looks at the file list only; large tables have more
+    files than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 PLANE = ("miss_x", "miss_y", "p_xx", "p_xy", "p_yy", "hbr")
 
 
@@ -200,7 +211,7 @@ def collision_probability(
     base = df.withColumn("n_missing", n_missing_required()).withColumn(
         "hbr", (F.col("t_span") + F.col("c_span")) / 2.0
     )
-    plane = encounter_plane(combined_covariance(base))
+    plane = encounter_plane(combined_covariance(spread_small_input(base)))
     keep = [*df.columns, "n_missing", "hbr", "cov_det"]
     solved = plane.select(*keep, disk_probability(n_radial, n_angular)(*PLANE).alias("_r"))
     status = (

@@ -92,9 +92,12 @@ def replicates(
     by = list(by)
     values = df.select(*by, unit, *[c.cast("double").alias(n) for n, c in parts.items()])
     if mode == "poisson":
-        drawn = with_draws(values, F.col(unit), n_replicates, seed, fast).withColumn(
-            "times", poisson_count(F.col("draw"))
-        )
+        # every row is multiplied by the replicates here, so the number of tasks must follow
+        # from that work and not from the bytes of the narrow input
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        drawn = with_draws(
+            values.repartition(width, unit), F.col(unit), n_replicates, seed, fast
+        ).withColumn("times", poisson_count(F.col("draw")))
     elif mode == "exact":
         index = dense_index(values, unit, by)
         picks = (

@@ -26,19 +26,19 @@ FIELDS = {
     "t_sigma_r": "20 + l_partkey % 100",
     "t_sigma_t": "50 + l_suppkey % 300",
     "t_sigma_n": "20 + l_linenumber * 10",
-    "t_ct_r": "(l_orderkey % 9 - 4) / 10.0",
-    "t_cn_r": "(l_partkey % 7 - 3) / 10.0",
-    "t_cn_t": "(l_suppkey % 5 - 2) / 10.0",
+    "t_ct_r": "(l_orderkey % 9 - 4) / 10e0",
+    "t_cn_r": "(l_partkey % 7 - 3) / 10e0",
+    "t_cn_t": "(l_suppkey % 5 - 2) / 10e0",
     "c_sigma_r": "30 + l_suppkey % 70",
     "c_sigma_t": "60 + l_partkey % 200",
     "c_sigma_n": "25 + l_orderkey % 50",
-    "c_ct_r": "(l_suppkey % 9 - 4) / 10.0",
-    "c_cn_r": "(l_orderkey % 7 - 3) / 10.0",
-    "c_cn_t": "(l_partkey % 5 - 2) / 10.0",
+    "c_ct_r": "(l_suppkey % 9 - 4) / 10e0",
+    "c_cn_r": "(l_orderkey % 7 - 3) / 10e0",
+    "c_cn_t": "(l_partkey % 5 - 2) / 10e0",
     "t_span": "CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE 1 + l_quantity / 10 END",
     "c_span": "CASE WHEN l_partkey % 211 = 0 THEN NULL ELSE 1 + l_tax * 10 END",
 }
-REPORTED = "-3.0 - (l_partkey % 270) / 10.0"
+REPORTED = "-3e0 - (l_partkey % 270) / 10e0"
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 MISSING = " + ".join(f"CAST({f} IS NULL AS INTEGER)" for f in collision.REQUIRED_FIELDS)
 
