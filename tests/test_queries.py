@@ -10,8 +10,6 @@ from unitcal.plans.catalog import CATALOG
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-# on 150 customers these legitimately return nothing or only depend on the tables' files
-MAY_BE_EMPTY = {"order_statistic_quantile"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +28,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(n for n, e in CATALOG.items() if e.sql))
 def test_query_equals_sql(spark, con, name):
     problem = compare(CATALOG[name].run(spark, SF), con, CATALOG[name].sql, tol=1e-9)
-    assert problem is None or (problem == "no rows" and name in MAY_BE_EMPTY), problem
+    assert problem is None, problem
 
 
 @pytest.mark.parametrize("name", sorted(n for n, e in CATALOG.items() if not e.sql))

@@ -178,8 +178,9 @@ def conformal_quantile(spark, sf):
 @query("order_statistic_quantile", PAIRS + f", {PREDS_SQL}" + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY learner, seed, sided ORDER BY score) AS rn,
              count(*) OVER (PARTITION BY learner, seed, sided) AS n FROM scores)
-SELECT learner, CAST(seed AS BIGINT) AS seed, sided, level, round(score, 4) AS q
-FROM r, lv WHERE rn = ceil((n + 1) * level - 1e-9)""")
+SELECT g.learner, CAST(g.seed AS BIGINT) AS seed, g.sided, level, round(coalesce(score, 'infinity'::DOUBLE), 4) AS q
+FROM (SELECT DISTINCT learner, seed, sided, n, level FROM r, lv) g LEFT JOIN r
+  ON r.learner = g.learner AND r.seed = g.seed AND r.sided = g.sided AND rn = ceil((g.n + 1) * level - 1e-9)""")
 def order_statistic_quantile(spark, sf):
     """The uniform special case as an order statistic; must agree with the weighted form."""
     cal = predictions(spark, sf).filter("subset = 'calibration'")
@@ -328,12 +329,12 @@ bg AS (SELECT cu.*, b.range AS blk, md5('42:' || b.range || ':' || unit) AS h FR
 bd AS (SELECT level, covered, 4 * blk + s.range AS replicate,
          CAST('0x' || substr(h, CAST(8 * s.range + 1 AS INTEGER), 8) AS BIGINT) AS d FROM bg, range(4) s),
 br AS (SELECT level, replicate, sum(({POISSON_CASE}) * covered::INT) / sum({POISSON_CASE}) AS share FROM bd GROUP BY level, replicate),
-cl AS (SELECT level, n, n_covered, coverage, median_width FROM cov
+cl AS (SELECT level, n, n_covered, coverage, median_width, share_infinite FROM cov
        WHERE method = 'naive' AND learner = 'persistence' AND sided = 'two' AND seed = 42)"""
 
 
 @query("coverage_with_bounds", PAIRS + f", {SWEEP}, {COVERAGE_BOOT}, kn AS (SELECT n_covered AS k, n FROM cl), {bounds_sql('kn')}" + """
-SELECT level, cl.n, n_covered, round(coverage, 6) AS coverage, round(median_width, 3) AS median_width, 0.0::DOUBLE AS share_infinite,
+SELECT level, cl.n, n_covered, round(coverage, 6) AS coverage, round(median_width, 3) AS median_width, round(share_infinite, 6) AS share_infinite,
   round(cp_lo, 6) AS cp_lo, round(cp_hi, 6) AS cp_hi, round(boot_lo, 6) AS boot_lo, round(boot_hi, 6) AS boot_hi
 FROM cl JOIN cp ON cp.k = cl.n_covered AND cp.n = cl.n JOIN (
   SELECT level, quantile_cont(share, 0.025) AS boot_lo, quantile_cont(share, 0.975) AS boot_hi FROM br GROUP BY level) USING (level)""")
@@ -501,7 +502,7 @@ def price_tail(spark, sf):
 
 
 CLIP_SQL = f"""{khat_sql("kb", "odds")},
-cl AS (SELECT khat > 0.7 AS clipped, CASE WHEN khat > 0.7 THEN (SELECT quantile_cont(w, 0.99) FROM odds) ELSE 'infinity'::DOUBLE END AS bound,
+cl AS (SELECT khat > 0.7 AND NOT isnan(khat) AS clipped, CASE WHEN khat > 0.7 AND NOT isnan(khat) THEN (SELECT quantile_cont(w, 0.99) FROM odds) ELSE 'infinity'::DOUBLE END AS bound,
          khat AS khat_before FROM kb),
 cw AS (SELECT unit, w, least(w, bound) AS w_used FROM odds, cl),
 {khat_sql("ka", "(SELECT w_used AS w FROM cw)")},
