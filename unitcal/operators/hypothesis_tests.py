@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from unitcal.functions import approximately, normal_cdf
 from unitcal.functions.exact import kolmogorov_p
-from unitcal.operators.ordered import attach_one, average_ranks, interpolate, null_safe_join, running_totals
+from unitcal.operators.ordered import average_ranks, null_safe_join, quantile_pick, running_totals
 from unitcal.session import stage
 
 
@@ -29,6 +29,8 @@ def two_sample(df: DataFrame, value: str, in_second: Column, by: Sequence[str] =
     ranked = running_totals(df, value, {"one": 1 - second, "two": second}, by)
     ties = (F.col("one") + F.col("two")).cast("double")
     below_two = F.col("cum_two") - F.col("two")
+    first, median_one = quantile_pick(value, "one", 0.5, "one")
+    other, median_two = quantile_pick(value, "two", 0.5, "two")
     stats = ranked.groupBy(*by).agg(
         F.max("all_one").alias("n1"),
         F.max("all_two").alias("n2"),
@@ -37,17 +39,9 @@ def two_sample(df: DataFrame, value: str, in_second: Column, by: Sequence[str] =
         ).alias("ks"),
         F.sum(F.col("one") * (below_two + F.col("two") / 2.0)).alias("u"),
         F.sum(ties * ties * ties - ties).alias("tie_term"),
+        *first,
+        *other,
     )
-    for side in ("one", "two"):
-        medians = interpolate(
-            ranked.filter(F.col(side) > 0).select(
-                *by, value, F.col(f"cum_{side}").alias("cum_n"), F.col(f"all_{side}").alias("all_n")
-            ),
-            value,
-            {f"median_{side}": 0.5},
-            by,
-        )
-        stats = attach_one(stats, medians, by)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     sd = F.sqrt(n1 * n2 / 12.0 * (n + 1.0 - F.col("tie_term") / (n * (n - 1.0))))
@@ -57,8 +51,8 @@ def two_sample(df: DataFrame, value: str, in_second: Column, by: Sequence[str] =
         *by,
         "n1",
         "n2",
-        "median_one",
-        "median_two",
+        median_one.alias("median_one"),
+        median_two.alias("median_two"),
         "ks",
         kolmogorov_p(F.sqrt(n1 * n2 / n) * F.col("ks")).alias("ks_p"),
         "u",

@@ -75,6 +75,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
+BROADCAST_ROWS = 100_000
+
+
+def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a staged result table for broadcast if it has at most ``limit`` rows.
+
+    Counts the rows first; a larger table is returned as it is and joined by shuffling.
+    """
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
 def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
     """Attach a one-row table to every row as the struct column ``name``.
 
@@ -125,21 +136,34 @@ def interpolate(
     ``extra`` adds aggregates over the same table, so that a summary needs one pass.
     """
     extra = extra or {}
-    picks, outputs = [], []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("all_n") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.min(F.when(F.col("cum_n") > rank, F.col(value))).alias(f"{side}_{name}"))
-        spot = F.lit(float(p)) * (F.col("size") - 1)
-        low, high = F.col(f"lo_{name}"), F.col(f"hi_{name}")
-        outputs.append((low + (spot - F.floor(spot)) * (high - low)).alias(name))
+    picked = {name: quantile_pick(value, name, p) for name, p in probs.items()}
     return (
         ranked.groupBy(*by)
-        .agg(F.max("all_n").alias("size"), *picks, *[c.alias(n) for n, c in extra.items()])
-        .select(*by, *extra, *outputs)
+        .agg(
+            *[a for aggregates, _ in picked.values() for a in aggregates],
+            *[c.alias(n) for n, c in extra.items()],
+        )
+        .select(*by, *extra, *[result.alias(name) for name, (_, result) in picked.items()])
     )
 
 
+def quantile_pick(
+    value: str, name: str, p: float, count: str = "n"
+) -> tuple[list[Column], Column]:
+    """Aggregates over a :func:`running_totals` table, and the quantile built from them.
+
+    ``count`` is the running count that orders the sample (a table can order several).
+    """
+    at = F.lit(float(p)) * (F.col(f"all_{count}") - 1)
+    aggregates = [
+        F.min(F.when(F.col(f"cum_{count}") > rank, F.col(value))).alias(f"{side}_{name}")
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at)))
+    ]
+    aggregates.append(F.max(at - F.floor(at)).alias(f"part_{name}"))
+    low, high = F.col(f"lo_{name}"), F.col(f"hi_{name}")
+    return aggregates, low + F.col(f"part_{name}") * (high - low)
+
+
 def average_ranks(
     df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank", weight: Column | None = None
 ) -> DataFrame:

@@ -231,7 +231,8 @@ def pareto_khat(
     fewer than ``min_tail`` excesses are; -Infinity when all excesses are equal.
     """
     by = list(by)
-    excess = tail_excess(df, by, w, tail, min_tail)
+    # read once per step below, so it is written once
+    excess = stage(tail_excess(df, by, w, tail, min_tail))
     facts = excess.groupBy(*by).agg(
         F.max("n_positive").alias("n_positive"),
         F.max("x").alias("largest"),
@@ -239,8 +240,7 @@ def pareto_khat(
         F.count_distinct(F.when(F.col("x") > 0, F.col("x"))).alias("n_distinct"),
     )
     usable = attach_one(excess.filter(F.col("x") > 0).select(*by, "x", "count"), facts.select(*by, "largest"), by)
-    # read once per refinement below, so it is written once
-    rel = stage(usable.select(*by, (F.col("x") / F.col("largest")).alias("u"), "count"))
+    rel = usable.select(*by, (F.col("x") / F.col("largest")).alias("u"), "count")
     grid = F.array(*[F.lit(t) for t in sorted(GRID_NEGATIVE + GRID_POSITIVE)])
     best = best_theta(rel, grid, by)
     for reach in REFINEMENTS:

@@ -221,7 +221,7 @@ def split_interval(spark, sf):
         LEVELS, ["learner", "seed", "sided"],
     )
     out = conformal.attach_intervals(
-        preds.filter("split = 'test'"), q, ["learner", "seed"], "pred", "target"
+        preds.filter("split = 'test'"), stage(q), ["learner", "seed"], "pred", "target"
     )
     return longs(out.select(
         "unit", "learner", "seed", "sided", "level",
@@ -540,7 +540,7 @@ def weighted_interval(spark, sf):
         weight="w_used", test_weight=test_weight, shrink=row.select(F.col("bias").alias("alpha_shift")),
     )
     test = frame.filter((F.col("split") == "test") & (F.col("target_ttr") <= RECENCY))
-    out = conformal.attach_intervals(with_learners(test), q, ["learner", "seed"], "pred", "target")
+    out = conformal.attach_intervals(with_learners(test), stage(q), ["learner", "seed"], "pred", "target")
     return longs(rounded(out.groupBy(*KEYS).agg(
         F.max("q").alias("q"), F.count(F.lit(1)).alias("n"), F.avg(F.col("covered").cast("int")).alias("coverage")
     ), 6, q=4), "seed")
