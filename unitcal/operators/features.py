@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitcal.functions import is_finite, signed_asinh
@@ -61,14 +61,21 @@ def window_summaries(
         spec,
         k,
     )
-    long = window.select(
-        spec.unit, "recency", spec.ttr, *([spec.group] if spec.group else []),
-        F.posexplode("row").alias("pos", "x"),
-    )
-    present = F.col("x").isNotNull()
-    at = F.when(present, F.col("recency"))
+    keys = [spec.unit]
+    if spec.group:
+        # the earliest known group of the window, put on all of its rows, so that it can be
+        # a grouping key: as an aggregate it would turn the hash aggregation into a sort
+        whole = (
+            Window.partitionBy(spec.unit)
+            .orderBy("recency")
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
+        window = window.withColumn(spec.group, F.last(spec.group, ignorenulls=True).over(whole))
+        keys.append(spec.group)
+    long = window.select(*keys, "recency", spec.ttr, F.posexplode("row").alias("pos", "x"))
+    at = F.when(F.col("x").isNotNull(), F.col("recency"))
     newest, oldest = F.min_by("x", at), F.max_by("x", at)
-    per_column = long.groupBy(spec.unit, "pos").agg(
+    per_column = long.groupBy(*keys, "pos").agg(
         newest.alias("last"),
         F.avg("x").alias("mean"),
         F.min("x").alias("min"),
@@ -78,28 +85,19 @@ def window_summaries(
         F.count(F.lit(1)).alias("n"),
         F.max(spec.ttr).alias("first_ttr"),
         F.min(spec.ttr).alias("last_ttr"),
-        *([F.max_by(spec.group, "recency").alias(spec.group)] if spec.group else []),
     )
-    packed = per_column.groupBy(spec.unit).agg(
+    packed = per_column.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", *SUMMARIES))).alias("s"),
         F.max("n").alias("n_admissible"),
         F.max(F.col("first_ttr") - F.col("last_ttr")).alias("window_span"),
         F.min("last_ttr").alias("last_admissible_ttr"),
-        *([F.first(spec.group).alias(spec.group)] if spec.group else []),
     )
     wide = [
         F.col("s")[i][summary].alias(f"{name}_{summary}")
         for i, name in enumerate(names)
         for summary in SUMMARIES
     ]
-    return packed.select(
-        spec.unit,
-        *([spec.group] if spec.group else []),
-        *wide,
-        "n_admissible",
-        "window_span",
-        "last_admissible_ttr",
-    )
+    return packed.select(*keys, *wide, "n_admissible", "window_span", "last_admissible_ttr")
 
 
 def align_targets(

@@ -52,8 +52,11 @@ def messages(spark: SparkSession, sf: str, group: bool = False) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str, group: bool = False) -> DataFrame:
     """One row per forecastable customer: split, (group,) target, its time and the as-of value."""
-    frame = forecast_frame(messages(spark, sf), ORDERS, CUTOFF, ("split",)).filter(
-        F.col("known").isNotNull()
+    # the split follows from the unit, so it is hashed once per customer, after the aggregation
+    frame = (
+        forecast_frame(messages(spark, sf), ORDERS, CUTOFF)
+        .filter(F.col("known").isNotNull())
+        .withColumn("split", split_of("unit"))
     )
     if not group:
         return frame
