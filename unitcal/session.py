@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: list[str] = []
+
 
 def build_session(app: str = "unitcal", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` wins over the defaults."""
@@ -26,19 +31,43 @@ def build_session(app: str = "unitcal", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A ``local`` master is one process on one machine, so there a temporary folder serves when
+    none is named; it goes when the process ends.  Any other master must name the folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="spark-stage-"))
+        atexit.register(shutil.rmtree, _local_folder[0], True)
+    return f"file://{_local_folder[0]}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read on from there.
+    """Write ``df`` as Parquet to the shared folder and read on from there.
 
-    Used where later steps must see exactly the same rows again (partition tags,
-    model inputs).  The files live in the shared folder named by
-    ``spark.checkpoint.dir``, so a lost executor costs a re-read, not a different
-    answer.  Only a session with no folder at all (a unit test) gets its own.
+    Used where later steps must see exactly the same rows again (partition tags, model
+    inputs) or would compute them twice.  A lost executor costs a re-read, not a different
+    answer, and later steps read only the columns they name.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
-        )
-    return df.checkpoint(eager=True)
+    path = new_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+def unstage(spark: SparkSession, path: str) -> None:
+    """Delete a staged path that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
