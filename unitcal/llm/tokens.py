@@ -2,36 +2,36 @@
 
 The byte-level pattern of these tokenizers never joins a character before a blank to what
 follows the blank, so a text falls into chunks " word" that encode independently.  Each
-worker remembers the ids of the chunks and of their pieces that it has met (both memories
-are emptied at a fixed number of entries), so that the library is called once for a piece
-and not for every occurrence.  Texts with runs of white space are cut only at blanks that
-have a visible character on both sides.
+worker remembers the ids of the chunks it has met (and forgets them all at a fixed number),
+so that the library encodes a chunk once and not for every occurrence.  A text with runs of
+white space goes to the library whole.
 """
 
 from __future__ import annotations
 
-import array
 import os
-import re
-from itertools import islice
+from bisect import bisect_right
+from itertools import chain, islice
 
-import regex
+import numpy as np
 
-#: Fixed value: the public pattern that splits text before the merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Entries of a worker's memory; at most about 300 MB.
+MEMORY = 1_500_000
 
-#: Entries of each memory of a worker; at most about 150 MB in all.
-MEMORY = 500_000
+#: Chunks that go to the library together.
+SPANS = 20_000
+
+#: Characters that are cut into chunks at a time.
+RUN = 2_000_000
 
 #: Longer chunks are encoded each time and not remembered.
 LONGEST_REMEMBERED = 64
 
-_cut = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    """Encodes whole texts to little-endian 32-bit ids, remembering chunks and pieces."""
+    """Encodes whole texts to little-endian 32-bit ids, remembering the ids of chunks."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,54 +39,60 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.library.get_vocab()
+        # a byte-level token is written with one character for each of its bytes
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.chunks: dict[str, bytes] = {}  # "word": the ids of " word"
-        self.pieces: dict[str, bytes] = {}
-        self.find = regex.compile(PATTERN).findall
 
     def spans(self, spans: list[str]) -> list[bytes]:
-        """Ids of each span of text; pieces that are not remembered go to the library in one call."""
-        cut = [self.find(s) for s in spans]
-        pieces = self.pieces
-        fresh = list({p for c in cut for p in c if p not in pieces})
-        if fresh:
-            found = self.library.encode_batch_fast(fresh, add_special_tokens=False)
-            pieces.update((p, array.array("i", e.ids).tobytes()) for p, e in zip(fresh, found))
-        out = [b"".join([pieces[p] for p in c]) for c in cut]
-        if len(pieces) > MEMORY:
-            pieces.clear()
-        elif fresh:
-            for p in fresh:
-                if len(p) > LONGEST_REMEMBERED:
-                    del pieces[p]
+        """Ids of each span; the library gets them put together, in runs, and so must not join them."""
+        out: list[bytes] = []
+        for start in range(0, len(spans), SPANS):
+            part = spans[start:start + SPANS]
+            found = self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<i4")
+            ends = np.cumsum([len(s.encode()) for s in part])
+            cuts = (4 * np.searchsorted(np.cumsum(self.widths[ids]), ends, side="right")).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
+    def single(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<i4").tobytes() for e in found]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, taken in runs of about ``RUN`` characters."""
+        out: list[bytes] = []
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= RUN:
+                out += self.run(texts[start:i + 1])
+                start, size = i + 1, 0
+        return out + self.run(texts[start:])
+
+    def run(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for c in cut:
-            seen.update(islice(c, 1, None))
-        chunks = self.chunks
-        fresh = [p for p in seen if p not in chunks]
-        if len(chunks) + len(fresh) > MEMORY:
-            chunks.clear()
-            fresh = list(seen)
-        odd = {p for p in fresh if not p or p[0].isspace() or p[-1].isspace()}
-        fresh = [p for p in fresh if p not in odd]
-        chunks.update(zip(fresh, self.spans([" " + p for p in fresh])))
-        plain = [
-            len(c) == 1 or bool(c[0]) and not c[0][-1].isspace() and (not odd or odd.isdisjoint(c))
-            for c in cut
+        flat = list(chain.from_iterable(islice(c, 1, None) for c in cut))
+        ends = np.cumsum([len(c) - 1 for c in cut]).tolist()
+        if len(self.chunks) > MEMORY:
+            self.chunks.clear()
+        got = list(map(self.chunks.get, flat))
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        fresh = [p for p in {flat[i] for i in missing} if p and not p[0].isspace() and not p[-1].isspace()]
+        made = dict(zip(fresh, self.spans([" " + p for p in fresh])))
+        for i in missing:
+            got[i] = made.get(flat[i])
+        self.chunks.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST_REMEMBERED)
+        odd = {bisect_right(ends, i) for i in missing if got[i] is None}
+        odd.update(i for i, c in enumerate(cut) if len(c) > 1 and (not c[0] or c[0][-1].isspace()))
+        heads = self.single([t if i in odd else c[0] for i, (t, c) in enumerate(zip(texts, cut))])
+        return [
+            head if i in odd else head + b"".join(got[start:end])
+            for i, (head, start, end) in enumerate(zip(heads, [0, *ends], ends))
         ]
-        heads = iter(self.spans([c[0] for c, p in zip(cut, plain) if p]))
-        out = [
-            next(heads) + b"".join(map(chunks.__getitem__, islice(c, 1, None))) if p
-            else b"".join(self.spans(_cut.split(t)))
-            for t, c, p in zip(texts, cut, plain)
-        ]
-        for p in fresh:
-            if len(p) > LONGEST_REMEMBERED:
-                del chunks[p]
-        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
