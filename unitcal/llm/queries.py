@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitcal.llm import packing
+from unitcal.llm import bpe, chat, huffman, packing, perplexity, simhash, warc
 from unitcal.plans.registry import Entry
+from unitcal.session import new_path, stage
 
 LLM_CATALOG: dict[str, Entry] = {}
 
@@ -20,10 +21,99 @@ def llm_query(name: str, sql: str | None = None):
     return register
 
 
+CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS place
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), prefixes AS (
+  SELECT conv_id, place, string_agg(
+           coalesce(strlen(role)::VARCHAR, 'n') || ',' || coalesce(strlen(text)::VARCHAR, 'n') || ';'
+           || coalesce(role, '') || coalesce(text, ''), '')
+         OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM turns
+), ends AS (
+  SELECT conv_id, max(place) AS n, arg_max(so_far, place) AS whole FROM prefixes GROUP BY conv_id
+), classes AS (
+  SELECT whole, min(conv_id) AS conv_id, any_value(n) AS n_turns, count(*) AS n_copies FROM ends GROUP BY whole
+), inner_prefixes AS (
+  SELECT DISTINCT so_far FROM prefixes JOIN ends USING (conv_id) WHERE place < n
+), kept AS (
+  SELECT conv_id, n_turns, n_copies FROM classes WHERE whole NOT IN (SELECT so_far FROM inner_prefixes)
+)
+SELECT k.conv_id, k.n_turns, k.n_copies, string_agg(
+         '<|im_start|>' || replace(replace(coalesce(role, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>')
+         || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>')
+         || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM kept k JOIN turns t USING (conv_id) GROUP BY k.conv_id, k.n_turns, k.n_copies
+"""
+
+#: SHA-1 in base 32 from its hexadecimal digits: eight groups of five digits, four letters each.
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages
+), firsts AS (
+  SELECT payload, min(page_id) AS first_id FROM payloads GROUP BY payload
+)
+SELECT p.page_id, strlen(p.payload) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(p.digest, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN p.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM payloads p JOIN firsts f USING (payload)
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@llm_query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@llm_query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return bpe.decode(encoded.drop("text"), ranks, pattern).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        bpe.digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@llm_query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    huffman.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 50_257)
+    read = huffman.read_tokens(spark, path)
+    summary = stage(read.select("file", "start_in_file", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    return huffman.with_starts(summary).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@llm_query("op5_chat_format", CHAT_SQL)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@llm_query("op6_warc", WARC_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@llm_query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @llm_query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
