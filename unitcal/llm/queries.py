@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitcal.llm import bpe, chat, huffman, packing, perplexity, simhash, warc
+from unitcal.llm import bpe, chat, cotrain, huffman, packing, perplexity, simhash, warc
 from unitcal.plans.registry import Entry
 from unitcal.session import new_path, stage
 
@@ -114,6 +114,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@llm_query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @llm_query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
