@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitcal.llm import bpe, chat, cotrain, huffman, packing, perplexity, simhash, warc
+import corpus_pipeline
+from unitcal.llm import bpe, chat, cotrain, cross_polytope, huffman, packing, perplexity, recompress, simhash, warc
 from unitcal.plans.registry import Entry
 from unitcal.session import new_path, stage
 
@@ -74,6 +75,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@llm_query("op2_embeddings")
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @llm_query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -119,6 +125,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@llm_query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompress.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @llm_query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+LLM_CATALOG["pipeline"] = Entry(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
