@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitcal.llm.shared import Batches, in_arrow, mix64, raw_texts
+from unitcal.llm.shared import Batches, in_arrow, mix64, raw_texts, squeezed, unsqueezed
 from unitcal.session import stage
 
 WINDOW = 13
@@ -255,7 +255,7 @@ def windows(docs: DataFrame) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy()
         shared = [np.zeros(0, np.uint64) if s is None else np.sort(s.values.to_numpy().view(np.uint64)) for s in batch.column(2)]
-        raws = [t if len(s) else b"" for t, s in zip(raw_texts(batch.column(1)), shared)]
+        raws = [t if len(s) else b"" for t, s in zip(unsqueezed(batch.column(1)), shared)]
         found = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for rows, names in in_runs(raws):
             starts, keys, hashes = window_keys(names, rows)
@@ -304,7 +304,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated): hashes of the windows of each document that a smaller document has too."""
     known = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id is not null")
     common = meet(symbols(known)).mapInArrow(shared_symbols, MET)
-    candidates = known.join(by_document(common, "shared"), "doc_id").select("doc_id", "text", "shared")
+    packed = known.select("doc_id", squeezed("text").alias("text"))
+    candidates = packed.join(by_document(common, "shared"), "doc_id").select("doc_id", "text", "shared")
     found = meet(windows(candidates)).mapInArrow(repeats, MET)
     return stage(by_document(found, "repeated"))
 
@@ -339,19 +340,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Other columns stay, but for ones of these names.
     """
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")]
+    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")]
     repeated = repeated_windows(docs).select(F.col("doc_id").alias("_of"), F.col("repeated").alias("_repeated"))
-    joined = docs.join(repeated, docs["doc_id"].cast("bigint") == F.col("_of"), "left")
+    packed = docs.select(*others, squeezed("text").alias("_text"))
+    joined = packed.join(repeated, packed["doc_id"].cast("bigint") == F.col("_of"), "left")
 
     @F.arrow_udf(f"struct<{CUT.replace(' ', ':').replace(',:', ',')}>")
     def cut(texts: pa.Array, hashes: pa.Array) -> pa.Array:
         rows = [
             cut_text(raw, np.zeros(0, np.uint64) if h.values is None else h.values.to_numpy().view(np.uint64))
-            for raw, h in zip(raw_texts(texts), hashes)
+            for raw, h in zip(unsqueezed(texts), hashes)
         ]
         columns = list(zip(*rows)) if rows else [[]] * 4
         types = (pa.string(), pa.int64(), pa.int64(), pa.string())
         arrays = [pa.array(columns[0], pa.binary()).cast(pa.string()), *[pa.array(c, t) for c, t in zip(columns[1:], types[1:])]]
         return pa.StructArray.from_arrays(arrays, names=[c.split()[0] for c in CUT.split(", ")])
 
-    return joined.select(*others, cut("text", "_repeated").alias("_cut")).select(*[c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")], "_cut.*")
+    return joined.select(*others, cut("_text", "_repeated").alias("_cut")).select(*others, "_cut.*")

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.session import stage
@@ -30,6 +31,22 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def squeezed(text: str) -> Column:
+    """The UTF-8 bytes of a text column, compressed for an exchange; NULL is empty."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        return pa.array([packer.compress(t) for t in raw_texts(texts)], pa.binary())
+
+    return run(F.col(text))
+
+
+def unsqueezed(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(b) for b in column.to_pylist()]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
