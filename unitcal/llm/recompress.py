@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitcal.llm.shared import Batches, in_arrow, mix64, raw_texts, squeezed, unsqueezed
+from unitcal.llm.shared import Batches, in_arrow, mix64, raw_texts, release, squeezed, unsqueezed
 from unitcal.session import stage
 
 WINDOW = 13
@@ -303,11 +303,13 @@ def by_document(rows: DataFrame, name: str) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated): hashes of the windows of each document that a smaller document has too."""
     known = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id is not null")
-    common = meet(symbols(known)).mapInArrow(shared_symbols, MET)
+    common = stage(by_document(meet(symbols(known)).mapInArrow(shared_symbols, MET), "shared"))
+    release(docs.sparkSession)
     packed = known.select("doc_id", squeezed("text").alias("text"))
-    candidates = packed.join(by_document(common, "shared"), "doc_id").select("doc_id", "text", "shared")
-    found = meet(windows(candidates)).mapInArrow(repeats, MET)
-    return stage(by_document(found, "repeated"))
+    candidates = packed.join(common, "doc_id").select("doc_id", "text", "shared")
+    found = stage(by_document(meet(windows(candidates)).mapInArrow(repeats, MET), "repeated"))
+    release(docs.sparkSession)
+    return found
 
 
 CUT = "text string, n_words bigint, n_removed bigint, kept_sha256 string"

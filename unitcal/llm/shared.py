@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitcal.session import stage
@@ -42,6 +43,16 @@ def squeezed(text: str) -> Column:
     return run(F.col(text))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It deletes them when the driver's garbage collection finds that nothing can read them any more,
+    which on a driver with little to do comes late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unsqueezed(column: pa.Array) -> list[bytes]:
     unpack = zstandard.ZstdDecompressor()
     return [unpack.decompress(b) for b in column.to_pylist()]
