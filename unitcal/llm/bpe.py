@@ -42,12 +42,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The merges themselves: the pair of lowest rank, the first of equals, until none is left."""
+def merge(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
+    """The merges themselves: the pair of lowest rank, the first of equals, until none (``below`` a rank) is left."""
+    below = len(ranks) + 1 if below is None else below
     parts = [piece[i:i + 1] for i in range(len(piece))]
     while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, len(ranks) + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank > len(ranks):
+        rank, at = min((ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank >= below:
             break
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
     return parts
@@ -69,18 +70,53 @@ class Codec(dict):
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.parts_of: dict[int, tuple[int, int] | None] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of two tokens leaves just the two."""
         key = a * self.top + b
         known = self.fits.get(key)
         if known is None:
-            left, right = self.bytes_of[a], self.bytes_of[b]
             if len(self.fits) > MEMORY:
                 self.fits.clear()
-            known = self.fits[key] = merge(left + right, self.ranks) == [left, right]
+            known = self.fits[key] = self.stay_apart(a, b)
         return known
 
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge gives this one; a byte stands for itself; None if no merges lead to it."""
+        if token not in self.parts_of:
+            whole = self.bytes_of[token]
+            if len(whole) == 1:
+                self.parts_of[token] = token, token
+            else:
+                halves = merge(whole, self.ranks, token)
+                made = len(halves) == 2 and None not in map(self.parts, map(self.ranks.__getitem__, halves))
+                self.parts_of[token] = tuple(self.ranks[h] for h in halves) if made else None
+        return self.parts_of[token]
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Undo the merges of both tokens, the last one first, and look at the tokens at the seam.
+
+        They were neighbours until the merge that was undone took place, so they would have merged
+        if that had a lower rank (or, with that merge to their right, the same).
+        """
+        if self.parts(left) is None or self.parts(right) is None:
+            return False
+        until = self.top
+        while True:
+            joined = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if joined is not None and joined < until:
+                return False
+            # a byte has no merge to undo
+            last_left = left if len(self.bytes_of[left]) > 1 else -1
+            last_right = right if len(self.bytes_of[right]) > 1 else -1
+            if last_left == last_right == -1:
+                return True
+            if last_left > last_right:
+                until, left = left, self.parts(left)[1]
+            else:
+                until, right = right + 1, self.parts(right)[0]
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
