@@ -39,7 +39,8 @@ from unitcal.session import new_path
 
 LIMIT = 20  # longest code in bits
 STEP = 512  # ids from one checkpoint to the next
-BLOCK_IDS = 1 << 20  # a block ends with the document that reaches this
+CODED_AT_ONCE = 1 << 18  # ids whose bits are made together, to the end of a document
+BLOCK_IDS = 1 << 18  # a block ends with the document that reaches this
 END_MARK = "ENDBLOCK"
 BLOCK_MAGIC = 0x4B4C4248
 BOOK_MAGIC = b"HBOK"
@@ -238,10 +239,15 @@ def write_tokens(
     def count(batches: Batches) -> Batches:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
+            together: list[bytes] = []
+            size = 0
             for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, kind), minlength=vocabulary) if len(ids) > 1 << 16 else 0
-            small = b"".join(i for i in batch.column(0).to_pylist() if len(i) <= 1 << 16)
-            total += np.bincount(np.frombuffer(small, kind), minlength=vocabulary)
+                together.append(ids)
+                size += len(ids)
+                if size >= 4 * CODED_AT_ONCE:
+                    total += np.bincount(np.frombuffer(b"".join(together), kind), minlength=vocabulary)
+                    together, size = [], 0
+            total += np.bincount(np.frombuffer(b"".join(together), kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"]
@@ -269,7 +275,13 @@ def write_tokens(
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = [np.frombuffer(i, kind) for i in batch.column(1).to_pylist()]
-        coded = code_documents(ids, codes, lengths)
+        coded: list[tuple[bytes, bytes]] = []
+        start = size = 0
+        for i, own in enumerate(ids):
+            size += len(own)
+            if size >= CODED_AT_ONCE or i == len(ids) - 1:
+                coded += code_documents(ids[start:i + 1], codes, lengths)
+                start, size = i + 1, 0
         keys = batch.column(0).to_pylist()
         place = [0 if k is None else int(np.searchsorted(cuts, k, side="left")) for k in keys]
         return pa.RecordBatch.from_arrays(
