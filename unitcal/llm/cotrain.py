@@ -87,6 +87,11 @@ class CoTrained:
     combined: tuple[float, float, float]
 
 
+def needed(docs: DataFrame) -> DataFrame:
+    """The columns that are read; others may have any names."""
+    return docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns])
+
+
 def labels_of(labels: DataFrame) -> DataFrame:
     """(doc_id, accept) with accept 1.0 for quality 1 and not toxic."""
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double")
@@ -122,7 +127,7 @@ def logit(features: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     """Co-train on the samples; None without both kinds of labels to learn and to calibrate from."""
-    rows = stage(views(sample(docs, labels)))
+    rows = stage(views(sample(needed(docs), labels)))
     kinds = rows.filter("accept is not null").agg(
         *[F.count_distinct(F.when(c, F.col("accept"))).alias(a) for a, c in (("fit", F.col("part") > 0), ("calibrate", F.col("part") == 0))]
     ).first()
@@ -181,7 +186,7 @@ def score(docs: DataFrame, fitted: CoTrained | None) -> DataFrame:
         return docs.select(
             "doc_id", *[nothing.alias(c) for c in ("content_score", "page_score", "score")], F.lit(True).alias("kept")
         )
-    rows = fitted.hasher.transform(fitted.vocabulary.transform(views(docs))).select("doc_id", "content", "page")
+    rows = fitted.hasher.transform(fitted.vocabulary.transform(views(needed(docs)))).select("doc_id", "content", "page")
     rows = fitted.page.transform(fitted.content.transform(rows))
     logits = {v: a + b * logit(v) for v, (a, b) in fitted.platt.items()}
     bias, content, page = fitted.combined

@@ -343,9 +343,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Other columns stay, but for ones of these names.
     """
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")]
-    repeated = repeated_windows(docs).select(F.col("doc_id").alias("_of"), F.col("repeated").alias("_repeated"))
-    packed = docs.select(*others, squeezed("text").alias("_text"))
-    joined = packed.join(repeated, packed["doc_id"].cast("bigint") == F.col("_of"), "left")
+    repeated = repeated_windows(docs).select(F.col("doc_id").alias("of"), "repeated")
+    packed = docs.select(
+        F.struct(*others).alias("row"), F.col("doc_id").cast("bigint").alias("id"), squeezed("text").alias("packed")
+    )
+    joined = packed.join(repeated, F.col("id") == F.col("of"), "left")
 
     @F.arrow_udf(f"struct<{CUT.replace(' ', ':').replace(',:', ',')}>")
     def cut(texts: pa.Array, hashes: pa.Array) -> pa.Array:
@@ -358,4 +360,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         arrays = [pa.array(columns[0], pa.binary()).cast(pa.string()), *[pa.array(c, t) for c, t in zip(columns[1:], types[1:])]]
         return pa.StructArray.from_arrays(arrays, names=[c.split()[0] for c in CUT.split(", ")])
 
-    return joined.select(*others, cut("_text", "_repeated").alias("_cut")).select(*others, "_cut.*")
+    return joined.select("row", cut("packed", "repeated").alias("cut")).select("row.*", "cut.*")
