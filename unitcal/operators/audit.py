@@ -133,19 +133,21 @@ def histogram(
 ) -> DataFrame:
     """Counts and density per equal-width bin of [lo, hi]; the last bin includes ``hi``.
 
-    Values outside the range are not counted; density integrates to 1 over the counted.
+    Values below ``lo`` are bin 0 (no left edge), values above ``hi`` bin ``bins + 1``, both without a
+    density, so counts add up to all values that aren't NULL.  Density is the share of these per unit.
     """
     width = (hi - lo) / bins
-    inside = df.filter((F.col(value) >= lo) & (F.col(value) <= hi))
-    slot = F.least(F.width_bucket(F.col(value), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)), F.lit(bins))
-    counted = inside.groupBy(*by, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    x = F.col(value)
+    inner = F.least(F.width_bucket(x, F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)), F.lit(bins))
+    slot = F.when(x < lo, 0).when(x > hi, bins + 1).otherwise(inner)
+    counted = df.filter(x.isNotNull()).groupBy(*by, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
     return attach_one(counted, totals, by).select(
         *by,
         "bin",
-        (F.lit(lo) + (F.col("bin") - 1) * width).alias("left_edge"),
+        F.when(F.col("bin") > 0, F.lit(lo) + (F.col("bin") - 1) * width).alias("left_edge"),
         "n",
-        (F.col("n") / (F.col("total") * width)).alias("density"),
+        F.when(F.col("bin").between(1, bins), F.col("n") / (F.col("total") * width)).alias("density"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from unitcal.functions import approximately, normal_cdf
 from unitcal.functions.exact import kolmogorov_p
-from unitcal.operators.ordered import average_ranks, null_safe_join, quantile_pick, running_totals
+from unitcal.operators.ordered import attach_one, average_ranks, null_safe_join, quantile_pick, running_totals
 from unitcal.session import stage
 
 
@@ -116,9 +116,13 @@ def correlations(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataF
     ranks_b = average_ranks(counted, b, by, "rank_b", F.col("m")).select(*by, b, "rank_b")
     both = null_safe_join(null_safe_join(counted, ranks_a, [*by, a]), ranks_b, [*by, b])
     m = F.col("m").cast("double")
+    # values are taken from the group's means: sums of squares of values far from zero would cancel
+    mean = {c: F.sum(m * F.col(c).cast("double")) / F.sum(m) for c in (a, b)}
+    centres = counted.groupBy(*by).agg(mean[a].alias("mean_a"), mean[b].alias("mean_b"))
+    both = attach_one(both, centres, by)
     return both.groupBy(*by).agg(
         F.sum("m").alias("n"),
-        weighted_corr(F.col(a), F.col(b), m).alias("pearson"),
+        weighted_corr(F.col(a) - F.col("mean_a"), F.col(b) - F.col("mean_b"), m).alias("pearson"),
         weighted_corr(F.col("rank_a"), F.col("rank_b"), m).alias("spearman"),
     )
 

@@ -66,7 +66,10 @@ def fit_boosted(
     group: str | None = None,
     **params,
 ):
-    """Boosted trees with early stopping on the validation rows.  All randomness follows ``seed``."""
+    """Boosted trees with early stopping on the validation rows.  All randomness follows ``seed``.
+
+    A group is a category, for which ``maxBins`` is at least its number of values and one more.
+    """
     both = fit.withColumn("is_validation", F.lit(False)).unionByName(
         validation.withColumn("is_validation", F.lit(True))
     )
@@ -74,6 +77,9 @@ def fit_boosted(
         "maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8,
         "featureSubsetStrategy": "0.7", **params,
     }
+    if group:
+        values = both.agg(F.count_distinct(group)).first()[0]
+        settings["maxBins"] = max(settings.get("maxBins", 32), values + 1)
     trees = GBTRegressor(
         featuresCol="features", labelCol=label, predictionCol="yhat",
         validationIndicatorCol="is_validation", seed=seed, **settings,
@@ -87,9 +93,10 @@ def predict(model, df: DataFrame, output: str = "yhat", keep: Sequence[str] = ()
 
 
 def feature_importance(model, columns: Sequence[str], spark) -> DataFrame:
-    """(feature, importance), largest first.  One row per feature column."""
+    """(feature, importance), largest first.  One row per feature column, and one for a group (``group_index``)."""
     weights = model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(w)) for n, w in zip(columns, weights)]
+    names = [*columns, *model.stages[-2].getInputCols()[len(columns):]]
+    rows = [(n, float(w)) for n, w in zip(names, weights, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature"
     )

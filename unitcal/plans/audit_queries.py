@@ -266,9 +266,11 @@ def floor_mass(spark, sf):
     return rounded(audit.floor_mass(units, lines, "split", "target", "value", 0.0, 0.05), 8)
 
 
-@query("histogram", f"""WITH {M}, h AS (SELECT split, CAST(least(floor(ttr / 50) + 1, 40) AS INTEGER) AS bin FROM m WHERE ttr >= 0 AND ttr <= 2000)
-SELECT split, bin, ((bin - 1) * 50)::DOUBLE AS left_edge, count(*) AS n,
-       round(count(*) / (sum(count(*)) OVER (PARTITION BY split) * 50), 10) AS density FROM h GROUP BY split, bin""")
+@query("histogram", f"""WITH {M}, h AS (SELECT split, CAST(CASE WHEN ttr < 0 THEN 0 WHEN ttr > 2000 THEN 41 ELSE least(floor(ttr / 50) + 1, 40) END AS INTEGER) AS bin
+      FROM m WHERE ttr IS NOT NULL)
+SELECT split, bin, CASE WHEN bin > 0 THEN ((bin - 1) * 50)::DOUBLE END AS left_edge, count(*) AS n,
+       CASE WHEN bin BETWEEN 1 AND 40 THEN round(count(*) / (sum(count(*)) OVER (PARTITION BY split) * 50), 10) END AS density
+FROM h GROUP BY split, bin""")
 def histogram(spark, sf):
     return rounded(audit.histogram(messages(spark, sf), "ttr", 0.0, 2000.0, 40, ["split"]), 10)
 

@@ -436,8 +436,9 @@ def zero_weights(spark, sf):
 
 
 @query("weight_histogram", W + """,
-b AS (SELECT CAST(least(floor(w / 0.5) + 1, 20) AS INTEGER) AS bin FROM odds WHERE w >= 0 AND w <= 10)
-SELECT bin, ((bin - 1) * 0.5)::DOUBLE AS left_edge, count(*) AS n, round(count(*) / ((SELECT count(*) FROM b) * 0.5), 6) AS density
+b AS (SELECT CAST(CASE WHEN w < 0 THEN 0 WHEN w > 10 THEN 21 ELSE least(floor(w / 0.5) + 1, 20) END AS INTEGER) AS bin FROM odds WHERE w IS NOT NULL)
+SELECT bin, CASE WHEN bin > 0 THEN ((bin - 1) * 0.5)::DOUBLE END AS left_edge, count(*) AS n,
+       CASE WHEN bin BETWEEN 1 AND 20 THEN round(count(*) / ((SELECT count(*) FROM b) * 0.5), 6) END AS density
 FROM b GROUP BY bin""")
 def weight_histogram(spark, sf):
     odds, _ = odds_weights_of(calibration_units(spark, sf)[1])
@@ -445,13 +446,13 @@ def weight_histogram(spark, sf):
 
 
 @query("weight_histogram_log", W + """,
-b AS (SELECT CAST(least(floor((log10(w) + 2.0) / 0.25) + 1, 16) AS INTEGER) AS bin FROM odds
-      WHERE w > 0 AND log10(w) >= -2 AND log10(w) <= 2)
-SELECT bin, (-2.0 + (bin - 1) * 0.25)::DOUBLE AS left_edge, count(*) AS n,
-       round(count(*) / ((SELECT count(*) FROM b) * 0.25), 6) AS density FROM b GROUP BY bin""")
+b AS (SELECT CAST(CASE WHEN w <= 0 THEN 0 WHEN log10(w) < -2 THEN 0 WHEN log10(w) > 2 THEN 17
+                  ELSE least(floor((log10(w) + 2.0) / 0.25) + 1, 16) END AS INTEGER) AS bin FROM odds WHERE w IS NOT NULL)
+SELECT bin, CASE WHEN bin > 0 THEN (-2.0 + (bin - 1) * 0.25)::DOUBLE END AS left_edge, count(*) AS n,
+       CASE WHEN bin BETWEEN 1 AND 16 THEN round(count(*) / ((SELECT count(*) FROM b) * 0.25), 6) END AS density FROM b GROUP BY bin""")
 def weight_histogram_log(spark, sf):
     odds, _ = odds_weights_of(calibration_units(spark, sf)[1])
-    logs = odds.filter("w > 0").withColumn("log_w", F.log10("w"))
+    logs = odds.withColumn("log_w", F.when(F.col("w") > 0, F.log10("w")).when(F.col("w") <= 0, float("-inf")))
     return rounded(audit.histogram(logs, "log_w", -2.0, 2.0, 16))
 
 
