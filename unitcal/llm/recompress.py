@@ -154,7 +154,7 @@ def window_keys(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 #: Bytes of text that are looked at together.
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 
 
 def in_runs(raws: list[bytes]):
