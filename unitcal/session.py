@@ -54,16 +54,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that deletes the shuffle files of an execution when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read on from there.
 
     Used where later steps must see exactly the same rows again (partition tags, model
     inputs) or would compute them twice.  A lost executor costs a re-read, not a different
-    answer, and later steps read only the columns they name.
+    answer, and later steps read only the columns they name.  What the write shuffled is
+    deleted with its end, so the disk holds one step's exchanges and not those of all.
     """
     spark = df.sparkSession
     path = new_path(spark, "stage")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
