@@ -231,7 +231,7 @@ def write_tokens(
         )
 
     staged_path = new_path(spark, "ids")
-    in_arrow(docs.select("doc_id", "text"), encode, "doc_id bigint, ids binary, size bigint").write.option(
+    in_arrow(docs.select("doc_id", "text"), encode, "doc_id bigint, ids binary, size bigint", remembers=True).write.option(
         "compression", "zstd"
     ).parquet(staged_path)
     staged = spark.read.schema("doc_id bigint, ids binary, size bigint").parquet(staged_path)
@@ -306,7 +306,7 @@ def write_tokens(
 
     coded = in_arrow(
         staged.select("doc_id", "ids"), code,
-        "file int, doc_id bigint, n bigint, bits binary, checkpoints binary",
+        "file int, doc_id bigint, n bigint, bits binary, checkpoints binary", remembers=True,
     )
     by_file = coded.repartitionById(files, "file").sortWithinPartitions(F.asc_nulls_first("doc_id"))
     write_blobs(by_file.mapInArrow(blocks, "blob binary"), "blob", f"{path}/ids", END_MARK, ".ids")

@@ -79,7 +79,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> Dat
             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
         )
 
-    return in_arrow(docs.select("doc_id", "text"), step, PIECES)
+    return in_arrow(docs.select("doc_id", "text"), step, PIECES, remembers=True)
 
 
 def pack(

@@ -17,10 +17,33 @@ from unitcal.session import stage
 Batches = Iterator[pa.RecordBatch]
 
 
-def in_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch of ``df``."""
+#: What operators remember in this worker from task to task.
+_memories: dict[tuple, object] = {}
+
+
+def memory(key: tuple, make: Callable[[], object]):
+    """What the worker remembers under ``key``, made when it is missing."""
+    if key not in _memories:
+        _memories[key] = make()
+    return _memories[key]
+
+
+def forget() -> None:
+    """Drop what operators that ran before remembered: Spark uses a worker for one stage after the other."""
+    _memories.clear()
+
+
+def in_arrow(
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, remembers: bool = False
+) -> DataFrame:
+    """Apply a function of one Arrow batch to every batch of ``df``.
+
+    A step that does not use :func:`memory` (``remembers``) frees it for its own work.
+    """
 
     def run(batches: Batches) -> Batches:
+        if not remembers:
+            forget()
         for batch in batches:
             yield step(batch)
 

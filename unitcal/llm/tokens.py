@@ -15,6 +15,8 @@ from itertools import chain, islice
 
 import numpy as np
 
+from unitcal.llm.shared import memory
+
 #: Entries of a worker's memory; at most about 300 MB.
 MEMORY = 1_500_000
 
@@ -27,9 +29,6 @@ RUN = 2_000_000
 #: Longer chunks are encoded each time and not remembered.
 LONGEST_REMEMBERED = 64
 
-_encoders: dict[str, "ChunkEncoder"] = {}
-
-
 class ChunkEncoder:
     """Encodes whole texts to little-endian 32-bit ids, remembering the ids of chunks."""
 
@@ -97,6 +96,4 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return memory(("ids", path), lambda: ChunkEncoder(path))
