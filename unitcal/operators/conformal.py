@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from unitcal.functions import inf, is_finite
 from unitcal.functions.exact import binomial_p, clopper_pearson
-from unitcal.operators.ordered import interpolate, null_safe_join, running_totals, small_side
+from unitcal.operators.ordered import interpolate, null_safe_join, running_totals
 from unitcal.operators.resample import bootstrap_means
 from unitcal.session import stage
 
@@ -186,10 +186,10 @@ def attach_intervals(
     """Intervals for every test row and every (side, level) of the quantile table.
 
     ``keys`` are shared group columns (for example the learner).  With ``truth`` the
-    coverage indicator is added; both end points belong to the interval.  ``q`` should be
-    staged: its rows are counted, and only a small table is broadcast to the test rows.
+    coverage indicator is added; both end points belong to the interval.  How ``q`` is
+    joined is left to adaptive execution, which knows its size when it is staged.
     """
-    joined = null_safe_join(test, small_side(q), keys) if keys else with_quantiles(test, q)
+    joined = null_safe_join(test, q, keys) if keys else with_quantiles(test, q)
     out = joined.withColumns(interval_bounds(F.col(pred), F.col("q"), F.col("sided")))
     out = out.withColumn("width", F.col("hi") - F.col("lo"))
     if truth:

@@ -75,17 +75,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-BROADCAST_ROWS = 100_000
-
-
-def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a staged result table for broadcast if it has at most ``limit`` rows.
-
-    Counts the rows first; a larger table is returned as it is and joined by shuffling.
-    """
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
-
-
 def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
     """Attach a one-row table to every row as the struct column ``name``.
 

@@ -396,13 +396,17 @@ def sample_moments(spark, sf):
         "unit", "mean", "epistemic_sd", "n_samples", "aleatoric_sd", "sd"), 4)
 
 
-@query("aleatoric_sd", SAMPLES + """
-SELECT split, round(stddev_samp(target - mean), 4) AS aleatoric_sd, count(*) AS n_residuals FROM mo GROUP BY split""")
+@query("aleatoric_sd", SAMPLES + """,
+si AS (SELECT split, count(*) FILTER (WHERE n < 2) AS n_single
+       FROM (SELECT unit, any_value(split) AS split, count(*) AS n FROM s GROUP BY unit) GROUP BY split)
+SELECT split, round(stddev_samp(target - mean), 4) AS aleatoric_sd, count(*) AS n_residuals, any_value(n_single) AS n_single
+FROM mo JOIN si USING (split) GROUP BY split""")
 def aleatoric_sd(spark, sf):
-    moments = models.sample_moments(
-        sample_rows(spark, sf), "unit", carry=("target", "split")
-    ).filter("n_samples >= 2")
-    return rounded(models.aleatoric_sd(moments, "target", "mean", ["split"]), 4)
+    """Noise of the units with two samples or more; those with one are left out and counted."""
+    moments = models.sample_moments(sample_rows(spark, sf), "unit", carry=("target", "split"))
+    single = moments.groupBy("split").agg(F.count_if(F.col("n_samples") < 2).alias("n_single"))
+    noise = models.aleatoric_sd(moments.filter("n_samples >= 2"), "target", "mean", ["split"])
+    return rounded(noise.join(single, "split"), 4)
 
 
 @query("gaussian_intervals", SAMPLES + f", {GAUSS} SELECT unit, level, round(lo, 4) AS lo, round(hi, 4) AS hi FROM gi")

@@ -196,7 +196,7 @@ c AS (SELECT *, sum(w) OVER (PARTITION BY event_type ORDER BY score) AS cum,
         sum(w) OVER (PARTITION BY event_type) AS tot, sum(n) OVER (PARTITION BY event_type) AS nn FROM g),
 lv AS (SELECT level::DOUBLE AS level FROM (VALUES (0.5), (0.9), (0.999)) v(level))
 SELECT event_type, level, round(1 - level, 6) AS alpha, CAST(any_value(nn) AS BIGINT) AS n_cal,
-  round(CASE WHEN any_value(tot / nn / (tot + tot / nn)) > 1 - level + 1e-12 THEN 1e300
+  round(CASE WHEN any_value(tot / nn / (tot + tot / nn)) > 1 - level + 1e-12 THEN 'infinity'::DOUBLE
        ELSE coalesce(min(score) FILTER (WHERE cum / (tot + tot / nn) >= level - 1e-12), max(score)) END, 6) AS q
 FROM c, lv GROUP BY event_type, level""")
 def weighted_quantile(spark, sf):
@@ -207,11 +207,11 @@ def weighted_quantile(spark, sf):
     q = conformal.conformal_quantile(
         events, (0.5, 0.9, 0.999), ["event_type"], score="value", weight="w"
     )
-    return longs(rounded(q.withColumn("q", F.least("q", F.lit(1e300)))), "n_cal")
+    return longs(rounded(q), "n_cal")
 
 
 @query("split_interval", PAIRS + f", {PREDS_SQL}, {PLAIN}, iv AS ({intervals_sql(chr(34) + 'split' + chr(34) + ' = ' + chr(39) + 'test' + chr(39), 'qp', 'naive')})" + """
-SELECT unit, learner, CAST(seed AS BIGINT) AS seed, sided, level, round(greatest(lo, -1e15), 4) AS lo, round(hi, 4) AS hi,
+SELECT unit, learner, CAST(seed AS BIGINT) AS seed, sided, level, round(lo, 4) AS lo, round(hi, 4) AS hi,
        target >= lo AND target <= hi AS covered
 FROM iv WHERE learner = 'persistence' AND seed = 42""")
 def split_interval(spark, sf):
@@ -225,7 +225,7 @@ def split_interval(spark, sf):
     )
     return longs(out.select(
         "unit", "learner", "seed", "sided", "level",
-        F.round(F.greatest("lo", F.lit(-1e15)), 4).alias("lo"), F.round("hi", 4).alias("hi"), "covered",
+        F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "covered",
     ), "seed")
 
 
@@ -240,23 +240,21 @@ def empirical_coverage(spark, sf):
 
 @query("coverage_sweep", PAIRS + f", {SWEEP}, kn AS (SELECT n_covered AS k, n FROM cov), {bounds_sql('kn')}" + """
 SELECT learner, method, sided, level, CAST(seed AS BIGINT) AS seed, cov.n, n_covered, round(coverage, 6) AS coverage,
-  round(share_infinite, 6) AS share_infinite, round(least(median_width, 1e15), 3) AS median_width,
+  round(share_infinite, 6) AS share_infinite, round(median_width, 3) AS median_width,
   round(cp_lo, 6) AS cp_lo, round(cp_hi, 6) AS cp_hi
 FROM cov JOIN cp ON cp.k = cov.n_covered AND cp.n = cov.n""")
 def coverage_sweep(spark, sf):
-    rows = coverage_rows(spark, sf).withColumn("median_width", F.least("median_width", F.lit(1e15)))
-    return longs(rounded(rows, 6, median_width=3), "seed")
+    return longs(rounded(coverage_rows(spark, sf), 6, median_width=3), "seed")
 
 
 @query("coverage_by_seed", PAIRS + f", {SWEEP}, kn AS (SELECT n_covered AS k, n FROM cov), {bounds_sql('kn')}" + """
 SELECT learner, method, sided, level, round(avg(coverage), 6) AS coverage_mean, round(stddev_samp(coverage), 6) AS coverage_sd,
-  arg_min(cov.n, seed) AS n, round(avg(least(median_width, 1e15)), 3) AS median_width_mean, round(avg(cp_lo), 6) AS cp_lo_mean,
+  arg_min(cov.n, seed) AS n, round(avg(median_width), 3) AS median_width_mean, round(avg(cp_lo), 6) AS cp_lo_mean,
   round(avg(cp_hi), 6) AS cp_hi_mean, round(avg(share_infinite), 6) AS share_infinite, count(DISTINCT seed) AS n_seeds,
   round(100 * (avg(coverage) - level), 6) AS gap_pp
 FROM cov JOIN cp ON cp.k = cov.n_covered AND cp.n = cov.n GROUP BY learner, method, sided, level""")
 def coverage_by_seed(spark, sf):
-    rows = coverage_rows(spark, sf).withColumn("median_width", F.least("median_width", F.lit(1e15)))
-    return rounded(conformal.aggregate_coverage(rows), 6, median_width_mean=3)
+    return rounded(conformal.aggregate_coverage(coverage_rows(spark, sf)), 6, median_width_mean=3)
 
 
 @query("naive_weighted_contrast", PAIRS + f", {SWEEP}" + """
@@ -488,10 +486,9 @@ BAND_SQL = """CASE WHEN isnan(khat) THEN 'undiagnosable' WHEN khat < 0.5 THEN 's
 
 @query("pareto_khat", W + f", {khat_sql('ko', 'odds')}, {khat_sql('kr', 'rule')}," + f"""
 k AS (SELECT 'classifier' AS method, * FROM ko UNION ALL SELECT 'rule', * FROM kr)
-SELECT method, n_positive, round(greatest(khat, -1e6), 4) AS khat, {BAND_SQL} AS band FROM k""")
+SELECT method, n_positive, round(khat, 4) AS khat, {BAND_SQL} AS band FROM k""")
 def pareto_khat(spark, sf):
-    out = weights.pareto_khat(both_weights(spark, sf), ["method"])
-    return rounded(longs(out.withColumn("khat", F.greatest("khat", F.lit(-1e6))), "n_positive"), 4)
+    return rounded(longs(weights.pareto_khat(both_weights(spark, sf), ["method"]), "n_positive"), 4)
 
 
 @query("price_tail", """WITH src AS (SELECT l_extendedprice * l_extendedprice AS w FROM lineitem),
@@ -513,12 +510,11 @@ cr AS (SELECT clipped, bound, (SELECT avg(CASE WHEN w > w_used THEN 1 ELSE 0 END
 
 
 @query("conditional_clip", W + f", {CLIP_SQL}" + """
-SELECT clipped, round(least(bound, 1e15), 6) AS bound, round(clipped_share, 6) AS clipped_share, round(bias, 6) AS bias,
+SELECT clipped, round(bound, 6) AS bound, round(clipped_share, 6) AS clipped_share, round(bias, 6) AS bias,
   round(khat_before, 4) AS khat_before, round(khat_after, 4) AS khat_after FROM cr""")
 def conditional_clip(spark, sf):
     odds, _ = odds_weights_of(calibration_units(spark, sf)[1])
-    row = weights.conditional_clip(odds)[1].withColumn("bound", F.least("bound", F.lit(1e15)))
-    return rounded(row, 6, khat_before=4, khat_after=4)
+    return rounded(weights.conditional_clip(odds)[1], 6, khat_before=4, khat_after=4)
 
 
 CLIPPED_Q = quantile_sql(

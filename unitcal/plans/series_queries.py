@@ -230,8 +230,9 @@ def split_members(spark, sf):
 STRATUM_SQL = """CASE WHEN abs(l_discount - 0.0) <= 1e-8 THEN 0
   WHEN l_discount > 0.0 AND l_discount <= 0.025 THEN 1
   WHEN l_discount > 0.025 AND l_discount <= 0.055 THEN 2
-  WHEN l_discount > 0.055 AND l_discount <= 0.075 THEN 3 END"""
-EDGES = (0.0, 0.025, 0.055, 0.075)
+  WHEN l_discount > 0.055 AND l_discount <= 0.075 THEN 3
+  WHEN l_discount > 0.075 THEN 4 END"""
+EDGES = (0.0, 0.025, 0.055, 0.075, float("inf"))
 
 
 def lines_with_stratum(spark, sf):
