@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitcal.llm import cotrain, packing, perplexity, recompress, simhash
+from unitcal.llm import cotrain, near_copies, packing, perplexity, recompress
 from unitcal.session import stage
 
 
@@ -28,9 +28,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows without an id stay."""
-    groups = simhash.near_duplicates(docs, shingle=5)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """The document with the smallest id of each group of near copies; rows without an id stay."""
+    groups = stage(near_copies.near_copies(docs))
+    keep = groups.groupBy("root").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 

@@ -1,11 +1,13 @@
 """The stages of corpus_pipeline on the smallest tables and on odd rows."""
 
 import os
+import random
 
 import pytest
-from test_operators import DOCS, check_packing, odd_rows
+from test_operators import DOCS, check_packing, odd_rows, prose, roots
 
 import corpus_pipeline
+from unitcal.llm import near_copies
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -38,3 +40,29 @@ def test_odd_rows(spark):
     assert {r.doc_id for r in out[0]} <= {r[0] for r in odd_rows()}
     _, out = by_stage(spark, rows.limit(0))
     assert out[-1] == []
+
+
+def changed_words():
+    """Texts, and copies of them with a few words changed: similarity from 0.5 to 1."""
+    rng, rows = random.Random(5), []
+    for base in range(60):
+        words = prose(100 + base, rng.choice([30, 60, 120, 400])).split()
+        for copy in range(4):
+            own = list(words)
+            for k in range(copy * max(1, len(words) // 120)):
+                own[rng.randrange(len(own))] = f"changed{base}x{copy}x{k}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_simhash_dedup_finds_changed_words(spark):
+    rows = changed_words()
+    sets = {i: near_copies.shingle_set(t.encode()) for i, t in rows}
+    links = [
+        (a, b) for a in sets for b in range(a)
+        if len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 0.8 * len(set(sets[a].tolist()) | set(sets[b].tolist()))
+    ]
+    assert sum(sets[a].tobytes() != sets[b].tobytes() for a, b in links) > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = set(roots(list(sets), links).values())
+    assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()} == want

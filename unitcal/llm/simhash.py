@@ -45,20 +45,29 @@ BITS = 23
 RADIUS = 3
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a text; zero without words."""
+def shingles(raw: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text in order; none without words."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     n = len(words)
     size = min(shingle, n)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n - size + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1:].tolist())], "<u8"
     )
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a text; zero without words."""
+    return majority(shingles(raw, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i:i + (1 << 16)]
@@ -118,11 +127,16 @@ def expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _golay: list[Golay] = []
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, at home) of all anchors that a fingerprint is sent to."""
+def golay_code() -> Golay:
+    """The worker's tables."""
     if not _golay:
         _golay.append(Golay())
-    golay = _golay[0]
+    return _golay[0]
+
+
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, at home) of all anchors that a fingerprint is sent to."""
+    golay = golay_code()
     mask = np.uint64((1 << BITS) - 1)
     halves = [((fps >> np.uint64(s)) & mask).astype(np.int64) for s in (0, BITS)]
     near = [[golay.near(h, more) for more in range(THRESHOLD + 1)] for h in halves]
