@@ -391,3 +391,25 @@ def test_first_fit_decreasing_equals_a_plain_search():
         want.append((at, bins[at]))
         bins[at] += size
     assert packing.first_fit_decreasing(sizes, 100) == want
+
+
+def test_classifier_scores_all_unlabelled_rows_each_round(spark, monkeypatch):
+    # more than the 10,000 rows that the pool once held; a third without an id
+    n = 12_000
+    rows = spark.range(n).selectExpr(
+        "if(id % 3 = 1, null, id) as doc_id", "if(id % 2 = 0, 'fine plain words', 'bad spam junk') as text", "'en' as lang", "'s' as source"
+    ).repartition(2)
+    labels = spark.range(0, n, 30).selectExpr("id as doc_id", "1 as quality", "0 as toxic").union(
+        spark.range(3, n, 30).selectExpr("id as doc_id", "0 as quality", "0 as toxic")
+    )
+    learnt, plain = [], cotrain.logistic
+
+    def logistic(features, label, strength):
+        model = plain(features, label, strength)
+        fit = model.fit
+        model.fit = lambda rows: (learnt.append(rows.count()), fit(rows))[1]
+        return model
+
+    monkeypatch.setattr(cotrain, "logistic", logistic)
+    assert cotrain.fit(rows, labels) is not None
+    assert max(learnt) > n - 800 + 400

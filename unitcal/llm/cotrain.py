@@ -7,9 +7,10 @@ confident about a document without a label, the other gets that as a label in th
 At the end each view is calibrated by Platt scaling on labelled documents that neither has seen,
 a logistic regression of the two calibrated scores combines them, and all documents are scored.
 
-A document is accepted if its quality is 1 and it isn't toxic.  The fit takes bounded
-samples, those with the smallest hashes of their ids: at most ``LABELLED`` labelled documents and
-a pool of ``POOL`` without label; their ids are broadcast.  Everything else covers all documents.
+A document is accepted if its quality is 1 and it isn't toxic.  Of labelled documents the fit takes
+a bounded sample, those with the smallest hashes of their ids: at most ``LABELLED``; their ids are
+broadcast.  Everything else covers all documents: each round scores all that have no label, and the
+next regressions are fitted on all of those that are confident.
 
 Defined cases: without both kinds of labels there is nothing to learn, all scores are NULL and
 every document is kept; a label row with a NULL is no label, and of several for a document the worst
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from unitcal.session import stage
 
 LABELLED = 20_000
-POOL = 10_000
 VOCABULARY = 20_000
 MIN_DOCUMENTS = 4  # of the sample that hold a word of the vocabulary
 ROUNDS = 2
@@ -99,21 +99,21 @@ def labels_of(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents to fit on, with ``accept`` (NULL in the pool) and ``part`` (0 is for calibration)."""
+    """Labelled documents to fit on, with ``accept`` and ``part`` (0 is for calibration)."""
     known = labels_of(labels)
     order = F.xxhash64("doc_id")
     ids = docs.select("doc_id").distinct()
-    labelled = known.join(ids, "doc_id").orderBy(order, "doc_id").limit(LABELLED)
-    pool = (
-        ids.filter("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL)
-        .withColumn("accept", F.lit(None).cast("double"))
-    )
-    chosen = stage(labelled.select("doc_id", "accept").unionByName(pool))
-    # at most LABELLED + POOL rows
+    chosen = stage(known.join(ids, "doc_id").orderBy(order, "doc_id").limit(LABELLED).select("doc_id", "accept"))
+    # at most LABELLED rows
     picked = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     return picked.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)))
 
 
+def pool(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows of documents without label, those without id among them."""
+    return docs.join(labels_of(labels).select("doc_id"), "doc_id", "left_anti")
+
+
 def logistic(features: str, label: str, strength: float) -> LogisticRegression:
     return LogisticRegression(
         featuresCol=features, labelCol=label, regParam=strength, maxIter=60, probabilityCol="p_" + features,
@@ -126,43 +126,42 @@ def logit(features: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Co-train on the samples; None without both kinds of labels to learn and to calibrate from."""
-    rows = stage(views(sample(needed(docs), labels)))
-    kinds = rows.filter("accept is not null").agg(
+    """Co-train; None without both kinds of labels to learn and to calibrate from."""
+    docs = needed(docs)
+    rows = stage(views(sample(docs, labels)))
+    kinds = rows.agg(
         *[F.count_distinct(F.when(c, F.col("accept"))).alias(a) for a, c in (("fit", F.col("part") > 0), ("calibrate", F.col("part") == 0))]
     ).first()
     if min(kinds) < 2:
         return None
-    train = (F.col("part") > 0) & F.col("accept").isNotNull()
+    train = F.col("part") > 0
     vocabulary = CountVectorizer(
         inputCol="words", outputCol="content", binary=True, vocabSize=VOCABULARY, minDF=float(MIN_DOCUMENTS)
     ).fit(rows.filter(train))
     hasher = FeatureHasher(inputCols=[*NUMBERS, "page_lang", "page_source"], outputCol="page", numFeatures=HASHED)
-    pages = hasher.transform(vocabulary.transform(rows))
-    own = F.when(F.col("accept").isNull() | (F.col("part") > 0), F.col("accept"))
-    rows = stage(pages.select("doc_id", "accept", "part", "content", "page").withColumns({"for_content": own, "for_page": own}))
-    for step in range(ROUNDS + 1):
+
+    def features(of: DataFrame, *more: str) -> DataFrame:
+        return stage(hasher.transform(vocabulary.transform(of)).select("content", "page", *more))
+
+    rows = features(rows, "accept", "part")
+    unlabelled = features(views(pool(docs, labels)))
+    own = rows.filter(train)
+    models: dict[str, LogisticRegressionModel] = {}
+    for _ in range(ROUNDS + 1):
+        taught = {}
+        for view, other in (("content", "page"), ("page", "content")):
+            taught[view] = own.select(view, "accept")
+            if models:
+                # what the other view is sure of
+                p = vector_to_array(f"p_{other}")[1]
+                sure = F.when(p >= CONFIDENT, 1.0).when(p <= 1 - CONFIDENT, 0.0)
+                said = models[other].transform(unlabelled).select(view, sure.alias("accept")).filter("accept is not null")
+                taught[view] = taught[view].unionByName(said)
         models = {
-            view: logistic(view, f"for_{view}", strength).fit(rows.filter(F.col(f"for_{view}").isNotNull()))
+            view: logistic(view, "accept", strength).fit(taught[view])
             for view, strength in (("content", 0.002), ("page", 0.001))
         }
-        if step == ROUNDS:
-            break
-        said = rows
-        for model in models.values():
-            said = model.transform(said)
-
-        def sure(view: str) -> Column:
-            p = vector_to_array(f"p_{view}")[1]
-            return F.when(p >= CONFIDENT, 1.0).when(p <= 1 - CONFIDENT, 0.0)
-
-        in_pool = F.col("accept").isNull()
-        rows = stage(said.select(
-            "doc_id", "accept", "part", "content", "page",
-            F.when(in_pool, sure("page")).otherwise(own).alias("for_content"),
-            F.when(in_pool, sure("content")).otherwise(own).alias("for_page"),
-        ))
-    held_out = rows.filter((F.col("part") == 0) & F.col("accept").isNotNull())
+    held_out = rows.filter(F.col("part") == 0)
     for model in models.values():
         held_out = model.transform(held_out)
     held_out = stage(held_out.select("accept", logit("content").alias("content"), logit("page").alias("page")))
@@ -203,5 +202,5 @@ def score(docs: DataFrame, fitted: CoTrained | None) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on bounded samples of ``labels`` (doc_id, quality, toxic) and score all of ``docs``."""
+    """Fit on ``labels`` (doc_id, quality, toxic) and all documents without one, and score all of ``docs``."""
     return score(docs, fit(docs, labels))
