@@ -28,11 +28,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows without an id stay."""
-    groups = stage(near_copies.near_copies(docs))
-    keep = groups.groupBy("root").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near copies: that of the smallest id (NULL comes last), then of the smallest row hash."""
+    groups = near_copies.near_copies(docs)
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key"))
+    keep = stage(groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row_key").alias("_key")))
+    return docs.join(keep, near_copies.row_key(docs) == F.col("_key"), "left_semi").dropDuplicates()
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

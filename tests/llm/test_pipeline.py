@@ -66,3 +66,13 @@ def test_simhash_dedup_finds_changed_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = set(roots(list(sets), links).values())
     assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()} == want
+
+
+def test_simhash_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (prose(seed, 40) for seed in (201, 202, 203, 204))
+    rows = [(1, a), (1, b), (2, b), (1, a), (None, a), (None, c), (None, c), (None, d), (9, d), (None, None), (8, None)]
+    want = {(1, a), (1, b), (None, c), (9, d), (8, None)}
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()]
+        assert len(got) == len(want) and set(got) == want

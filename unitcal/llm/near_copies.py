@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.llm.shared import Batches, components, in_arrow, mix64, raw_texts
@@ -200,9 +200,10 @@ def with_members(rows: DataFrame) -> DataFrame:
     return in_arrow(rows, step, "named bigint, members binary")
 
 
-def row_key(docs: DataFrame):
-    """A hash of all columns of a row."""
-    return F.xxhash64(*docs.columns)
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; a hash skips NULLs, so where they are is hashed too."""
+    columns = [docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
