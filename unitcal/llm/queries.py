@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from unitcal.llm import bpe, chat, cotrain, cross_polytope, huffman, packing, perplexity, recompress, simhash, warc
+from unitcal.llm import (
+    bpe,
+    chat,
+    cotrain,
+    cross_polytope,
+    huffman,
+    importance,
+    packing,
+    perplexity,
+    recompress,
+    simhash,
+    warc,
+)
 from unitcal.plans.registry import Entry
 from unitcal.session import new_path, stage
 
@@ -66,6 +78,55 @@ FROM payloads p JOIN firsts f USING (payload)
 """
 
 
+def crc32_sql(values: str) -> str:
+    """DuckDB's form of the CRC-32 of a list of bytes, bit by bit."""
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], {values}), lambda acc, b:
+      list_reduce(list_concat([xor(acc, b)], range(8)), lambda r, k:
+        CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
+
+
+def bytes_sql(text: str) -> str:
+    return f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INTEGER + 1, 2))::BIGINT)"
+
+
+IMPORTANCE_SQL = f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM documents
+), wanted AS (
+  SELECT unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), buckets AS (
+  SELECT word, {crc32_sql(bytes_sql('word'))} % 10000 AS bucket
+  FROM (SELECT word FROM words UNION SELECT word FROM wanted)
+), source AS (
+  SELECT bucket, count(*) AS n FROM words JOIN buckets USING (word) GROUP BY bucket
+), target AS (
+  SELECT bucket, count(*) AS n FROM wanted JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM source) + 10000)::DOUBLE
+           / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM target), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM source s LEFT JOIN target t USING (bucket)
+), weights AS (
+  SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scores AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights w USING (doc_id)
+), places AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS able
+  FROM scores WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= (10 * able) // 100 THEN place END AS rank
+FROM scores s LEFT JOIN places USING (doc_id)
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -136,4 +197,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@llm_query("op11_importance_resampling", IMPORTANCE_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_CATALOG["pipeline"] = Entry(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
