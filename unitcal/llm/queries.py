@@ -17,6 +17,7 @@ from unitcal.llm import (
     packing,
     perplexity,
     recompress,
+    repair,
     simhash,
     warc,
 )
@@ -127,6 +128,80 @@ FROM scores s LEFT JOIN places USING (doc_id)
 """
 
 
+def edit_sql(letter: str, cost: str, after: str, line: str | None = None) -> str:
+    """An edit before the best edits of what follows: cost, audit, repaired lines."""
+    lines = f"chr(10) || {line} || {after}.t" if line else f"{after}.t"
+    return f"{{'c': {after}.c + {cost}, 'a': '{letter}' || {after}.a, 't': {lines}}}"
+
+
+def row_edits_sql(state: int) -> str:
+    """The best edits from before a row, whose role's letter is l, when ``state`` came last."""
+    role = 3 if state == 2 else 2
+    name = "'assistant'" if role == 3 else "'user'"
+    late = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    free = "fault IS NULL OR fault = 'truncated'"
+    options = [
+        edit_sql("D", "4", f"f{state}"),
+        f"CASE WHEN ({free}) AND l = {name}[1] THEN {edit_sql('K', late, f'f{role}', "role || ':' || text")} END",
+        f"CASE WHEN {free} THEN {edit_sql('R', f'3 + {late}', f'f{role}', f"{name} || ':' || text")} END",
+    ]
+    if state == 0:
+        options.append(f"CASE WHEN ({free}) AND l = 's' THEN {edit_sql('K', late, 'f1', "role || ':' || text")} END")
+    return f"list_min([{', '.join(options)}]) AS r{state}"
+
+
+#: The edits are found from the last row backwards by dynamic programming.
+REPAIR_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql(bytes_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))"))} % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM base WHERE kind <> 0
+  UNION ALL
+  SELECT conv_id, turn, role, text FROM base WHERE kind = 3
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM damaged
+), repeats AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS seen FROM placed
+), judged AS (
+  SELECT *, role[1] AS l, CASE
+           WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+           WHEN seen > 1 THEN 'duplicate'
+           WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) || role[1] AS pair
+  FROM repeats
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id
+), best AS (
+  SELECT conv_id, n + 1 AS place, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS f0, {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS f1,
+         {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'assistant:'}} AS f2, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS f3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, place, list_min([r0, {edit_sql('I', '3', 'g2', "'user:'")}]), list_min([r1, {edit_sql('I', '3', 'g2', "'user:'")}]), g2, g3
+  FROM (
+    SELECT *, list_min([r2, {edit_sql('I', '3', 'r3', "'assistant:'")}]) AS g2, list_min([r3, {edit_sql('I', '3', 'r2', "'user:'")}]) AS g3
+    FROM (
+      SELECT j.conv_id, j.place, {', '.join(row_edits_sql(state) for state in range(4))}
+      FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.place = b.place - 1
+    )
+  )
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(f0.c, 0) AS cost, coalesce(f0.a, '') AS audit,
+       sha256(coalesce(substr(f0.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id AND b.place = 1
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -202,4 +277,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@llm_query("op13_conversation_repair", REPAIR_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_conversations(conversations, repair.damage(repair.filled(conversations)))
+
+
 LLM_CATALOG["pipeline"] = Entry(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
