@@ -16,6 +16,7 @@ from unitcal.llm import (
     importance,
     packing,
     perplexity,
+    pitman_yor,
     recompress,
     repair,
     simhash,
@@ -277,6 +278,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@llm_query("op12_language_model")
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 @llm_query("op13_conversation_repair", REPAIR_SQL)
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
