@@ -37,11 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitcal.llm.shared import Batches, forget, memory, mix64
+from unitcal.llm.shared import Batches, drop, forget, memory, mix64
 from unitcal.llm.words import byte_table, numbered, runs, split
 from unitcal.session import stage
 
-SWEEPS, KEPT = 4, 2
+SWEEPS, KEPT = 3, 2
 CONCENTRATION = 1.0
 EXACT = 256
 CHUNK = 16_000_000
@@ -295,60 +295,68 @@ def word_table(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     if total > _MASK:
         raise ValueError(f"{total} distinct words do not fit 32 bits")
     table = chunks.sparkSession.createDataFrame(offsets, "p bigint, before bigint")
-    words = stage(words.join(F.broadcast(table), part == F.col("p")).select(
+    words = words.join(F.broadcast(table), part == F.col("p")).select(
         (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), "hash", "c", "df"
-    ))
-    return words, stage(held.drop("n").join(words, "hash").drop("hash"))
+    )
+    chunk_words = stage(held.drop("n").join(words, "hash").drop("hash"))
+    drop(held)
+    return words, chunk_words
 
 
-def sweep(rows: DataFrame, words: DataFrame, settings: Settings, number: int) -> tuple[DataFrame, float, float]:
-    """Draw the tables of all dishes: the words' new state, and the root's customers and tables."""
+def sweep(rows: DataFrame, words: DataFrame, settings: Settings, number: int) -> DataFrame:
+    """Draw the tables of all dishes: the words' new state."""
 
     def draw(batches: Batches) -> Batches:
         forget()
         for batch in batches:
             u, w, c, tables, p = [x.to_numpy() for x in batch.columns]
-            a = (CONCENTRATION + settings.discount * tables) * p
+            a = (CONCENTRATION + settings.discount * tables) * p.astype(float)
             t = draw_tables(c, a, (u << 32) | w, number, settings.discount)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c - t)], names=["u", "w", "less"])
 
-    left = words.select(F.col("id").alias("u"), "tables")
-    right = words.select(F.col("id").alias("w"), "p")
-    drawn = stage(
+    paired = words.filter("paired")
+    left = paired.select(F.col("id").alias("u"), F.element_at("tables", -1).alias("tables"))
+    right = paired.select(F.col("id").alias("w"), F.element_at("p", -1).alias("p"))
+    drawn = (
         rows.join(left, "u").join(right, "w").select("u", "w", "c", "tables", "p")
         .mapInArrow(draw, "u bigint, w bigint, less bigint")
     )
     return with_state(words, drawn, settings, number)
 
 
-def with_state(words: DataFrame, drawn: DataFrame, settings: Settings, number: int) -> tuple[DataFrame, float, float]:
-    """Tables of each context, customers of each dish of the root, and the root's probabilities."""
-    less_u = drawn.groupBy(F.col("u").alias("id")).agg(F.sum("less").alias("less_u"))
-    less_w = drawn.groupBy(F.col("w").alias("id")).agg(F.sum("less").alias("less_w"))
-    root_a = (CONCENTRATION + settings.root_discount * root_tables(words)) * settings.base
+def with_state(words: DataFrame, drawn: DataFrame, settings: Settings, number: int) -> DataFrame:
+    """Adds to the words' histories the tables of each context and the root's probability of each dish.
+
+    ``drawn`` tells how many fewer tables than customers the pairs have.  The root's seating is drawn, too.
+    """
+    seats = words.agg(F.sum("seats")).first()[0] or 0
+    root_a = (CONCENTRATION + settings.root_discount * seats) * settings.base
 
     @F.arrow_udf("bigint")
     def seated(ids: pa.Array, customers: pa.Array) -> pa.Array:
         c = customers.to_numpy()
-        return pa.array(draw_tables(c, np.full(len(c), root_a), ids.to_numpy(), -number - 1 & 0xFFFF, settings.root_discount))
-
-    state = stage(
-        words.join(less_u, "id", "left").join(less_w, "id", "left")
-        .withColumn("customers", F.col("c") - F.coalesce("less_w", F.lit(0)))
-        .select(
-            "id", "c", "total", (F.col("total") - F.coalesce("less_u", F.lit(0))).alias("tables"), "customers",
-            seated("id", "customers").alias("seats"),
-        )
+        return pa.array(draw_tables(c, np.full(len(c), root_a), ids.to_numpy(), 2000 + number, settings.root_discount))
+
+    # a pair counts for its context and for its dish: one aggregate and one join for both
+    sides = drawn.select(F.explode(F.array(
+        F.struct(F.col("u").alias("id"), F.col("less").alias("of_context"), F.lit(0).cast("bigint").alias("of_dish")),
+        F.struct(F.col("w").alias("id"), F.lit(0).cast("bigint").alias("of_context"), F.col("less").alias("of_dish")),
+    )).alias("s")).select("s.*")
+    fewer = sides.groupBy("id").agg(F.sum("of_context").alias("of_context"), F.sum("of_dish").alias("of_dish"))
+    old = ["id", "c", "total", "paired", "tables", "p"]
+    zero = F.lit(0).cast("bigint")
+    state = words.filter("paired").select(*old).join(fewer, "id", "left").unionByName(
+        words.filter("not paired").select(*old, zero.alias("of_context"), zero.alias("of_dish"))
     )
-    customers, seats = state.agg(F.sum("customers"), F.sum("seats")).first()
-    customers, seats = customers or 0, seats or 0
+    customers = F.col("c") - F.coalesce("of_dish", zero)
+    state = stage(state.select(
+        "id", "c", "total", "paired", "p", customers.alias("customers"), seated("id", customers).alias("seats"),
+        F.array_append("tables", F.col("total") - F.coalesce("of_context", zero)).alias("tables"),
+    ))
+    customers, seats = state.agg(F.coalesce(F.sum("customers"), zero), F.coalesce(F.sum("seats"), zero)).first()
     more = (CONCENTRATION + settings.root_discount * seats) * settings.base
     p = (F.col("customers") - settings.root_discount * F.col("seats") + more) / (CONCENTRATION + customers)
-    return state.withColumn("p", p), customers, seats
-
-
-def root_tables(words: DataFrame) -> int:
-    return words.agg(F.sum("seats")).first()[0] or 0
+    return state.withColumn("p", F.array_append("p", p.cast("float")))
 
 
 def fit(pairs: DataFrame, words: DataFrame, documents: int) -> tuple[Settings, DataFrame]:
@@ -363,26 +371,24 @@ def fit(pairs: DataFrame, words: DataFrame, documents: int) -> tuple[Settings, D
     in_pairs, twos = rows.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 2)).first()
     begin = words.sparkSession.createDataFrame([(BEGIN_ID, 0, documents)], "id bigint, c bigint, total bigint")
     total = F.when(F.col("hash") == END_HASH, F.lit(0)).otherwise(F.col("c")).cast("bigint").alias("total")
-    state = words.select("id", "c", total).unionByName(begin)
     # at first every dish has one table in its context
-    alone = stage(rows.select("u", "w", (F.col("c") - 1).alias("less")))
-    kinds = alone.groupBy("w").agg(F.sum("less").alias("less"))
-    customers = F.col("c") - F.coalesce("less", F.lit(0))
-    ones, two = state.join(kinds, F.col("id") == F.col("w"), "left").agg(F.count_if(customers == 1), F.count_if(customers == 2)).first()
+    alone = rows.select("u", "w", (F.col("c") - 1).alias("less"))
+    kinds = rows.select(F.col("u").alias("id"), F.lit(0).cast("bigint").alias("less")).unionByName(
+        rows.select(F.col("w").alias("id"), (F.col("c") - 1).alias("less"))
+    ).groupBy("id").agg(F.sum("less").alias("less"))
+    state = stage(words.select("id", "c", total).unionByName(begin).join(kinds, "id", "left").select(
+        "id", "c", "total", F.isnotnull("less").alias("paired"), (F.col("c") - F.coalesce("less", F.lit(0))).alias("customers"),
+        F.lit(1).alias("seats"), F.array().cast("array<bigint>").alias("tables"), F.array().cast("array<float>").alias("p"),
+    ))
+    ones, two = state.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
     settings = Settings(tokens, known, documents, estimated(tokens - in_pairs, twos), estimated(ones, two))
-    words, _, _ = with_state(state.withColumn("seats", F.lit(1)), alone, settings, 0)
-    states = []
-    for number in range(1, SWEEPS + 1):
-        if number >= SWEEPS - KEPT + 1:
-            states.append(words)
-        words, _, _ = sweep(rows, words, settings, number)
-    states.append(words)
-    out = states[0].select("id", "total", F.array("tables").alias("tables"), F.array("p").alias("p"))
-    for later in states[1:]:
-        out = out.join(later.select("id", F.col("tables").alias("t"), F.col("p").alias("q")), "id").select(
-            "id", "total", F.array_append("tables", F.col("t")).alias("tables"), F.array_append("p", F.col("q")).alias("p")
-        )
-    return settings, stage(out)
+    for number in range(SWEEPS + 1):
+        before = state
+        state = sweep(rows, state, settings, number) if number else with_state(state, alone, settings, 0)
+        drop(before)
+    drop(rows)
+    last = [F.slice(c, -KEPT - 1, KEPT + 1).alias(c) for c in ("tables", "p")]
+    return settings, state.select("id", "total", *last)
 
 
 def predictive(
@@ -394,7 +400,7 @@ def predictive(
     """
     d, out = settings.discount, np.zeros(len(c))
     for i in range(KEPT):
-        a = (CONCENTRATION + d * tables[:, i]) * p[:, i]
+        a = (CONCENTRATION + d * tables[:, i]) * p[:, i].astype(float)
         t = draw_tables(c, a, key, SWEEPS - KEPT + 1 + i, d)
         own = np.where(c > 0, c - d * t, 0.0)
         out += (own + (CONCENTRATION + d * tables[:, i + 1]) * p[:, i + 1]) / (CONCENTRATION + total)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitcal.session import stage
+from unitcal.session import stage, unstage
 
 #: One row per batch element; whole texts, so a batch is bounded by Spark's rows and bytes per batch.
 Batches = Iterator[pa.RecordBatch]
@@ -76,6 +77,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drop(staged: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    for folder in {os.path.dirname(f) for f in staged.inputFiles()}:
+        unstage(staged.sparkSession, folder)
+
+
 def unsqueezed(column: pa.Array) -> list[bytes]:
     unpack = zstandard.ZstdDecompressor()
     return [unpack.decompress(b) for b in column.to_pylist()]
