@@ -6,9 +6,7 @@ import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +14,8 @@ from pyspark.sql import functions as F
 from unitcal.functions import normal_cdf, normal_quantile
 from unitcal.functions.exact import binomial_p
 from unitcal.operators.features import anchor, from_model_output, to_model_target
-from unitcal.operators.hypothesis_tests import two_sample, uniformity
+from unitcal.operators.discriminant import discriminator  # noqa: F401  part of this module's interface
+from unitcal.operators.hypothesis_tests import uniformity
 from unitcal.operators.ordered import (
     attach_one,
     interpolate,
@@ -155,36 +154,6 @@ def crossing_rate(df: DataFrame, preds: Sequence[str], by: Sequence[str] = ()) -
     return df.groupBy(*by).agg(F.avg(crossed.cast("int")).alias("crossing_rate"))
 
 
-# --- density ratio -------------------------------------------------------------------
-
-
-def discriminator(
-    cal: DataFrame, test: DataFrame, columns: Sequence[str], max_iter: int = 100
-) -> tuple[DataFrame, DataFrame]:
-    """Chance of belonging to the test set for every calibration row, and the in-sample AUC.
-
-    Pooled median imputation, standardisation, then L2-penalised logistic regression with
-    unit strength on the sum of losses (``1/n`` on their mean).
-    """
-    pooled = stage(
-        cal.withColumn("is_test", F.lit(0.0)).unionByName(test.withColumn("is_test", F.lit(1.0)))
-    )
-    n = pooled.count()
-    pipeline = Pipeline(stages=[
-        *feature_stages(columns),
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-        LogisticRegression(
-            featuresCol="scaled", labelCol="is_test", regParam=1.0 / n, elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter, tol=1e-8,
-        ),
-    ])
-    model = pipeline.fit(pooled)
-    scored = model.transform(pooled).withColumn("p_test", vector_to_array("probability")[1])
-    auc = two_sample(scored, "p_test", F.col("is_test") == 1.0).select(F.col("auc").alias("auc_in_sample"))
-    kept = [c for c in pooled.columns if c != "is_test"]
-    return scored.filter("is_test = 0").select(*kept, "p_test"), auc
-
-
 # --- search and multi-seed runs --------------------------------------------------------
 
 

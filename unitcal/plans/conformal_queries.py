@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from unitcal.functions import draw_bits
 from unitcal.functions.columns import TWO_32
 from unitcal.functions.exact import binomial_p
-from unitcal.operators import audit, conformal, resample, weights
+from unitcal.operators import audit, conformal, discriminant, resample, weights
 from unitcal.plans.registry import longs, query, rounded
 from unitcal.plans.score_queries import POISSON_CASE, REPLICATES
 from unitcal.plans.series_queries import SPLIT_SQL, training_split
@@ -661,3 +661,81 @@ def calibration_sizes(spark, sf):
     return rounded(resample.calibration_sizes(
         frame.filter("split = 'train'"), F.col("target") >= THRESHOLD, (0.1, 0.2, 0.3), 0.9, n_test
     ))
+
+
+# --- weights from a trained discriminator --------------------------------------------------
+
+DISCRIMINATED = ("known", "n_admissible", "early")
+
+#: The same penalised regression, solved one coefficient after the other by Newton steps.
+REGRESSION_SQL = f"""{SPLIT_SQL},
+df AS (SELECT p.unit, p.known, p.target_ttr, p.n_admissible::DOUBLE AS n_admissible,
+         CASE WHEN p.n_admissible > 3 THEN p.first_ttr END AS early, (p.split = 'test')::INT AS y
+       FROM p LEFT JOIN s USING (unit) WHERE p.split = 'test' OR subset = 'calibration'),
+md AS (SELECT quantile_cont(known, 0.5) AS m1, quantile_cont(n_admissible, 0.5) AS m2, quantile_cont(early, 0.5) AS m3 FROM df),
+fl AS (SELECT df.*, coalesce(known, m1) AS x1, coalesce(n_admissible, m2) AS x2, coalesce(early, m3) AS x3 FROM df, md),
+sc AS (SELECT avg(x1) AS a1, avg(x2) AS a2, avg(x3) AS a3, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3 FROM fl),
+z AS (SELECT unit, known, target_ttr, y, (x1 - a1) / s1 AS z1, (x2 - a2) / s2 AS z2, (x3 - a3) / s3 AS z3 FROM fl, sc),
+fit AS (
+  SELECT 0 AS it, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3
+  UNION ALL
+  SELECT it + 1, CASE WHEN it % 4 = 0 THEN b0 - g0 / h0 ELSE b0 END, CASE WHEN it % 4 = 1 THEN b1 - (g1 + b1) / (h1 + 1) ELSE b1 END,
+         CASE WHEN it % 4 = 2 THEN b2 - (g2 + b2) / (h2 + 1) ELSE b2 END, CASE WHEN it % 4 = 3 THEN b3 - (g3 + b3) / (h3 + 1) ELSE b3 END
+  FROM (SELECT it, b0, b1, b2, b3, sum(r) AS g0, sum(v) AS h0, sum(r * z1) AS g1, sum(v * z1 * z1) AS h1,
+               sum(r * z2) AS g2, sum(v * z2 * z2) AS h2, sum(r * z3) AS g3, sum(v * z3 * z3) AS h3
+        FROM (SELECT *, q - y AS r, q * (1 - q) AS v
+              FROM (SELECT fit.*, z1, z2, z3, y, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2 + b3 * z3))) AS q FROM fit, z))
+        GROUP BY it, b0, b1, b2, b3)
+  WHERE it < 800),
+pt AS (SELECT z.*, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2 + b3 * z3))) AS p_test FROM z, fit WHERE it = 800),
+cw AS (SELECT unit, known, target_ttr, p_test, pp / (1 - pp) AS w_classifier
+       FROM (SELECT *, greatest(least(p_test, 1 - 1e-6), 1e-6) AS pp FROM pt WHERE y = 0)),
+prev AS (SELECT avg(CASE WHEN target >= 450000 THEN 1 ELSE 0 END) FILTER (WHERE split = 'test') AS pv,
+                avg(CASE WHEN target >= 450000 THEN 1 ELSE 0 END) FILTER (WHERE split = 'train') AS pr FROM p),
+bw AS (SELECT cw.*, (CASE WHEN target_ttr <= 90 THEN 1.0 ELSE 0.0 END)::DOUBLE *
+              CASE WHEN known >= 450000 THEN pv / pr ELSE (1 - pv) / (1 - pr) END AS w_rule FROM cw, prev)"""
+
+
+def discriminated_frame(spark, sf):
+    """Forecastable customers with their training subset and what the discriminator may see."""
+    frame = pairs(spark, sf).select(
+        "unit", "split", "target", "target_ttr", "known", F.col("n_admissible").cast("double").alias("n_admissible"),
+        F.when(F.col("n_admissible") > 3, F.col("first_ttr")).alias("early"),
+    )
+    return stage(frame.join(training_split(spark, sf), "unit", "left"))
+
+
+def trained_weights(frame, tail_index=False):
+    prev = weights.prevalences(frame, "target", THRESHOLD, F.col("split") == "test", F.col("split") == "train")
+    return discriminant.build_weights(
+        frame.filter("subset = 'calibration'"), frame.filter("split = 'test'"), DISCRIMINATED, prev,
+        F.col("target_ttr") <= RECENCY, F.col("known"), THRESHOLD, tail_index=tail_index,
+    )
+
+
+@query("trained_weights", PAIRS + f", {REGRESSION_SQL} SELECT unit, round(p_test, 6) AS p_test, round(w_rule, 6) AS w_rule,"
+       " round(w_classifier, 5) AS w_classifier FROM bw")
+def trained_weight_rows(spark, sf):
+    rows = trained_weights(discriminated_frame(spark, sf)).rows
+    return rounded(rows.select("unit", "p_test", "w_rule", "w_classifier"), 6, w_classifier=5)
+
+
+@query("build_weights", PAIRS + f", {REGRESSION_SQL}" + """,
+gn AS (SELECT w_rule / (SELECT avg(w_rule) FROM bw WHERE w_rule > 0) AS a,
+         w_classifier / (SELECT avg(w_classifier) FROM bw WHERE w_rule > 0) AS b FROM bw WHERE w_rule > 0),
+rk AS (SELECT y, row_number() OVER (ORDER BY p_test) + (count(*) OVER (PARTITION BY p_test) - 1) / 2.0
+         - (row_number() OVER (PARTITION BY p_test) - 1) AS rank FROM pt),
+au AS (SELECT (sum(rank) FILTER (WHERE y = 1) - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS auc
+       FROM rk, (SELECT count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0 FROM pt) GROUP BY n1, n0)
+SELECT (SELECT round(max(greatest(a / b, b / a)), 4) FROM gn) AS gamma_divergence, round(auc, 6) AS classifier_auc,
+  (SELECT count(*) FROM bw) AS rule_n, (SELECT round(sum(w_rule) * sum(w_rule) / sum(w_rule * w_rule), 4) FROM bw) AS rule_n_effective,
+  (SELECT round(sum(w_classifier) * sum(w_classifier) / sum(w_classifier * w_classifier), 4) FROM bw) AS classifier_n_effective,
+  (SELECT round(avg(w_classifier), 5) FROM bw) AS classifier_test_weight,
+  (SELECT round(pv * pv / pr + (1 - pv) * (1 - pv) / (1 - pr), 6) FROM prev) AS rule_test_weight
+FROM au""")
+def build_weights(spark, sf):
+    built = trained_weights(discriminated_frame(spark, sf))
+    out = built.summary.select(
+        "*", built.classifier_test.scalar().alias("classifier_test_weight"), built.rule_test.scalar().alias("rule_test_weight")
+    )
+    return rounded(out, 6, gamma_divergence=4, rule_n_effective=4, classifier_n_effective=4, classifier_test_weight=5)

@@ -81,3 +81,9 @@ def unstage(spark: SparkSession, path: str) -> None:
     """Delete a staged path that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the folders of a staged table that nothing reads any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in staged.inputFiles()}:
+        unstage(staged.sparkSession, folder)
