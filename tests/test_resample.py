@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -88,7 +89,7 @@ def test_undefined_replicates_are_counted(spark):
 
 def test_zero_width_is_flagged_but_exact_bounds_are_not_fooled(spark):
     df = spark.createDataFrame([(i, True) for i in range(5)], "unit long, ok boolean")
-    row = resample.proportion_bounds(df, "unit", F.col("ok"), n_replicates=100, mode="exact").first()
+    row = resample.proportion_bounds(df, F.col("ok"), n_replicates=100).first()
     assert row["degenerate"] and row["boot_half_pp"] == 0.0 and row["cp_half_pp"] > 20
 
 
@@ -157,3 +158,50 @@ def test_signed_rank_and_correlations(spark):
 
     assert c["pearson"] == pytest.approx(np.corrcoef(d, other)[0, 1])
     assert c["spearman"] == pytest.approx(np.corrcoef(rank(d), rank(other))[0, 1])
+
+
+def test_poisson_sums_equal_plain_sums(spark):
+    """Groups, missing values and a part without values, on several layouts."""
+    rows = [(i, ("a", "b", None)[i % 3], float(i % 7) if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "unit long, grp string, x double").withColumn("none", F.lit(None).cast("double"))
+    want = {}
+    for i, g, x in rows:
+        for block in range(3):
+            digest = hashlib.md5(f"42:{block}:{i}".encode()).digest()
+            for slot in range(4):
+                draw, r = int.from_bytes(digest[4 * slot:4 * slot + 4], "big"), 4 * block + slot
+                times = sum(draw >= s for s in resample.poisson_steps())
+                cell = want.setdefault((g, r), [0, 0.0])
+                cell[0] += times
+                cell[1] += times * (x or 0.0)
+    for parts in (1, 6):
+        got = resample.replicates(df.repartition(parts), "unit", {"x": F.col("x"), "none": F.col("none")}, 10, by=["grp"]).collect()
+        assert {(r["grp"], r["replicate"]): [r["n_drawn"], r["x"]] for r in got} == {k: v for k, v in want.items() if k[1] < 10}
+        assert all(r["none"] is None for r in got)
+
+
+def test_many_groups_are_sent_in_parts(spark, monkeypatch):
+    df = spark.range(900).select(F.col("id").alias("unit"), (F.col("id") % 300).alias("g"), F.lit(1.0).alias("x"))
+    got = resample.replicates(df, "unit", {"x": F.col("x")}, 5, by=["g"]).collect()
+    assert len(got) == 1500 and all(r["n_drawn"] == r["x"] for r in got)
+
+
+@pytest.mark.parametrize("k, n", [(1, 3), (7, 20), (300, 310), (5, 40_000), (0, 9), (9, 9)])
+def test_binomial_draws_follow_their_law(k, n):
+    u = (np.arange(20_000) + 0.5) / 20_000
+    got = resample.binomial_draws(k, n, u)
+    assert got.mean() == pytest.approx(k, rel=2e-3, abs=1e-3) and got.var() == pytest.approx(k * (1 - k / n), rel=2e-2, abs=1e-9)
+    if n <= 20:
+        p = k / n
+        law = np.cumsum([math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)])
+        assert got.tolist() == [int(np.argmax(law >= v)) for v in u]
+
+
+def test_shares_agree_with_drawn_units(spark):
+    df = spark.range(400).select(F.col("id").alias("unit"), (F.col("id") % 5 == 0).alias("ok"))
+    row = resample.share_bounds(df, F.col("ok")).first()
+    other = resample.bootstrap_means(df, "unit", {"share": F.col("ok").cast("int")}, mode="exact").first()
+    assert (row["n_units"], row["k"], row["share"]) == (400, 80, 0.2)
+    assert abs(row["share_lo"] - other["share_lo"]) < 0.01 and abs(row["share_hi"] - other["share_hi"]) < 0.01
+    none = resample.share_bounds(df.limit(0), F.col("ok")).first()
+    assert none["n_units"] == 0 and math.isnan(none["share_lo"]) and none["share_undefined"] == 2000

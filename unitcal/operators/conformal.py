@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from unitcal.functions import inf, is_finite
 from unitcal.functions.exact import binomial_p, clopper_pearson
 from unitcal.operators.ordered import interpolate, null_safe_join, running_totals
-from unitcal.operators.resample import bootstrap_means
+from unitcal.operators.resample import resampled_share
 from unitcal.session import stage
 
 # Fixed value: slack in the comparisons of cumulative mass.
@@ -254,13 +254,13 @@ def coverage_table(
 
 
 def coverage_with_bounds(
-    intervals: DataFrame, unit: str, by: Sequence[str], level: float = 0.95, **drawing
+    intervals: DataFrame, by: Sequence[str], level: float = 0.95, **drawing
 ) -> DataFrame:
-    """:func:`coverage_table` plus percentile bounds from resampled units."""
-    boot = bootstrap_means(
-        intervals, unit, {"share": F.col("covered").cast("int")}, by, level, **drawing
-    ).select(*by, F.col("share_lo").alias("boot_lo"), F.col("share_hi").alias("boot_hi"))
-    return null_safe_join(coverage_table(intervals, by, True, level), boot, list(by))
+    """:func:`coverage_table` plus percentile bounds from resampled units, for every group."""
+    table = coverage_table(intervals, by, True, level)
+    return table.withColumn("_s", resampled_share(F.col("n_covered"), F.col("n"), level, **drawing)).select(
+        *table.columns, F.col("_s.lo").alias("boot_lo"), F.col("_s.hi").alias("boot_hi")
+    )
 
 
 def sweep(

@@ -7,20 +7,25 @@ error).  A replicate is then one row of sums, and no unit list is ever materiali
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.functions import is_finite, nan
-from unitcal.functions.columns import TWO_32, hex_slot, joined
+from unitcal.functions.columns import TWO_32, joined
 from unitcal.functions.exact import clopper_pearson
 from unitcal.operators.ordered import attach_one, dense_index, null_safe_join
 from unitcal.operators.score import additive_score_parts, score_from_parts
 
 SLOTS = 4
 POISSON_CUTS = 12
+#: Units whose draws are made together, and groups whose sums a task holds before it sends them.
+UNITS_AT_ONCE, GROUPS_AT_ONCE = 256, 256
 
 
 class ResampleError(ValueError):
@@ -46,31 +51,111 @@ def poisson_count(draw: Column) -> Column:
 
 
 def with_draws(df: DataFrame, key: Column, replicates: int, seed: int, fast: bool) -> DataFrame:
-    """One row per (row, replicate) with a 32-bit ``draw``.
+    """One row per (row, replicate) with a ``draw`` of 64 bits (``fast``: of 63), a decimal without fraction.
 
-    One md5 digest serves four replicates.  ``fast`` hashes with xxhash64 instead, which
+    One md5 digest serves two replicates.  ``fast`` hashes with xxhash64 instead, which
     is several times cheaper but cannot be repeated in another engine.
     """
-    slots = 2 if fast else SLOTS
-    blocks = -(-replicates // slots)
+    blocks = -(-replicates // 2)
     spread = df.withColumn("_key", key).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     if fast:
-        h = F.xxhash64(F.lit(seed), "_block", "_key")
-        values = [h.bitwiseAND(F.lit(TWO_32 - 1)), F.shiftrightunsigned(h, 32)]
+        values = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_block", "_key", F.lit(i)), 1).cast("decimal(20,0)") for i in range(2)]
     else:
         digest = F.md5(joined(seed, F.col("_block"), F.col("_key")))
         spread = spread.withColumn("_digest", digest)
-        values = [hex_slot(F.col("_digest"), i) for i in range(SLOTS)]
+        values = [F.conv(F.substring("_digest", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(2)]
     return (
         spread.select("*", F.posexplode(F.array(*values)).alias("_slot", "draw"))
-        .withColumn("replicate", F.col("_block") * slots + F.col("_slot"))
+        .withColumn("replicate", F.col("_block") * 2 + F.col("_slot"))
         .filter(F.col("replicate") < replicates)
         .drop("_key", "_block", "_slot", "_digest")
     )
 
 
+def poisson_table(keys: list[str], n_replicates: int, seed: int, steps: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts (keys x replicates); one md5 digest serves four replicates."""
+    blocks = -(-n_replicates // SLOTS)
+    starts = [hashlib.md5(f"{seed}:{block}".encode(), usedforsecurity=False) for block in range(blocks)]
+    digests = []
+    for key in keys:
+        tail = key.encode()
+        for start in starts:
+            h = start.copy()
+            h.update(tail)
+            digests.append(h.digest())
+    draws = np.frombuffer(b"".join(digests), ">u4").reshape(len(keys), blocks * SLOTS)[:, :n_replicates]
+    return np.searchsorted(steps, draws.astype(np.int64), side="right")
+
+
+def poisson_table_fast(hashes: np.ndarray, n_replicates: int, seed: int, steps: np.ndarray) -> np.ndarray:
+    """The same from 64-bit hashes of the keys, mixed with the replicate."""
+    with np.errstate(over="ignore"):
+        x = hashes.view(np.uint64)[:, None] + (np.arange(1, n_replicates + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(steps, (x >> np.uint64(32)).astype(np.int64), side="right")
+
+
+def poisson_sums(
+    values: DataFrame, unit: str, parts: Sequence[str], n_replicates: int, seed: int, by: Sequence[str], fast: bool
+) -> DataFrame:
+    """Per task, group and replicate: the sum of the counts and of each part times its count.
+
+    Sums are kept in arrays of ``n_replicates`` where the units live; a part without any value is NULL.
+    """
+    steps, wide = np.array(poisson_steps()), len(parts) + 1
+    key = F.xxhash64(unit) if fast else F.coalesce(F.concat(F.lit(":"), F.col(unit).cast("string")), F.lit(""))
+    source = values.select(*by, key.alias("_key"), *parts)
+    schema = source.select(*by).schema.add("replicate", "long").add("n_drawn", "long")
+    for name in parts:
+        schema = schema.add(name, "double")
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        types: list[pa.DataType] = []
+
+        def sent() -> pa.RecordBatch:
+            groups = list(held)
+            columns = [pa.array([g[i] for g in groups for _ in range(n_replicates)], types[i]) for i in range(len(by))]
+            columns.append(pa.array(np.tile(np.arange(n_replicates), len(groups))))
+            columns.append(pa.array(np.concatenate([held[g][0][0] for g in groups]).astype(np.int64)))
+            for i in range(1, wide):
+                sums = np.concatenate([held[g][0][i] for g in groups])
+                columns.append(pa.array(sums, mask=np.repeat([not held[g][1][i] for g in groups], n_replicates)))
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            types = [c.type for c in batch.columns[:len(by)]]
+            for start in range(0, len(batch), UNITS_AT_ONCE):
+                part = batch.slice(start, UNITS_AT_ONCE)
+                keys = part.column(len(by))
+                times = (
+                    poisson_table_fast(keys.to_numpy(), n_replicates, seed, steps) if fast
+                    else poisson_table(keys.to_pylist(), n_replicates, seed, steps)
+                )
+                there = [np.ones(len(part), bool)] + [c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns[len(by) + 1:]]
+                x = [np.ones(len(part))] + [c.fill_null(0.0).to_numpy() for c in part.columns[len(by) + 1:]]
+                groups = list(zip(*[c.to_pylist() for c in part.columns[:len(by)]])) if by else [()] * len(part)
+                rows_of: dict[tuple, list[int]] = {}
+                for i, g in enumerate(groups):
+                    rows_of.setdefault(g, []).append(i)
+                for g, rows in rows_of.items():
+                    if g not in held:
+                        held[g] = [np.zeros((wide, n_replicates)), np.zeros(wide, bool)]
+                    held[g][0] += np.stack([v[rows] for v in x]) @ times[rows]
+                    held[g][1] |= np.array([t[rows].any() for t in there])
+                if len(held) > GROUPS_AT_ONCE:
+                    yield sent()
+        if held:
+            yield sent()
+
+    return source.mapInArrow(run, schema)
+
+
 def replicates(
     df: DataFrame,
     unit: str,
@@ -87,7 +172,7 @@ def replicates(
     ``md5(seed:b:j) mod n`` looked up in a dense unit index.  It shuffles
     units x replicates rows, so it is for small frames.  ``poisson`` gives each unit an
     independent Poisson(1) count per replicate; the counts are summed where the unit lives
-    and only one row per (task, replicate) is shuffled.
+    and only one row per (task, group, replicate) is made and shuffled.
     """
     by = list(by)
     values = df.select(*by, unit, *[c.cast("double").alias(n) for n, c in parts.items()])
@@ -95,23 +180,21 @@ def replicates(
         # every row is multiplied by the replicates here, so the number of tasks must follow
         # from that work and not from the bytes of the narrow input
         width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        drawn = with_draws(
-            values.repartition(width, unit), F.col(unit), n_replicates, seed, fast
-        ).withColumn("times", poisson_count(F.col("draw")))
-    elif mode == "exact":
-        index = dense_index(values, unit, by)
-        picks = (
-            with_draws(index, F.col("idx"), n_replicates, seed, fast)
-            .withColumn("idx", F.col("draw") % F.col("n_total"))
-            .select(*by, "idx", "replicate")
+        sums = poisson_sums(values.repartition(width, unit), unit, list(parts), n_replicates, seed, by, fast)
+        return sums.groupBy(*by, "replicate").agg(
+            F.sum("n_drawn").alias("n_drawn"), *[F.sum(n).alias(n) for n in parts]
         )
-        units = null_safe_join(values, index.drop("n_total"), [*by, unit])
-        drawn = null_safe_join(picks, units, [*by, "idx"]).withColumn("times", F.lit(1))
-    else:
+    if mode != "exact":
         raise ValueError(f"mode must be 'exact' or 'poisson', got {mode!r}")
-    return drawn.groupBy(*by, "replicate").agg(
-        F.sum("times").cast("bigint").alias("n_drawn"),
-        *[F.sum(F.col("times") * F.col(n)).alias(n) for n in parts],
+    index = dense_index(values, unit, by)
+    picks = (
+        with_draws(index, F.col("idx"), n_replicates, seed, fast)
+        .withColumn("idx", (F.col("draw") % F.col("n_total").cast("decimal(20,0)")).cast("bigint"))
+        .select(*by, "idx", "replicate")
+    )
+    units = null_safe_join(values, index.drop("n_total"), [*by, unit])
+    return null_safe_join(picks, units, [*by, "idx"]).groupBy(*by, "replicate").agg(
+        F.count(F.lit(1)).alias("n_drawn"), *[F.sum(n).alias(n) for n in parts]
     )
 
 
@@ -206,14 +289,61 @@ def score_with_bounds(
     return attach_one(rows, bounds, by)
 
 
+def binomial_draws(k: int, n: int, u: np.ndarray) -> np.ndarray:
+    """Successes among ``n`` draws with chance k / n, by the inverse distribution at each ``u``.
+
+    Probabilities follow from that of the mode by their ratios, as far out as they matter.
+    """
+    if k == 0 or k == n:
+        return np.full(len(u), k)
+    reach = 14 * math.sqrt(k * (1 - k / n)) + 30
+    low, high = max(0, math.floor(k - reach)), min(n, math.ceil(k + reach))
+    at = np.arange(low, high)
+    steps = np.concatenate([[0.0], np.cumsum(np.log((n - at) / (at + 1.0)) + math.log(k / (n - k)))])
+    p = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(k / n) + (n - k) * math.log1p(-k / n)
+    return np.minimum(low + np.searchsorted(np.cumsum(np.exp(steps - steps[k - low] + p)), u, side="left"), high)
+
+
+def resampled_share(k: Column, n: Column, level: float = 0.95, n_replicates: int = 2000, seed: int = 42) -> Column:
+    """Struct (lo, hi): percentile bounds of the share k / n over resamples of its rows.
+
+    A resample of n flags of which k are set is one binomial number, so it is drawn from (k, n) and no row per
+    unit and replicate is made.  Draw r is ``md5(seed:r)`` for every group.  Without rows the bounds are NaN.
+    """
+    words = [hashlib.md5(f"{seed}:{r}".encode(), usedforsecurity=False).hexdigest()[:8] for r in range(n_replicates)]
+    u = (np.array([int(w, 16) for w in words]) + 0.5) / TWO_32
+    tails = [(1.0 - level) / 2.0, (1.0 + level) / 2.0]
+
+    @F.arrow_udf("lo double, hi double")
+    def bounds(ks: pa.Array, ns: pa.Array) -> pa.Array:
+        found = [
+            np.quantile(binomial_draws(a, b, u) / b, tails) if b else (math.nan, math.nan)
+            for a, b in zip(ks.to_pylist(), ns.to_pylist())
+        ]
+        return pa.StructArray.from_arrays([pa.array([float(f[i]) for f in found], pa.float64()) for i in range(2)], names=["lo", "hi"])
+
+    return bounds(k, n)
+
+
+def share_bounds(
+    df: DataFrame, flag: Column, by: Sequence[str] = (), level: float = 0.95, n_replicates: int = 2000, seed: int = 42
+) -> DataFrame:
+    """n_units and k (rows whose flag is set), share and its percentile bounds; rows without a flag are left out."""
+    counts = df.groupBy(*by).agg(F.count(flag).alias("n_units"), F.count_if(flag).alias("k"))
+    drawn = counts.withColumn("_b", resampled_share(F.col("k"), F.col("n_units"), level, n_replicates, seed))
+    return drawn.select(
+        *by, "n_units", "k", F.coalesce(F.try_divide("k", "n_units"), nan()).alias("share"),
+        F.col("_b.lo").alias("share_lo"), F.col("_b.hi").alias("share_hi"),
+        F.when(F.col("n_units") > 0, 0).otherwise(n_replicates).cast("bigint").alias("share_undefined"),
+    )
+
+
 def proportion_bounds(
-    df: DataFrame, unit: str, flag: Column, by: Sequence[str] = (), level: float = 0.95, **drawing
+    df: DataFrame, flag: Column, by: Sequence[str] = (), level: float = 0.95, n_replicates: int = 2000, seed: int = 42
 ) -> DataFrame:
     """n, k, share with bootstrap and exact bounds, half widths in points, zero-width flag."""
-    boot = bootstrap_means(df, unit, {"share": flag.cast("int")}, by, level, **drawing)
-    counts = df.groupBy(*by).agg(F.count_if(flag).alias("k"))
     exact = (
-        attach_one(boot, counts, by)
+        share_bounds(df, flag, by, level, n_replicates, seed)
         .withColumn("_b", clopper_pearson(F.col("k"), F.col("n_units"), level))
         .select("*", "_b.*")
         .drop("_b")

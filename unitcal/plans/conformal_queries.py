@@ -9,7 +9,7 @@ from unitcal.functions.columns import TWO_32
 from unitcal.functions.exact import binomial_p
 from unitcal.operators import audit, conformal, discriminant, resample, weights
 from unitcal.plans.registry import longs, query, rounded
-from unitcal.plans.score_queries import POISSON_CASE, REPLICATES
+from unitcal.plans.score_queries import REPLICATES, shares_sql
 from unitcal.plans.series_queries import SPLIT_SQL, training_split
 from unitcal.plans.tables import (
     LEVELS, PAIRS, RECENCY, THRESHOLD, pairs, sql_draw, table,
@@ -213,9 +213,9 @@ def weighted_quantile(spark, sf):
 @query("split_interval", PAIRS + f", {PREDS_SQL}, {PLAIN}, iv AS ({intervals_sql(chr(34) + 'split' + chr(34) + ' = ' + chr(39) + 'test' + chr(39), 'qp', 'naive')})" + """
 SELECT unit, learner, CAST(seed AS BIGINT) AS seed, sided, level, round(lo, 4) AS lo, round(hi, 4) AS hi,
        target >= lo AND target <= hi AS covered
-FROM iv WHERE learner = 'persistence' AND seed = 42""")
+FROM iv""")
 def split_interval(spark, sf):
-    preds = predictions(spark, sf).filter("learner = 'persistence' AND seed = 42")
+    preds = predictions(spark, sf)
     q = conformal.conformal_quantile(
         conformal.score_table(preds.filter("subset = 'calibration'"), "target", "pred"),
         LEVELS, ["learner", "seed", "sided"],
@@ -321,27 +321,17 @@ def method_pivot(spark, sf):
     return rounded(conformal.method_pivot(rows, ["selftest", "naive", "weighted_rule"]))
 
 
-COVERAGE_BOOT = f"""cu AS (SELECT unit, level, covered FROM ic
-    WHERE method = 'naive' AND learner = 'persistence' AND sided = 'two' AND seed = 42),
-bg AS (SELECT cu.*, b.range AS blk, md5('42:' || b.range || ':' || unit) AS h FROM cu, range({REPLICATES // 4}) b),
-bd AS (SELECT level, covered, 4 * blk + s.range AS replicate,
-         CAST('0x' || substr(h, CAST(8 * s.range + 1 AS INTEGER), 8) AS BIGINT) AS d FROM bg, range(4) s),
-br AS (SELECT level, replicate, sum(({POISSON_CASE}) * covered::INT) / sum({POISSON_CASE}) AS share FROM bd GROUP BY level, replicate),
-cl AS (SELECT level, n, n_covered, coverage, median_width, share_infinite FROM cov
-       WHERE method = 'naive' AND learner = 'persistence' AND sided = 'two' AND seed = 42)"""
-
-
-@query("coverage_with_bounds", PAIRS + f", {SWEEP}, {COVERAGE_BOOT}, kn AS (SELECT n_covered AS k, n FROM cl), {bounds_sql('kn')}" + """
-SELECT level, cl.n, n_covered, round(coverage, 6) AS coverage, round(median_width, 3) AS median_width, round(share_infinite, 6) AS share_infinite,
-  round(cp_lo, 6) AS cp_lo, round(cp_hi, 6) AS cp_hi, round(boot_lo, 6) AS boot_lo, round(boot_hi, 6) AS boot_hi
-FROM cl JOIN cp ON cp.k = cl.n_covered AND cp.n = cl.n JOIN (
-  SELECT level, quantile_cont(share, 0.025) AS boot_lo, quantile_cont(share, 0.975) AS boot_hi FROM br GROUP BY level) USING (level)""")
+@query("coverage_with_bounds", PAIRS + f", {SWEEP}, kn AS (SELECT n_covered AS k, n FROM cov), {bounds_sql('kn')}, {shares_sql('kn')}" + """
+SELECT learner, method, sided, level, CAST(seed AS BIGINT) AS seed, cov.n, n_covered, round(coverage, 6) AS coverage,
+  round(median_width, 3) AS median_width, round(share_infinite, 6) AS share_infinite,
+  round(cp_lo, 6) AS cp_lo, round(cp_hi, 6) AS cp_hi, round(lo, 6) AS boot_lo, round(hi, 6) AS boot_hi
+FROM cov JOIN cp ON cp.k = cov.n_covered AND cp.n = cov.n JOIN sb ON sb.k = cov.n_covered AND sb.n = cov.n""")
 def coverage_with_bounds(spark, sf):
-    rows = sweep_intervals(spark, sf).filter(
-        "method = 'naive' AND learner = 'persistence' AND sided = 'two' AND seed = 42"
+    """Both kinds of bounds on every cell of the sweep."""
+    out = conformal.coverage_with_bounds(
+        sweep_intervals(spark, sf), ["learner", "method", "sided", "level", "seed"], n_replicates=REPLICATES
     )
-    out = conformal.coverage_with_bounds(rows, "unit", ["level"], n_replicates=REPLICATES)
-    return rounded(out, 6, median_width=3)
+    return longs(rounded(out, 6, median_width=3), "seed")
 
 
 # --- weights -------------------------------------------------------------------------------
@@ -583,22 +573,16 @@ def binomial_test(spark, sf):
     return rounded(counts.withColumn("p_value", binomial_p(F.col("k"), F.col("n"), F.lit(0.1))), 8)
 
 
-PROP_BOOT = f"""pg AS (SELECT grp, target >= 450000 AS high, b.range AS blk, md5('42:' || b.range || ':' || unit) AS h FROM p, range({REPLICATES // 4}) b),
-pd AS (SELECT grp, high, 4 * blk + s.range AS replicate, CAST('0x' || substr(h, CAST(8 * s.range + 1 AS INTEGER), 8) AS BIGINT) AS d
-       FROM pg, range(4) s),
-pr AS (SELECT grp, replicate, sum(({POISSON_CASE}) * high::INT) / sum({POISSON_CASE}) AS share FROM pd GROUP BY grp, replicate),
-kn AS (SELECT grp, count(*) FILTER (WHERE target >= 450000) AS k, count(*) AS n FROM p GROUP BY grp)"""
-
-
-@query("proportion_bounds", PAIRS + f", {PROP_BOOT}, {bounds_sql('kn')}" + """
+@query("proportion_bounds", PAIRS + f""", kn AS (SELECT grp, count(*) FILTER (WHERE target >= 450000) AS k, count(*) AS n FROM p GROUP BY grp),
+{bounds_sql('kn')}, {shares_sql('kn')}""" + """
 SELECT grp, n AS n_units, k, round(k / n, 6) AS share, round(lo, 6) AS share_lo, round(hi, 6) AS share_hi, CAST(0 AS BIGINT) AS share_undefined,
   round(cp_lo, 6) AS cp_lo, round(cp_hi, 6) AS cp_hi, round(50 * (hi - lo), 4) AS boot_half_pp, round(50 * (cp_hi - cp_lo), 4) AS cp_half_pp,
   hi = lo AS degenerate
-FROM kn JOIN cp USING (k, n) JOIN (SELECT grp, quantile_cont(share, 0.025) AS lo, quantile_cont(share, 0.975) AS hi FROM pr GROUP BY grp) USING (grp)""")
+FROM kn JOIN cp USING (k, n) JOIN sb USING (k, n)""")
 def proportion_bounds(spark, sf):
     """Share of high targets per segment, with bootstrap and exact bounds and the zero-width flag."""
     out = resample.proportion_bounds(
-        pairs(spark, sf, group=True), "unit", F.col("target") >= THRESHOLD, ["grp"], n_replicates=REPLICATES
+        pairs(spark, sf, group=True), F.col("target") >= THRESHOLD, ["grp"], n_replicates=REPLICATES
     )
     return rounded(out, 6, boot_half_pp=4, cp_half_pp=4)
 

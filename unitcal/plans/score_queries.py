@@ -281,16 +281,16 @@ def undefined_scores(spark, sf):
 
 # --- bounds --------------------------------------------------------------------------------
 
-REPLICATES = 200
+REPLICATES = 2000
 EXACT_DRAWS = f"""ix AS (
   SELECT split, unit, row_number() OVER (PARTITION BY split ORDER BY unit) - 1 AS idx,
          count(*) OVER (PARTITION BY split) AS n_total FROM p),
 dg AS (
-  SELECT split, n_total, b.range AS blk, md5('42:' || b.range || ':' || idx) AS h FROM ix, range({REPLICATES // 4}) b),
+  SELECT split, n_total, b.range AS blk, md5('42:' || b.range || ':' || idx) AS h FROM ix, range({REPLICATES // 2}) b),
 dr AS (
-  SELECT split, 4 * blk + s.range AS replicate,
-         CAST('0x' || substr(h, CAST(8 * s.range + 1 AS INTEGER), 8) AS BIGINT) % n_total AS idx
-  FROM dg, range(4) s)"""
+  SELECT split, 2 * blk + s.range AS replicate,
+         CAST(CAST('0x' || substr(h, CAST(16 * s.range + 1 AS INTEGER), 16) AS UBIGINT) % n_total::UBIGINT AS BIGINT) AS idx
+  FROM dg, range(2) s)"""
 
 
 @query("bootstrap_mean", PAIRS + f""", {EXACT_DRAWS},
@@ -341,6 +341,21 @@ def bootstrap_loss(spark, sf):
     ), 6, **BOUND_DIGITS)
 
 
+
+
+def shares_sql(source: str) -> str:
+    """Percentile bounds ``lo`` and ``hi`` of the resampled share of every (k, n) of ``source``, as CTE ``sb``."""
+    return f"""bu AS (SELECT r.range AS replicate, (CAST('0x' || substr(md5('42:' || r.range), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE AS u
+  FROM range({REPLICATES}) r),
+bk AS (SELECT DISTINCT k, n FROM {source}),
+bc AS (SELECT k, n, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(k / n) + (n - i) * ln(1 - k / n)))
+         OVER (PARTITION BY k, n ORDER BY i) AS c
+       FROM (SELECT k, n, unnest(range(0, n + 1)) AS i FROM bk WHERE k > 0 AND k < n)),
+bs AS (SELECT k, n, replicate, coalesce(min(i) FILTER (WHERE c >= u), n) / n AS share FROM bc, bu GROUP BY k, n, replicate
+       UNION ALL SELECT k, n, 0, k / n FROM bk WHERE k = 0 OR k = n),
+sb AS (SELECT k, n, quantile_cont(share, 0.025) AS lo, quantile_cont(share, 0.975) AS hi FROM bs GROUP BY k, n)"""
+
+
 POISSON_CASE = " + ".join(f"CAST(d >= {s} AS INTEGER)" for s in resample.poisson_steps())
 POISSON_DRAWS = f"""pg AS (SELECT p.*, b.range AS blk, md5('42:' || b.range || ':' || unit) AS h
   FROM p, range({REPLICATES // 4}) b),
