@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from unitcal.operators import features, models, series
+from unitcal.operators import boosting, conformal, features, models, series
 from unitcal.plans.feature_queries import SUMMARISED, summaries
 from unitcal.plans.registry import query
 from unitcal.plans.series_queries import training_split
-from unitcal.plans.tables import EPSILON, MARGIN, ORDERS, SEED, THRESHOLD, messages
+from unitcal.plans.tables import (
+    EPSILON, LEVELS, MARGIN, ORDERS, RECENCY, SEED, THRESHOLD, messages,
+)
 from unitcal.session import stage
 
 COLUMNS = [f"{c}_{s}" for c in SUMMARISED for s in ("last", "mean", "std", "delta")] + [
@@ -79,3 +81,74 @@ def multi_seed_run(spark, sf):
         fit, validation, test, "unit", COLUMNS, "target", "value_last", (42, 43), TAUS, THRESHOLD,
         MARGIN, EPSILON, n_replicates=40, **QUICK,
     )
+
+
+# --- boosting with patience: point and quantile heads in one fit -----------------------------
+
+POINT_SEEDS = (42, 43, 44)
+POINT_HEADS = tuple(boosting.Head(f"yhat_{seed}", None, seed) for seed in POINT_SEEDS)
+QUANTILE_HEADS = tuple(boosting.Head(models.quantile_name(q), q, SEED) for q in models.QUANTILE_LEVELS)
+
+
+def boosted(rows, heads):
+    fit, validation, _ = subsets(rows)
+    return boosting.fit_heads(fit, validation, COLUMNS, "target", heads, key="unit")
+
+
+@query("boosted_heads")
+def boosted_heads(spark, sf):
+    """Point forecasts of three seeds and seven quantile heads for every test customer."""
+    rows = model_table(spark, sf)
+    heads = POINT_HEADS + QUANTILE_HEADS
+    out = boosted(rows, heads).transform(rows.filter("split = 'test'").select("unit", "target", *COLUMNS))
+    return out.select("unit", "target", *[h.name for h in heads])
+
+
+@query("boosted_report")
+def boosted_report(spark, sf):
+    """Per quantile head its rounds and losses: validation at the start and the best round, test, and crossings."""
+    rows = model_table(spark, sf)
+    model = boosted(rows, QUANTILE_HEADS)
+    scored = stage(model.transform(rows.filter("split = 'test'").select("target", *COLUMNS)))
+    names = {h.level: h.name for h in QUANTILE_HEADS}
+    test = models.pinball_loss(scored, "target", names)
+    crossing = models.crossing_rate(scored, list(names.values()))
+    fits = spark.createDataFrame(
+        [(h.level, b, len(x) - 1, x[0], x[b]) for h, b, x in zip(QUANTILE_HEADS, model.best, model.history)],
+        "quantile double, best_round bigint, rounds bigint, first_loss double, best_loss double",
+    )
+    return fits.join(test, "quantile").withColumn("crossing_rate", crossing.scalar())
+
+
+@query("trained_sweep")
+def trained_sweep(spark, sf):
+    """Coverage with both kinds of bounds of persistence and boosted forecasts, plain and under both trained weightings."""
+    from unitcal.plans.conformal_queries import discriminated_frame, trained_weights
+
+    rows, frame = model_table(spark, sf), discriminated_frame(spark, sf)
+    model = boosted(rows, POINT_HEADS)
+    points = model.transform(rows.select("unit", *COLUMNS)).select("unit", *[h.name for h in POINT_HEADS])
+    built = trained_weights(frame)
+    learners = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("learner"), F.lit(h.seed).alias("seed"), F.col(column).alias("pred"))
+        for h in POINT_HEADS for name, column in (("persistence", "known"), ("boosted", h.name))
+    ]))
+
+    def predictions(table):
+        return table.join(points, "unit").select(*table.columns, learners.alias("l")).select(*table.columns, "l.*")
+
+    columns = ["unit", "target", "target_ttr", "known"]
+    intervals = conformal.sweep(
+        predictions(built.rows.select(*columns, "w_rule", "w_classifier")),
+        {
+            "selftest": predictions(frame.filter("subset = 'self_test'").select(*columns)),
+            "naive": predictions(frame.filter("split = 'test'").select(*columns)),
+        },
+        LEVELS,
+        {
+            "rule": conformal.Weighting("w_rule", built.rule_test),
+            "classifier": conformal.Weighting("w_classifier", built.classifier_test),
+        },
+        F.col("target_ttr") <= RECENCY,
+    )
+    return conformal.coverage_with_bounds(stage(intervals), ["learner", "method", "sided", "level", "seed"])
