@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitcal.llm.files import read_files, write_blobs
-from unitcal.llm.shared import Batches
-from unitcal.operators.ordered import null_safe_join
+from unitcal.llm.shared import Batches, drop
 from unitcal.session import stage
 
 #: Fixed values of the formats.
@@ -61,31 +60,44 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def make_record(page_id, url, payload: bytes, sha1: bytes, first_id) -> bytes:
-    """One WARC record; a revisit of ``first_id`` unless that is the page's own id."""
-    revisit = page_id != first_id
-    body = b"" if revisit else payload
+def record(kind: str, page_id, url, size: int, sha1: bytes, more: list[tuple[str, str]], body: bytes) -> bytes:
     headers = [
-        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Type", kind),
         ("WARC-Record-ID", record_id(page_id)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", " ".join((url or "").split())),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()),
-        ("WARC-Payload-Length", str(len(payload))),
+        ("WARC-Payload-Length", str(size)),
+        *more,
+        ("Content-Type", "text/html"),
+        ("Content-Length", str(len(body))),
     ]
-    if revisit:
-        headers += [("WARC-Refers-To", record_id(first_id)), ("WARC-Profile", REVISIT_PROFILE)]
-    headers += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
-def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from the records with the smallest hashes, at most ``TRAINED_BYTES`` in all.
+def make_revisit(page_id, url, size: int, sha1: bytes, first_id) -> bytes:
+    """The WARC record of a page whose payload of ``size`` bytes is that of page ``first_id``."""
+    more = [("WARC-Refers-To", record_id(first_id)), ("WARC-Profile", REVISIT_PROFILE)]
+    return record("revisit", page_id, url, size, sha1, more, b"")
+
+
+def make_record(page_id, url, payload: bytes, sha1: bytes, first_id) -> bytes:
+    """One WARC record; a revisit of ``first_id`` unless that is the page's own id."""
+    if page_id != first_id:
+        return make_revisit(page_id, url, len(payload), sha1, first_id)
+    return record("response", page_id, url, len(payload), sha1, [], payload)
+
+
+def train_dictionary(pages: DataFrame, count: int) -> bytes:
+    """A dictionary from the records with the smallest hashes among ``count``, at most ``TRAINED_BYTES`` in all.
 
     Empty where there is too little to train on; the archive is then written without.
     """
-    sample = pages.orderBy(F.xxhash64("same", "page_id")).limit(TRAINED_ON).select(
+    hashed = F.xxhash64("same", "page_id")
+    # a bound from the count, so that not much more than the sample leaves the tasks
+    bound = min((1 << 63) - 1, int(1.5 * TRAINED_ON / max(1, count) * (1 << 64)) - (1 << 63))
+    sample = pages.filter(hashed <= bound).orderBy(hashed).limit(TRAINED_ON).select(
         F.substring("payload", 1, TRAINED_BYTES // TRAINED_ON).alias("payload"), "page_id", "url", "sha1"
     )
     samples = [make_record(r.page_id, r.url, bytes(r.payload), bytes(r.sha1), r.page_id) for r in sample.toLocalIterator()]
@@ -103,23 +115,43 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
     known = identified(pages)
     ids = stage(known.select("page_id", "same", F.length("payload").alias("size")))
     firsts = ids.groupBy("same").agg(F.min("page_id").alias("first_id"))
-    files = max(1, -(-(ids.agg(F.sum("size")).first()[0] or 0) // file_bytes))
-    dictionary = train_dictionary(known)
+    total, count = ids.agg(F.sum("size"), F.count("*")).first()
+    files = max(1, -(-(total or 0) // file_bytes))
+    dictionary = train_dictionary(known, count)
 
-    def compress(batches: Batches) -> Batches:
+    def packer() -> zstandard.ZstdCompressor:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True)
-        begun = False
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True)
+
+    def responses(batches: Batches) -> Batches:
+        pack = packer()
+        for batch in batches:
+            blobs = [pack.compress(make_record(i, url, payload, sha1, i)) for i, url, payload, sha1 in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+            sizes = pa.array([len(p) for p in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), batch.column(4), sizes, pa.array(blobs, pa.binary())],
+                names=["page_id", "url", "sha1", "same", "size", "blob"],
+            )
+
+    def archived(batches: Batches) -> Batches:
+        pack, begun = packer(), False
         for batch in batches:
             blobs = [] if begun or not dictionary else [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary]
             begun = True
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                blobs.append(packer.compress(make_record(*row)))
+            for blob, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                blobs.append(blob or pack.compress(make_revisit(*row)))
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], names=["blob"])
 
-    rows = known.join(firsts, "same").select("page_id", "url", "payload", "sha1", "first_id")
-    dealt = rows.repartition(files)
-    write_blobs(dealt.mapInArrow(compress, "blob binary"), "blob", path, EMPTY_FRAME, ".warc.zst")
+    # records are compressed before they are exchanged, and a revisit leaves its payload behind at the join
+    made = known.select("page_id", "url", "payload", "sha1", "same").mapInArrow(
+        responses, "page_id bigint, url string, sha1 binary, same string, size bigint, blob binary"
+    )
+    response = F.col("page_id").eqNullSafe(F.col("first_id"))
+    rows = made.join(firsts, "same").select(
+        F.when(response, F.col("blob")).alias("blob"), "page_id", "url", "size", "sha1", "first_id"
+    )
+    write_blobs(rows.repartition(files).mapInArrow(archived, "blob binary"), "blob", path, EMPTY_FRAME, ".warc.zst")
+    drop(ids)
 
 
 def frame_end(data: bytes, at: int) -> int:
