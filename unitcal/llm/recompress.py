@@ -1,6 +1,6 @@
 """Repeated passages of words by recompression.
 
-A document's words become 64-bit names.  Runs of one word take one name, then ``ROUNDS`` rounds of
+A document's words become 64-bit names (XXH64 of their bytes).  Runs of one word take one name, then ``ROUNDS`` rounds of
 pairing follow: a hash of a name and the round puts the name on the left or the right side, and
 every neighbouring pair (left, right) becomes one name, the hash of the two.  Names depend on
 nothing but the words below them, so all documents agree on them and equal passages get equal
@@ -27,16 +27,19 @@ larger than no other, so its row stays whole and is nobody's original; an empty
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitcal.llm.shared import Batches, in_arrow, mix64, raw_texts, release, squeezed, unsqueezed
+from unitcal.llm.shared import Batches, in_arrow, memory, mix64, raw_texts, release, squeezed, unsqueezed
 from unitcal.session import stage
 
 WINDOW = 13
+SEED = 17
 ROUNDS = 4
 
 _rng = np.random.default_rng(11)
@@ -46,31 +49,24 @@ _LEFT, _RUN = (np.uint64(x) for x in _rng.integers(1, 1 << 63, 2, dtype=np.uint6
 NAME_BITS = 58  # of a symbol's name in a key; the upper bits hold the number of its words
 
 
-_BASE = np.uint64(int(_rng.integers(1, 1 << 62)) * 4 + 3)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[np.uint64, np.ndarray] = {}
+#: Distinct words whose names a worker remembers.
+REMEMBERED = 400_000
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n modulo 2**64; the longest made so far is kept."""
-    if len(_powers.get(base, ())) <= n:
-        made = np.full(n + 1, base, np.uint64)
-        made[0] = 1
-        _powers[base] = np.cumprod(made, dtype=np.uint64)
-    return _powers[base]
+class Names(dict):
+    """word -> XXH64 of its bytes, made when it is asked for."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = name = xxhash.xxh64_intdigest(word, SEED)
+        return name
 
-def word_names(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and name of every word: a polynomial of its bytes modulo 2**64, scrambled."""
-    data = np.frombuffer(raw, np.uint8)
-    edge = np.diff((~_WHITE[data]).view(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(_BASE, len(data))[:len(data)], out=sums[1:])
-    return starts, ends, mix64((sums[ends] - sums[starts]) * powers(_BASE_INVERSE, len(data))[starts])
+
+def word_names(words: list[bytes]) -> np.ndarray:
+    """The names of the words."""
+    known = memory(("word names",), Names)
+    if len(known) > REMEMBERED:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def parse(names: np.ndarray, doc: np.ndarray):
@@ -163,9 +159,9 @@ def in_runs(raws: list[bytes]):
     for i, raw in enumerate(raws):
         size += len(raw) + 1
         if size >= BYTES_AT_ONCE or i == len(raws) - 1:
-            begins, _, names = word_names(b"\n".join(raws[start:i + 1]))
-            ends = np.cumsum([len(r) + 1 for r in raws[start:i + 1]])
-            yield start + np.searchsorted(ends, begins, side="right"), names
+            split = [r.split() for r in raws[start:i + 1]]
+            rows = np.repeat(np.arange(start, i + 1), [len(w) for w in split])
+            yield rows, word_names(list(chain.from_iterable(split)))
             start, size = i + 1, 0
 
 
@@ -323,7 +319,7 @@ def cut_text(raw: bytes, repeated: np.ndarray) -> tuple[bytes, int, int, str]:
     words = raw.split()
     removed = 0
     if len(repeated):
-        hashes = window_hashes(word_names(raw)[2])
+        hashes = window_hashes(word_names(words))
         hit = among(hashes, np.sort(repeated))
         edge = np.zeros(len(words) + 1, np.int64)
         edge[:len(hit)] += hit
