@@ -21,6 +21,7 @@ table gives no row; columns other than id, text and lang are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 from itertools import islice
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitcal.llm.shared import Batches, in_arrow, mix64, raw_texts
+from unitcal.llm.shared import Batches, forget, in_arrow, mix64, raw_texts
 from unitcal.session import stage
 
 ORDER = 4
@@ -85,7 +86,7 @@ def gram_keys(words: list[bytes], lang: str) -> tuple[list[np.ndarray], np.ndarr
     starts = np.cumsum(total) - total
     inside = np.arange(len(chars)) - np.repeat(starts, total)
     ends = np.flatnonzero(inside >= ORDER - 1)
-    seed = np.uint64(int.from_bytes(lang.encode()[:8].ljust(8, b"\0"), "little") * 0x9E3779B97F4A7C15 % (1 << 64))
+    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
     shift = np.uint64(64 - HASH_BITS)
 
     def key(n: int, last: np.ndarray) -> np.ndarray:
@@ -260,7 +261,7 @@ SCORES = (
 )
 NAMES = [f.split()[0] for f in SCORES.split(",")]
 
-#: Words whose log probability a worker remembers; at most about 100 MB.
+#: Words of all languages whose log probability a worker remembers; at most about 100 MB.
 MEMORY = 500_000
 
 
@@ -271,8 +272,6 @@ class WordScores(dict):
         self.model, self.lang = model, lang
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > MEMORY:
-            self.clear()
         fresh = [w for w in words if w not in self]
         if fresh:
             keys, lengths = gram_keys(fresh, self.lang)
@@ -285,12 +284,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Batches:
+        forget()
         memory: dict[str, WordScores] = {}
         for batch in batches:
             rows: list[tuple] = []
             ids, langs, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2))
             for start in range(0, len(ids), 500):
                 part = slice(start, start + 500)
+                if sum(map(len, memory.values())) > MEMORY:
+                    memory.clear()
                 split = [r.split() for r in raws[part]]
                 fresh: dict[str, set] = {}
                 for lang, words in zip(langs[part], split):
