@@ -14,7 +14,7 @@ import xxhash
 from oracle import compare, connect
 from tokenizers import Tokenizer
 
-from unitcal.llm import bpe, chat, cotrain, cross_polytope, huffman, packing, perplexity, recompress, simhash, warc
+from unitcal.llm import bpe, chat, cotrain, cross_polytope, huffman, packing, perplexity, recompress, simhash, tokens, warc
 from unitcal.llm.queries import LLM_CATALOG
 from unitcal.session import new_path
 
@@ -182,7 +182,6 @@ def test_pairs_stay_apart_as_merges_say():
 
 def library_ids(texts):
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     return [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
@@ -413,3 +412,31 @@ def test_classifier_scores_all_unlabelled_rows_each_round(spark, monkeypatch):
     monkeypatch.setattr(cotrain, "logistic", logistic)
     assert cotrain.fit(rows, labels) is not None
     assert max(learnt) > n - 800 + 400
+
+
+def thue_morse(n):
+    """Two words of n letters that every polynomial modulo 2**64 confuses for long n."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [256, 1024])
+def test_different_words_have_different_names(spark, n):
+    one, two = thue_morse(n)
+    tail = " ".join(f"u{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in recompress.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_added_tokens_are_the_library_s_own(spark):
+    texts = ["x <|endoftext|> y", "plain words here", "a<|endoftext|>b  c", None]
+    got = tokens.ChunkEncoder(TOKENIZER).encode([t or "" for t in texts])
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == library_ids(texts)
+    assert 50256 in library_ids(texts)[0]
+
+
+def test_files_are_in_the_order_of_their_numbers(spark):
+    rows = [(f"part-{n}-x.huff", 0, n, 10) for n in ("00002", "99999", "100000", "100001")]
+    docs = spark.createDataFrame(rows, "file string, start_in_file long, doc_id string, n_tokens long")
+    assert {r.doc_id: r.start for r in huffman.with_starts(docs).collect()} == {"00002": 0, "99999": 10, "100000": 20, "100001": 30}

@@ -76,3 +76,16 @@ def test_simhash_dedup_keeps_one_row_of_each_group(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_verdicts_are_of_rows(spark):
+    good, bad = prose(301, 60), "a a a " * 40
+    names = "doc_id long, text string, _id long, _key long, row_key long, first string"
+    rows = [(None, good, 1, 2, 3, "x"), (None, bad, 1, 2, 3, "x"), (7, good + " more", 1, 2, 3, "x"), (7, bad, 4, 5, 6, None)]
+    docs = spark.createDataFrame(rows, names)
+    verdicts = spark.createDataFrame(
+        [(r.doc_id, r.text.startswith("word")) for r in corpus_pipeline.with_key(docs).collect()], "doc_id long, kept boolean"
+    )
+    assert {tuple(r) for r in corpus_pipeline.of_kept(docs, verdicts).collect()} == {rows[0], rows[2]}
+    for _, step in corpus_pipeline.STAGES[:3]:
+        assert set(step(spark, docs, SF).collect()) <= set(docs.collect())

@@ -359,7 +359,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def with_starts(docs: DataFrame) -> DataFrame:
     """Add ``start``, the ids of all documents before: totals of the files (one row each), then in-file."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     offsets = totals.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("file_start"))
     return docs.join(offsets, "file").withColumn("start", F.col("file_start") + F.col("start_in_file"))

@@ -37,7 +37,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         # a byte-level token is written with one character for each of its bytes
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -73,7 +73,8 @@ class ChunkEncoder:
         return out + self.run(texts[start:])
 
     def run(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
+        # a text with the string of an added token goes to the library whole, as it is
+        cut = [[t] if any(a in t for a in self.added) else t.split(" ") for t in texts]
         flat = list(chain.from_iterable(islice(c, 1, None) for c in cut))
         ends = np.cumsum([len(c) - 1 for c in cut]).tolist()
         if len(self.chunks) > MEMORY:
