@@ -1,4 +1,11 @@
-"""From raw documents to packed sequences: five stages, each of which reads what the one before kept."""
+"""From raw documents to packed sequences: five stages, each of which reads what the one before kept.
+
+Defined cases: verdicts and groups are of rows, told apart by a hash of all their columns, so rows without
+id or with a shared id stand for themselves, and equal rows share their fate; a NULL or blank text fails the
+quality rules; a NULL language is a language of its own; without labels of both kinds the classifier
+keeps what it decides without one; texts are whole, however long; an empty table passes through as an empty table; other columns may
+have any names and are kept up to the last stage.  Columns of maps have no hash and are refused.
+"""
 
 from __future__ import annotations
 
@@ -10,29 +17,48 @@ from unitcal.llm import cotrain, near_copies, packing, perplexity, recompress
 from unitcal.session import stage
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """The documents' text and language with the hash of the row in place of the id."""
+    columns = [c for c in ("text", "lang", "source", "n_chars") if c in docs.columns]
+    return docs.select(near_copies.row_key(docs).alias("doc_id"), *columns)
+
+
+def of_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose hash is in the only column of ``keys``."""
+    name = fresh(docs, "row_key")
+    return docs.join(keys.toDF(name), near_copies.row_key(docs) == F.col(name), "left_semi")
+
+
 def of_kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that a verdict per id keeps; rows with one id share the stricter verdict."""
-    kept = verdicts.groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Rows of ``docs`` that a verdict per row keeps; ids do not matter, equal rows have one verdict."""
+    return of_rows(docs, stage(verdicts.filter("kept").select("doc_id").distinct()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and whose perplexity is inside their language's band."""
-    return of_kept(docs, stage(perplexity.quality_rules(docs).select("doc_id", "kept")))
+    return of_kept(docs, perplexity.quality_rules(with_key(docs)))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the two co-trained views accept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return of_kept(docs, cotrain.classify(docs, labels).select("doc_id", "kept"))
+    return of_kept(docs, cotrain.score(with_key(docs), cotrain.fit(docs, labels)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id (NULL comes last), then of the smallest row hash."""
     groups = near_copies.near_copies(docs)
     first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key"))
-    keep = stage(groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row_key").alias("_key")))
-    return docs.join(keep, near_copies.row_key(docs) == F.col("_key"), "left_semi").dropDuplicates()
+    keep = stage(groups.groupBy("root").agg(first.alias("first")).select("first.row_key"))
+    return of_rows(docs, keep).dropDuplicates()
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
