@@ -67,7 +67,8 @@ def test_cut_off_in_ties(spark):
     rows = [(s, d, k) for k, (s, d) in enumerate([(5, 1)] * 7 + [(5, 2)] * 7 + [(4, 9)] * 3 + [(-8, 0)] * 5)]
     df = spark.createDataFrame(rows, "s long, d long, k long").repartition(3)
     order = [-df["s"], df["d"], df["k"]]
-    for n in range(len(rows) + 2):
+    df = df.cache()
+    for n in (0, 3, 7, 10, 14, 16, 17, 20, 23):
         got = df.filter(importance.first_rows(df, order, n)).collect()
         want = sorted(rows, key=lambda r: (-r[0], r[1], r[2]))[:n]
         assert sorted(map(tuple, got)) == sorted(want)
@@ -112,7 +113,7 @@ def plain_repair(codes):
 def test_auction_equals_plain_search():
     rng = random.Random(2)
     for _ in range(3000):
-        codes = "".join(rng.choice("suua a-".replace(" ", "")) + rng.choice("ccctd") for _ in range(rng.randrange(10)))
+        codes = "".join(rng.choice("suuaa-") + rng.choice("ccctd") for _ in range(rng.randrange(10)))
         assert repair.solve(codes)[0] == plain_repair(codes)[0], codes
     # every least audit, by trying all of them
     for _ in range(150):
@@ -157,11 +158,13 @@ def test_repair_odd_rows(spark):
     assert set(got) == {1, 2, 3, 4, 5, 6, 7, None}
     assert (got[1].audit, got[1].cost, got[1].gaps) == ("KK", 0, 0)
     assert got[1].repaired_sha256 == hashlib.sha256(b"user:Hello.\nassistant:Yes!").hexdigest()
-    assert (got[2].blank, got[2].duplicate, got[2].gaps, got[2].audit) == (1, 1, 2, "DDD") or got[2].cost == 11
-    assert (got[None].truncated, got[None].cost, got[None].audit) == (1, 7, "DIR")[:2] + (got[None].audit,) or got[None].cost <= 8
+    # the blank row and the repeated one go, and an answer is put in
+    assert (got[2].blank, got[2].duplicate, got[2].gaps, got[2].cost, got[2].audit) == (1, 1, 2, 11, "DKDI")
+    # both rows go: keeping either costs more
+    assert (got[None].truncated, got[None].cost, got[None].audit) == (1, 8, "DD")
     assert (got[3].blank, got[3].cost, got[3].audit) == (1, 4, "D")
     assert (got[3].repaired_sha256, got[4].audit) == (hashlib.sha256().hexdigest(), "D")
-    assert (got[5].duplicate, got[5].gaps, got[5].cost) == (1, 0, 7)
+    assert (got[5].duplicate, got[5].gaps, got[5].cost, got[5].audit) == (1, 0, 7, "KDI")
     assert (got[6].illegal, got[6].cost, got[6].audit) == (0, 4, "D")
     assert (got[7].truncated, got[7].cost) == (1, 4)
     none = repair.repair_conversations(df, repair.filled(df).limit(0)).collect()

@@ -10,7 +10,8 @@ Bertsekas's auction algorithm finds the shortest paths.  Every node has a price,
 destination.  A path starts at an origin and is extended from its last node along the arc whose cost and
 price behind it are least; where this exceeds the last node's price, that price is raised and the
 path contracted by one node.  Origins are taken from the end of the conversation backwards and prices are kept, so a
-path ends at the first node whose price is settled, and every node is settled in the end.  Settled prices are
+path ends at the first node whose price is settled, and every node is settled in the end.  A place begins
+with the least settled price behind it, so that prices rise by a few units only, however long the conversation is.  Settled prices are
 exact distances, so the arcs that they expose as tight are those of the shortest paths, and the
 ASCII-least audit takes from node to node the tight arc with the least letter.
 
@@ -80,6 +81,9 @@ def auction(codes: str) -> list[int]:
     for state in STOPS:
         settled[4 * (places - 1) + state] = 1
     for at in range(places - 1, -1, -1):
+        if at < places - 1:
+            # no edit has a negative cost, so a place costs at least what the cheapest node of the next one does
+            price[4 * at:4 * at + 4] = [min(price[4 * at + 4:4 * at + 8])] * 4
         for state in range(4):
             path = [4 * at + state]
             while not settled[path[-1]]:
