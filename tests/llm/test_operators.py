@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from oracle import compare, connect
 from tokenizers import Tokenizer
 
-from unitcal.llm import bpe, chat, cotrain, cross_polytope, huffman, packing, perplexity, recompress, simhash, tokens, warc
+from unitcal.llm import bpe, chat, chunks, cotrain, cross_polytope, huffman, packing, perplexity, recompress, simhash, tokens, warc
 from unitcal.llm.queries import LLM_CATALOG
 from unitcal.session import new_path
 
@@ -171,6 +172,26 @@ def test_bytes_odd_rows(odd, nothing):
     assert bpe.encode(nothing, RANKS, PATTERN).count() == 0
 
 
+def test_chunks_encode_as_whole_texts():
+    enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    library, rng = Tokenizer.from_file(TOKENIZER), random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\u3000", "\u0085", "\x1c", "a", "Bc", "7", "'s", "'", "\u00e9", "\u2014", "\u4e2d", "\u00a3", "\U0001f600", "!?", "<|endoftext|>", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(4000)] + [None, "", " ", "x" * 70_000]
+    own = tokens.ChunkEncoder(TOKENIZER)
+    for _ in range(2):  # the second time from memory
+        flat, bounds = chunks.encoded(pa.array(texts[3:], pa.string()), bpe.codec(RANKS, PATTERN).ids_of)
+        got = [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [enc.encode_ordinary(t or "") for t in texts[3:]]
+        got = own.encode(pa.array(texts, pa.string())[1:])
+        assert [np.frombuffer(g, "<i4").tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+
+
+def test_ids_without_entry_are_refused():
+    with pytest.raises(ValueError):
+        bpe.codec(RANKS, PATTERN).decode(pa.array([[1, 60_000]], pa.list_(pa.int32())))
+    assert bpe.codec(RANKS, PATTERN).decode(pa.array([None, [], [65]], pa.list_(pa.int32())))[2].as_py() == bpe.codec(RANKS, PATTERN).bytes_of[65]
+
+
 def test_pairs_stay_apart_as_merges_say():
     codec = bpe.codec(RANKS, PATTERN)
     rng = random.Random(2)

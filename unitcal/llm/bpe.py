@@ -2,19 +2,22 @@
 
 A text falls into pieces by the tokenizer's pattern, and each piece into the tokens that merging
 the pair of lowest rank, again and again, would leave.  They are found without merging:
-an Aho-Corasick automaton over the vocabulary (bytes as Latin-1 characters) gives the tokens that
-start at each byte, and the longest is tried first.  A token may follow another when merging the
+an Aho-Corasick automaton over the vocabulary (bytes as Latin-1 characters) gives the longest token that
+starts at a byte, which is tried first, and then the longest tokens that it begins with.  A token may follow another when merging the
 bytes of the two alone gives these two again; the answers are remembered.  A sequence
 in which all neighbours are compatible is the result of the merges, and the result is such a
 sequence, so when no token fits, the last one is taken back and a shorter one tried.  An end
 that failed once is not tried again: each prefix has only one result.  So the work is
 linear in the bytes of the piece.
 
-A worker remembers the ids of pieces it has met, up to a fixed number.
+Texts are cut into chunks at blanks (``chunks``), and each distinct chunk of a run of texts is looked at
+once.  A worker remembers the ids of chunks and pieces it has met, up to a fixed number.  Ids are decoded by
+gathering the tokens' bytes.
 
 Defined cases: a NULL text is empty and has no ids; a piece that is a token itself is that token,
-whatever the merges; ids without an entry in the vocabulary are refused; repeated
-rows, NULL ids and other columns pass through; an empty table stays empty.
+whatever the merges; ids without an entry in the vocabulary are refused; NULL ids have no bytes; repeated
+rows and other columns pass through, but for columns of the names of the results, which are replaced; an empty
+table stays empty; a text is whole in its task, however long.
 """
 
 from __future__ import annotations
@@ -29,12 +32,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces, and pairs of tokens, that a worker remembers; at most about 150 MB in all.
+from unitcal.llm.chunks import encoded, gathered
+
+#: Chunks, pairs of tokens, and pieces of chunks of several that a worker remembers, of each kind; a chunk takes
+#: about 200 bytes, the others less.
 MEMORY = 700_000
 
-#: Longer pieces are encoded each time.
+#: Longer chunks and pieces are encoded each time.
 LONGEST_REMEMBERED = 64
 
+UNKNOWN = -2  # a shorter token that is yet to be looked for
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a file with one line per token: base64 of its bytes, and its id."""
@@ -67,8 +75,13 @@ class Codec(dict):
             self.bytes_of[rank] = token
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.sizes = [len(token or b"") for token in self.bytes_of]
+        self.shorter = [UNKNOWN] * self.top
+        self.tokens = pa.array(self.bytes_of, pa.large_binary())
+        self.given = self.tokens.is_valid().to_numpy(zero_copy_only=False)
+        self.chunks: dict[bytes, bytes] = {}
         self.fits: dict[int, bool] = {}
         self.parts_of: dict[int, tuple[int, int] | None] = {}
 
@@ -121,34 +134,42 @@ class Codec(dict):
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            starts[end + 1 - token[0]].append(token)  # in order of length
-        untried = [len(s) for s in starts]
+        n, latin, longest = len(piece), piece.decode("latin-1"), self.automaton.iter_long
+        sizes, shorter, fits, top = self.sizes, self.shorter, self.fits, self.top
         dead = bytearray(n + 1)
         ids: list[int] = []
         at = 0
-        sizes: list[int] = []
+        token = next(longest(latin), (0, -1))[1]
         while at < n:
-            tokens, left = starts[at], untried[at]
-            while left:
-                left -= 1
-                size, token = tokens[left]
-                if not dead[at + size] and (not ids or self.compatible(ids[-1], token)):
-                    untried[at] = left
-                    ids.append(token)
-                    sizes.append(size)
-                    at += size
-                    break
+            while token >= 0:
+                if not dead[at + sizes[token]]:
+                    if not ids:
+                        break
+                    fit = fits.get(ids[-1] * top + token)
+                    if self.compatible(ids[-1], token) if fit is None else fit:
+                        break
+                token = shorter[token] if shorter[token] != UNKNOWN else self.shorten(token)
+            if token >= 0:
+                ids.append(token)
+                at += sizes[token]
+                if at < n:
+                    token = next(longest(latin, at), (0, -1))[1]
             else:
                 if not ids:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead[at] = 1
-                at -= sizes.pop()
-                ids.pop()
+                last = ids.pop()
+                at -= sizes[last]
+                token = shorter[last] if shorter[last] != UNKNOWN else self.shorten(last)
         return tuple(ids)
 
+    def shorten(self, token: int) -> int:
+        """The longest token that another begins with, or -1."""
+        whole = self.bytes_of[token]
+        prefixes = (self.ranks.get(whole[:n], -1) for n in range(len(whole) - 1, 0, -1))
+        self.shorter[token] = found = next((r for r in prefixes if r >= 0), -1)
+        return found
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.encode_piece(piece.encode())
         if len(piece) <= LONGEST_REMEMBERED:
@@ -157,11 +178,31 @@ class Codec(dict):
             self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.find(text))), np.int32)
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each chunk."""
+        out = list(map(self.chunks.get, chunks))
+        if len(self.chunks) > MEMORY:
+            self.chunks.clear()
+        for i, chunk in enumerate(chunks):
+            if out[i] is None:
+                pieces = self.find(chunk.decode())
+                # most chunks are one piece, which is then remembered as a chunk only
+                ids = self.encode_piece(chunk) if len(pieces) == 1 else chain.from_iterable(map(self.__getitem__, pieces))
+                out[i] = np.array(list(ids), "<i4").tobytes()
+                if len(chunk) <= LONGEST_REMEMBERED:
+                    self.chunks[chunk] = out[i]
+        return out
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids, gathered from those of the tokens."""
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) and not (0 <= flat.min() and flat.max() < self.top and self.given[flat].all()):
+            raise ValueError("an id without an entry in the vocabulary")
+        data, offsets = gathered(self.tokens, flat)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        bounds = np.ascontiguousarray(offsets[np.concatenate([[0], ends])])
+        whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        return whole.cast(pa.binary())
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -179,11 +220,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        arrays = [own.encode(t or "") for t in texts.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-        flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        flat, bounds = encoded(texts, codec(path, pattern).ids_of)
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
 
     return docs.withColumn(ids, run(F.col(text)))
 
@@ -193,13 +231,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
     @F.arrow_udf("binary")
     def run(arrays: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        flat = arrays.flatten().to_numpy()
-        lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths)
-        return pa.array(
-            [own.decode(flat[e - n:e]) for e, n in zip(ends.tolist(), lengths.tolist())], pa.binary()
-        )
+        return codec(path, pattern).decode(arrays)
 
     return docs.withColumn(out, run(F.col(ids)))
 

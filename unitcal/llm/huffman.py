@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -222,11 +223,11 @@ def write_tokens(
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        end = np.array([end_id], "<i4").tobytes()
+        texts, end = batch.column(1), np.array([end_id], "<i4").tobytes()
         ids = [np.frombuffer(i + end, "<i4").astype(kind).tobytes() for i in encoder(tokenizer).encode(texts)]
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
+            [batch.column(0), pa.array(ids, pa.binary()), sizes],
             names=["doc_id", "ids", "size"],
         )
 

@@ -64,10 +64,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> Dat
     """Pieces of at most ``length`` ids of every document, the end id counted."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
         end = np.array([end_id], "<i4").tobytes()
         rows: list[list] = [[], [], [], [], []]
-        for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(texts)):
+        for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1))):
             ids += end
             n = len(ids) // 4
             for start in range(0, n, length):

@@ -1,34 +1,30 @@
 """Token ids of whole texts by a tokenizer of the ``tokenizers`` library.
 
-The byte-level pattern of these tokenizers never joins a character before a blank to what
-follows the blank, so a text falls into chunks " word" that encode independently.  Each
-worker remembers the ids of the chunks it has met (and forgets them all at a fixed number),
-so that the library encodes a chunk once and not for every occurrence.  A text with runs of
-white space goes to the library whole.
+Texts are cut into chunks that encode independently (``chunks``); the library encodes a distinct chunk once and not
+for every occurrence, and each worker remembers the ids of the chunks it has met (and forgets them all at a
+fixed number).  A text with the string of an added token goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
-from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
 
+from unitcal.llm.chunks import encoded
 from unitcal.llm.shared import memory
 
-#: Entries of a worker's memory; at most about 300 MB.
-MEMORY = 1_500_000
+#: Entries of a worker's memory; at most about 150 MB.
+MEMORY = 700_000
 
 #: Chunks that go to the library together.
 SPANS = 20_000
 
-#: Characters that are cut into chunks at a time.
-RUN = 2_000_000
-
 #: Longer chunks are encoded each time and not remembered.
 LONGEST_REMEMBERED = 64
 
+
 class ChunkEncoder:
     """Encodes whole texts to little-endian 32-bit ids, remembering the ids of chunks."""
 
@@ -37,12 +33,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         vocabulary = self.library.get_vocab()
         # a byte-level token is written with one character for each of its bytes
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.chunks: dict[str, bytes] = {}  # "word": the ids of " word"
+        self.chunks: dict[bytes, bytes] = {}
 
     def spans(self, spans: list[str]) -> list[bytes]:
         """Ids of each span; the library gets them put together, in runs, and so must not join them."""
@@ -61,38 +57,35 @@ class ChunkEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<i4").tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, taken in runs of about ``RUN`` characters."""
-        out: list[bytes] = []
-        start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= RUN:
-                out += self.run(texts[start:i + 1])
-                start, size = i + 1, 0
-        return out + self.run(texts[start:])
-
-    def run(self, texts: list[str]) -> list[bytes]:
-        # a text with the string of an added token goes to the library whole, as it is
-        cut = [[t] if any(a in t for a in self.added) else t.split(" ") for t in texts]
-        flat = list(chain.from_iterable(islice(c, 1, None) for c in cut))
-        ends = np.cumsum([len(c) - 1 for c in cut]).tolist()
+    def plain(self, chunk: str) -> bool:
+        """Whether a chunk may stand between others of its kind: a blank, then no white space at either end."""
+        return (
+            len(chunk) > 1 and chunk[0] == " " and not chunk[1].isspace() and not chunk[-1].isspace()
+            and not any(a in chunk for a in self.added)
+        )
+
+    def ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each chunk."""
+        out = list(map(self.chunks.get, chunks))
         if len(self.chunks) > MEMORY:
             self.chunks.clear()
-        got = list(map(self.chunks.get, flat))
-        missing = [i for i, ids in enumerate(got) if ids is None]
-        fresh = [p for p in {flat[i] for i in missing} if p and not p[0].isspace() and not p[-1].isspace()]
-        made = dict(zip(fresh, self.spans([" " + p for p in fresh])))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        spans, alone = [], []
         for i in missing:
-            got[i] = made.get(flat[i])
-        self.chunks.update((p, ids) for p, ids in made.items() if len(p) <= LONGEST_REMEMBERED)
-        odd = {bisect_right(ends, i) for i in missing if got[i] is None}
-        odd.update(i for i, c in enumerate(cut) if len(c) > 1 and (not c[0] or c[0][-1].isspace()))
-        heads = self.single([t if i in odd else c[0] for i, (t, c) in enumerate(zip(texts, cut))])
-        return [
-            head if i in odd else head + b"".join(got[start:end])
-            for i, (head, start, end) in enumerate(zip(heads, [0, *ends], ends))
-        ]
+            chunk = chunks[i].decode()
+            (spans if self.plain(chunk) else alone).append((i, chunk))
+        for some, way in ((spans, self.spans), (alone, self.single)):
+            for (i, _), ids in zip(some, way([chunk for _, chunk in some])):
+                out[i] = ids
+        self.chunks.update((chunks[i], out[i]) for i in missing if len(chunks[i]) <= LONGEST_REMEMBERED)
+        return out
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of whole texts; NULL has none."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        flat, bounds = encoded(texts, self.ids_of, self.added)
+        raw, cuts = memoryview(flat.astype("<i4", copy=False)).cast("B"), (4 * bounds).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str) -> ChunkEncoder:
