@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.functions import approximately, normal_cdf
-from unitcal.functions.exact import kolmogorov_p
+from unitcal.functions.exact import kolmogorov_exact_p, kolmogorov_p, signed_rank_exact_p
 from unitcal.operators.ordered import attach_one, average_ranks, null_safe_join, quantile_pick, running_totals
 from unitcal.session import stage
 
@@ -62,8 +62,12 @@ def two_sample(df: DataFrame, value: str, in_second: Column, by: Sequence[str] =
     )
 
 
-def uniformity(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Kolmogorov-Smirnov distance of values in [0, 1] to the uniform law, per group."""
+def uniformity(df: DataFrame, value: str, by: Sequence[str] = (), exact_up_to: int = 0) -> DataFrame:
+    """Kolmogorov-Smirnov distance of values in [0, 1] to the uniform law, per group.
+
+    The p-value is that of the finite-n law up to ``exact_up_to`` values (140 is a usual bound) and the asymptotic
+    one beyond.  One group is one matrix power, of a size that grows with n times the distance.
+    """
     ranked = running_totals(df, value, {"n": F.lit(1)}, by)
     x = F.least(F.greatest(F.col(value), F.lit(0.0)), F.lit(1.0))
     above = F.col("cum_n") / F.col("all_n") - x
@@ -71,13 +75,16 @@ def uniformity(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     stats = ranked.groupBy(*by).agg(
         F.max("all_n").alias("n"), F.max(F.greatest(above, below)).alias("ks")
     )
-    return stats.withColumn("ks_p", kolmogorov_p(F.sqrt(F.col("n").cast("double")) * F.col("ks")))
+    few = F.when(F.col("n") <= exact_up_to, F.col("n"))
+    asymptotic = kolmogorov_p(F.sqrt(F.col("n").cast("double")) * F.col("ks"))
+    return stats.withColumn("ks_p", F.coalesce(kolmogorov_exact_p(few, F.col("ks")), asymptotic))
 
 
-def signed_rank(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:
+def signed_rank(df: DataFrame, delta: str, by: Sequence[str] = (), exact_up_to: int = 0) -> DataFrame:
     """Wilcoxon signed-rank on the deltas that are not (nearly) zero.
 
-    Normal approximation with the tie correction, no continuity correction.
+    The exact law for up to ``exact_up_to`` deltas without ties (50 is a usual bound); else the
+    normal approximation with the tie correction, no continuity correction.
     """
     kept = df.filter(~approximately(F.col(delta), 0.0)).select(
         *by, F.abs(delta).alias("size"), (F.col(delta) > 0).cast("int").alias("up")
@@ -94,11 +101,12 @@ def signed_rank(df: DataFrame, delta: str, by: Sequence[str] = ()) -> DataFrame:
     total = n * (n + 1.0) / 2.0
     w = F.least(F.col("w_plus"), total - F.col("w_plus"))
     sd = F.sqrt((n * (n + 1.0) * (2.0 * n + 1.0) - F.col("tie_term") / 2.0) / 24.0)
+    few = F.when((F.col("n_nonzero") <= exact_up_to) & (F.col("tie_term") == 0), F.col("n_nonzero"))
     return stats.select(
         *by,
         "n_nonzero",
         w.alias("w"),
-        two_sided_normal((w - total / 2.0) / sd).alias("wilcoxon_p"),
+        F.coalesce(signed_rank_exact_p(few, w), two_sided_normal((w - total / 2.0) / sd)).alias("wilcoxon_p"),
     )
 
 

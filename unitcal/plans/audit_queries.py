@@ -99,6 +99,15 @@ def uniformity(spark, sf):
     return rounded(hypothesis_tests.uniformity(events, "v", ["event_type"]), 8, ks_p=6)
 
 
+@query("uniformity_small_groups")
+def uniformity_small_groups(spark, sf):
+    """Every customer's order dates over the span of all orders, by the finite-n law."""
+    orders = table(spark, sf, "orders").select("o_custkey", F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"))
+    longest = orders.agg(F.max("day").alias("span"))
+    shares = ordered.attach_one(orders, longest, []).select("o_custkey", (F.col("day") / F.col("span")).alias("v"))
+    return rounded(hypothesis_tests.uniformity(shares, "v", ["o_custkey"], exact_up_to=140), 8, ks_p=6)
+
+
 @query("signed_rank", PAIRS + f""", d AS (SELECT grp, known - target AS d FROM p WHERE abs(known - target) > 1e-8),
 g AS (SELECT grp, abs(d) AS s, count(*) AS n, count(*) FILTER (WHERE d > 0) AS up FROM d GROUP BY grp, abs(d)),
 c AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY s) - (n - 1) / 2.0 AS rk, sum(n) OVER (PARTITION BY grp) AS tot FROM g),
