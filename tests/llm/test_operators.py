@@ -1,8 +1,10 @@
 """The operators of unitcal.llm against brute force, round trips and odd rows."""
 
 import hashlib
+import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -293,7 +295,9 @@ def test_rules_equal_brute_force(spark):
     want = {r.doc_id: plain_counts(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = LLM_CATALOG["op7_quality_rules"].run(spark, SF).collect()
     assert {r.doc_id: tuple(r[c] for c in COUNTS) for r in got} == want
-    assert all(r.kept == (not r.base_failed and r.band_low <= r.log_perplexity <= r.band_high) for r in got)
+    values = ("log_perplexity", "log_perplexity_across")
+    inside = {r.doc_id: all(r[v] is not None and r[f"{v}_low"] <= r[v] <= r[f"{v}_high"] for v in values) for r in got}
+    assert all(r.kept == (not r.base_failed and inside[r.doc_id]) for r in got)
 
 
 def test_rules_odd_rows_and_noise(spark, odd, nothing):
@@ -307,16 +311,88 @@ def test_rules_odd_rows_and_noise(spark, odd, nothing):
     assert not kept[1000] and sum(kept.values()) == 300
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, prose(i, 50), "en") for i in range(40)], "doc_id long, text string, lang string")
-    model = perplexity.train(docs)
-    letters = sorted(set("".join(WORDS)))
-    # after "wor": every character that can follow, one that was never seen, and the end of a word
-    total = 0.0
-    for word in ["wor" + c for c in [*letters, "\u2603"]] + ["wor"]:
-        keys, _ = perplexity.gram_keys([word.encode()], "en")
-        total += float(np.exp(model.log_probability(keys)[3]))
-    assert abs(total - 1) < 0.001
+def kneser_ney(texts: list[str]):
+    """A plain modified Kneser-Ney model of one language: a function (context, character) -> probability."""
+    order = perplexity.ORDER
+    streams = ["\ue000" * (order - 1) + " ".join(re.findall(r"[^\x20\x09-\x0D]+", t)) + "\ue001" for t in texts]
+    levels = [Counter(s[i - order + 1:i + 1] for s in streams for i in range(order - 1, len(s)))]
+    for _ in range(order - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    held = []
+    for level in levels:
+        many = Counter(level.values())
+        y = many[1] / (many[1] + 2 * many[2]) if many[1] + 2 * many[2] else None
+        cut = []
+        for i in (1, 2, 3):
+            d = i - (i + 1) * y * many[i + 1] / many[i] if y is not None and many[i] else None
+            cut.append(d if d is not None and 0 < d < i else i / 2)
+        held.append(cut)
+
+    followers = []
+    for level in levels:
+        of: dict = {}
+        for g, n in level.items():
+            of.setdefault(g[:-1], []).append((g[-1], n))
+        followers.append(of)
+
+    def p(context: str, c: str) -> float:
+        value = 1 / (len(levels[0]) + 1)
+        for n in range(order):
+            after = followers[n].get(context[len(context) - n:])
+            if after:
+                cut = lambda m: min(m, held[n][min(m, 3) - 1])
+                total = sum(m for _, m in after)
+                mine = dict(after).get(c, 0)
+                value = (mine - (cut(mine) if mine else 0)) / total + sum(cut(m) for _, m in after) / total * value
+        return value
+
+    return p, streams, {g for g in levels[0]}
+
+
+def test_perplexity_equals_a_plain_model(spark):
+    texts = {"en": [prose(i, 60) for i in range(25)] + ["caf\u00e9 \U0001F600\n\x01 x", "a"], "": [prose(i, 30)[::-1] for i in range(10)]}
+    rows = [(i, t, lang) for lang, some in texts.items() for i, t in enumerate(some, 0 if lang else 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in perplexity.quality_rules(docs).collect()}
+    for lang, some in texts.items():
+        p, streams, letters = kneser_ney(some)
+        assert abs(sum(p("wor" + " ", c) for c in [*letters, "\u2603"]) - 1) < 1e-9
+        for i, s in enumerate(streams, 0 if lang else 1000):
+            logs = [(math.log(p(s[j - 4:j], s[j])), " " in s[j - 4:j]) for j in range(4, len(s))]
+            assert got[i].log_perplexity == pytest.approx(-sum(v for v, _ in logs) / len(logs))
+            over = [v for v, a in logs if a]
+            assert got[i].log_perplexity_across == (pytest.approx(-sum(over) / len(over)) if over else None)
+
+
+def test_windows_do_not_change_the_counts(spark, monkeypatch):
+    texts = [prose(i, 40).encode() for i in range(6)]
+    langs = ["en", "de"] * 3
+
+    def counted():
+        grams = perplexity.GramCounts()
+        grams.add(texts, langs)
+        return grams.merged().set_index(["lang", "a", "b"])["n"].to_dict()
+    whole = counted()
+    monkeypatch.setattr(perplexity, "WINDOW", 7)
+    assert counted() == whole and sum(whole.values()) == sum(len(t) + 1 for t in texts)
+
+
+@here
+def test_shuffled_documents_leave_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    mixed = []
+    for r in docs.filter("doc_id % 12 = 0 and length(text) > 1500").collect():
+        words = r.text.split()
+        rng.shuffle(words)
+        mixed.append((-1 - r.doc_id, " ".join(words), r.lang))
+    got = perplexity.quality_rules(docs.unionByName(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))).collect()
+    clean = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    stay = [r.kept for r in got if r.doc_id in clean and not r.base_failed]
+    gone = [not r.kept for r in got if r.doc_id < 0]
+    print("clean kept", sum(stay), len(stay), "shuffled rejected", sum(gone), len(gone))
+    assert sum(stay) > 0.98 * len(stay) and sum(gone) > 0.3 * len(gone)
 
 
 @here

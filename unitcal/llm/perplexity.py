@@ -1,49 +1,66 @@
-"""Quality rules: counts of the words of a text, and the perplexity of its words.
-
-The language model is an interpolated modified Kneser-Ney model of characters inside words
-(order ``ORDER``, the start of a word padded), one per language.  Spark counts the n-grams of
-all documents: tasks emit the distinct highest-order n-grams of a batch with their counts, and
-everything else (continuation counts, counts of counts, discounts, context totals,
-probabilities) is a chain of aggregates and joins over the count tables.  An n-gram is named
-by ``HASH_BITS`` bits of a hash of its language and characters, so a table never has more than
-2**HASH_BITS entries, whatever the corpus: colliding n-grams share an entry.  The finished
-model is a pair of sorted hash arrays (n-grams, contexts) per order, which tasks search.
-
-A document's perplexity is that of its characters.  Per language, the documents that pass the
-counts give the median and the quartiles of the log perplexity; a document outside
-``[median - LOW * spread, median + HIGH * spread]`` is rejected, spread being half the distance
-between the quartiles, at least ``LEAST_SPREAD``.
+"""Quality rules: counts of the words of a text, and the perplexity of its characters.
+
+The language model is an interpolated modified Kneser-Ney model of characters (order ``ORDER``) over
+the words of a text, joined by one blank, with its start and its end: n-grams cross blanks, so the
+order of words and the marks between sentences count.  There is one model per language, counted on
+all documents, and it grows with them: n-grams are exact (their characters, packed in two longs),
+and no task and no driver holds the whole model.
+
+* ``chunked``: tasks cut their documents into chunks of about ``CHUNK`` bytes and write, per chunk, its
+  documents (counts and compressed words) and its distinct n-grams of the highest order with their
+  counts.  Both are rows of one staged table.
+* ``probabilities``: aggregates and joins over the count tables give the lower orders (distinct left
+  extensions), discounts, context totals and the probability of each n-gram.
+* ``score``: the chunks' n-grams are joined with their probabilities, and each chunk meets the
+  probabilities of its own n-grams, which a task keeps in a sorted array of 64-bit hashes.
+
+Two perplexities of a document are judged: that of all its characters, and that of the characters told
+across a blank (one of the characters before them is a blank), which is where the order of words and
+sentences shows.  Per language, the documents that pass the counts give the median and the quartiles of
+the logarithm of each; a document outside ``[median - low * spread, median + high * spread]`` of either is
+rejected, with low and high of ``BANDS`` and spread being half the distance between the quartiles, at
+least ``LEAST_SPREAD``.
 
 Defined cases: a NULL or blank text has no words, fails the counts and is not kept; a NULL
-language is a language of its own; repeated rows are judged as often as they occur; an empty
-table gives no row; columns other than id, text and lang are not read.
+language is a language of its own, the same as an empty name; repeated rows are judged as often as
+they occur; a text of any length is one chunk's, scored in windows; an empty table gives no row;
+columns other than id, text and lang are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitcal.llm.shared import Batches, forget, in_arrow, mix64, raw_texts
+from unitcal.llm.shared import Batches, drop, forget, mix64, raw_texts
 from unitcal.session import stage
 
-ORDER = 4
-HASH_BITS = 22
-LOW, HIGH, LEAST_SPREAD = 8.0, 8.0, 0.02
+ORDER = 5
+#: Half interquartile distances below and above the median that a document may be away.
+BANDS = {"log_perplexity": (12.0, 6.0), "log_perplexity_across": (12.0, 6.0)}
+LEAST_SPREAD = 0.02
 SYMBOLS = b"#*$%&|<>"
 REPEAT = 8  # words of a repeated window
 
-_START, _END = 2, 3  # characters that no word contains
+CHUNK = 16_000_000  # bytes of text whose n-grams are told apart together
+WINDOW = 1_000_000  # characters that are looked at together
+SALTS = 64  # copies of a language's row in joins, so that no task has a whole language
+
+_START, _END = 0x110000, 0x110001  # behind the last character of Unicode
+_BITS = 21  # of a packed character
 _rng = np.random.default_rng(7)
 _WINDOW = _rng.integers(1, 1 << 63, REPEAT, dtype=np.uint64) | np.uint64(1)
-_CHARS = _rng.integers(1, 1 << 63, ORDER + 1, dtype=np.uint64) | np.uint64(1)
+_PLACE = _rng.integers(1, 1 << 63, ORDER, dtype=np.uint64) | np.uint64(1)
+_CHAR = mix64(np.arange(1, _END + 2, dtype=np.uint64))
 
 
 def base_counts(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -72,140 +89,177 @@ def base_counts(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def gram_keys(words: list[bytes], lang: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of the n-grams that end at each character of the words, and each word's characters.
+@dataclass(frozen=True)
+class Stream:
+    """The characters of several texts, each with its start and its end."""
+
+    chars: np.ndarray  # code points, ORDER - 1 starts before each text and one end behind it
+    doc: np.ndarray  # number of the text of each place
+    told: np.ndarray  # places that the model predicts: all but the starts
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Stream:
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        lengths = np.fromiter(map(len, plain), np.int64, len(plain)) + ORDER
+        ends = np.cumsum(lengths)
+        chars = np.full(int(ends[-1]) if len(ends) else 0, _START, np.uint32)
+        told = np.ones(len(chars), bool)
+        for j in range(ORDER - 1):
+            told[ends - lengths + j] = False
+        chars[ends - 1] = _END
+        inner = told.copy()
+        inner[ends - 1] = False
+        chars[inner] = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32)
+        return cls(chars, np.repeat(np.arange(len(plain), dtype=np.int32), lengths), told)
+
+    def windows(self, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (a window at a time) and the hashes of the n-grams that end there; ``seeds`` are of the texts."""
+        for start in range(0, len(self.chars), WINDOW):
+            at = start + np.flatnonzero(self.told[start:start + WINDOW])
+            if len(at):
+                first = at[0] - ORDER + 1
+                mixed = _CHAR[self.chars[first:at[-1] + 1]]
+                keys = seeds[self.doc[at]]
+                for j in range(ORDER):
+                    keys += mixed[at - first - j] * _PLACE[j]
+                yield at, keys
+
+
+def seed(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+
+
+def packed(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end at the places: two characters in the first long, three in the second."""
+    c = [chars[at - j].astype(np.int64) + 1 for j in range(ORDER - 1, -1, -1)]
+    return c[0] << _BITS | c[1], c[2] << 2 * _BITS | c[3] << _BITS | c[4]
+
+
+def hashed(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The hashes of packed n-grams, as :meth:`Stream.windows` gives them."""
+    mask = (1 << _BITS) - 1
+    parts = [b & mask, b >> _BITS & mask, b >> 2 * _BITS, a & mask, a >> _BITS]
+    keys = seeds.astype(np.uint64, copy=True)
+    for place, c in zip(_PLACE, parts):
+        keys += _CHAR[c - 1] * place
+    return keys
+
+
+class GramCounts:
+    """The distinct n-grams of a chunk's texts with their counts, gathered window by window."""
+
+    def __init__(self) -> None:
+        self.parts: list[pd.DataFrame] = []
+
+    def add(self, texts: list[bytes], langs: list[str]) -> None:
+        if not texts:
+            return
+        stream = Stream.of(texts)
+        seeds = np.array([seed(lang) for lang in langs], np.uint64)
+        names = np.array(langs, object)
+        for at, keys in stream.windows(seeds):
+            codes, found = pd.factorize(keys)
+            first = np.empty(len(found), np.int64)
+            first[codes[::-1]] = at[::-1]
+            a, b = packed(stream.chars, first)
+            self.parts.append(pd.DataFrame({
+                "key": found, "lang": names[stream.doc[first]], "a": a, "b": b,
+                "n": np.bincount(codes, minlength=len(found)),
+            }))
+            if len(self.parts) == 8:
+                self.parts = [self.merged()]
+
+    def merged(self) -> pd.DataFrame:
+        every = pd.concat(self.parts, ignore_index=True)
+        codes, found = pd.factorize(every["key"].to_numpy())
+        first = np.empty(len(found), np.int64)
+        first[codes[::-1]] = np.arange(len(every))[::-1]
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, codes, every["n"].to_numpy())
+        return every.iloc[first].assign(n=total)
+
+    def rows(self, chunk: int) -> pa.RecordBatch | None:
+        if not self.parts:
+            return None
+        grams = self.merged()
+        return batch_of(len(grams), {"chunk": [chunk] * len(grams), **{c: grams[c].to_numpy() for c in ("lang", "a", "b", "n")}})
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+CHUNKED = pa.schema(
+    [("chunk", pa.int64()), ("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
+     ("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS], ("words", pa.binary())]
+)
+SCORES = "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", log_perplexity double, log_perplexity_across double"
+
 
-    ``keys[2 * n - 1]`` are the n-grams of order n, ``keys[2 * n]`` the contexts of order n + 1
-    (``keys[0]``, the empty context, is the language itself).  The end of a word is a character.
-    """
-    pad = chr(_START) * (ORDER - 1)
-    text = "".join([pad + w.decode("utf-8", "replace") + chr(_END) for w in words])
-    chars = mix64(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
-    lengths = np.fromiter((len(w.decode("utf-8", "replace")) + 1 for w in words), np.int64, len(words))
-    total = lengths + ORDER - 1
-    starts = np.cumsum(total) - total
-    inside = np.arange(len(chars)) - np.repeat(starts, total)
-    ends = np.flatnonzero(inside >= ORDER - 1)
-    seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-    shift = np.uint64(64 - HASH_BITS)
-
-    def key(n: int, last: np.ndarray) -> np.ndarray:
-        total = np.full(len(last), seed + np.uint64(n), np.uint64)
-        for j in range(n):
-            total += chars[last - j] * _CHARS[j]
-        return (mix64(total) >> shift).astype(np.int32)
-
-    keys = [key(0, ends)]
-    for n in range(1, ORDER + 1):
-        keys.append(key(n, ends))
-        if n < ORDER:
-            keys.append(key(n, ends - 1))
-    return keys, lengths
-
-
-GRAMS = [f"{kind}{n}" for n in range(1, ORDER + 1) for kind in ("x", "k")]  # x1 k1 x2 k2 ...
-
-
-#: Distinct words whose n-grams are made together.
-WORDS_AT_ONCE = 20_000
-
-
-def summed(keys: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """One entry per highest-order n-gram (the last of ``keys``), with the sum of its times."""
-    by_key = np.argsort(keys[-1], kind="stable")
-    first = np.flatnonzero(np.diff(keys[-1][by_key], prepend=-1))
-    return [k[by_key[first]] for k in keys], np.add.reduceat(times[by_key], first)
-
-
-def word_grams(words: Counter, lang: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys and counts of the distinct highest-order n-grams of counted words."""
-    found, counts = [], []
-    for start in range(0, len(words), WORDS_AT_ONCE):
-        part = list(islice(words.items(), start, start + WORDS_AT_ONCE))
-        keys, lengths = gram_keys([w for w, _ in part], lang)
-        keys, n = summed(keys, np.repeat(np.array([n for _, n in part], np.int64), lengths))
-        found.append(keys)
-        counts.append(n)
-    return summed([np.concatenate(k) for k in zip(*found)], np.concatenate(counts))
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """Counts of the highest-order n-grams of all documents with the keys of all they contain."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by_lang: dict[str, Counter] = {}
-        for lang, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-            by_lang.setdefault(lang, Counter()).update(raw.split())
-        columns: list[list[np.ndarray]] = [[] for _ in GRAMS]
-        counts, langs = [], []
-        for lang, words in by_lang.items():
-            if not words:
-                continue
-            keys, n = word_grams(words, lang)
-            counts.append(n)
-            langs += [lang] * len(n)
-            for column, values in zip(columns, keys):
-                column.append(values)
-        flat = [np.concatenate(c) if c else np.zeros(0, np.int32) for c in columns]
-        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), *[pa.array(c, pa.int32()) for c in flat], pa.array(n, pa.int64())],
-            names=["lang", *GRAMS, "n"],
-        )
-
-    found = in_arrow(docs.select(language(docs), "text"), step, "lang string, " + ", ".join(f"{g} int" for g in GRAMS) + ", n bigint")
-    top = GRAMS[-1]
-    return found.groupBy(top).agg(
-        F.sum("n").alias("c"), F.min("lang").alias("lang"), *[F.min(g).alias(g) for g in GRAMS[:-1]]
+def batch_of(rows: int, columns: dict[str, object]) -> pa.RecordBatch:
+    """Rows of ``CHUNKED``; columns that are not given are NULL."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in CHUNKED], schema=CHUNKED
     )
 
 
+def chunked(docs: DataFrame) -> DataFrame:
+    """Rows of documents (``a`` is NULL) and of the distinct n-grams of each chunk, in one table."""
+
+    def run(batches: Batches) -> Batches:
+        forget()
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        chunk, size, grams = TaskContext.get().partitionId() << 32, 0, GramCounts()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                ids, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
+                counts, words = [], []
+                for raw in raw_texts(part.column(2)):
+                    split = raw.split()
+                    counts.append(base_counts(raw, split))
+                    words.append(b" ".join(split))
+                some = [i for i, w in enumerate(words) if w]
+                grams.add([words[i] for i in some], [langs[i] for i in some])
+                yield batch_of(len(ids), {
+                    "chunk": [chunk] * len(ids), "lang": langs, "doc_id": ids, "words": list(map(squeeze.compress, words)),
+                    **dict(zip(COUNTS, zip(*counts))),
+                })
+                size += sum(map(len, words))
+                if size >= CHUNK:
+                    if (rows := grams.rows(chunk)) is not None:
+                        yield rows
+                    chunk, size, grams = chunk + 1, 0, GramCounts()
+        if (rows := grams.rows(chunk)) is not None:
+            yield rows
+
+    schema = ", ".join(f"{f.name} {'string' if f.name == 'lang' else 'binary' if f.name == 'words' else 'bigint'}" for f in CHUNKED)
+    return docs.select("doc_id", language(docs), "text").mapInArrow(run, schema)
+
+
 def language(docs: DataFrame) -> Column:
     """The language column; without one all documents are of one language."""
     return F.coalesce(F.col("lang"), F.lit("")).alias("lang") if "lang" in docs.columns else F.lit("").alias("lang")
 
 
-@dataclass(frozen=True)
-class Model:
-    """Per order: sorted n-gram hashes with log probabilities, sorted context hashes with log back-offs."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    unseen: float
-
-    def log_probability(self, keys: list[np.ndarray]) -> np.ndarray:
-        """Of every character, given the keys of :func:`gram_keys`."""
-        best = np.full(len(keys[0]), self.unseen)
-        for n in range(ORDER):
-            found, value = search(self.contexts[n], keys[2 * n])
-            best = best + np.where(found, value, 0.0)
-            found, value = search(self.grams[n], keys[2 * n + 1])
-            best = np.where(found, value, best)
-        return best
-
-
-def search(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, values = arrays
-    if not len(hashes):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-    return hashes[at] == keys, values[at]
-
-
-def level_tables(counts: DataFrame) -> list[DataFrame]:
-    """Per order the n-grams with adjusted counts: raw at the top, distinct left extensions below."""
-    tables = [counts]
-    for n in range(ORDER - 1, 0, -1):
-        lower = tables[0]
-        names = GRAMS[:2 * n - 1]
-        tables.insert(0, lower.groupBy(f"k{n}").agg(
-            F.count("*").alias("c"), F.min("lang").alias("lang"), *[F.min(g).alias(g) for g in names]
-        ))
-    return tables
+def of_language(df: DataFrame, rows: DataFrame, salt: Column) -> DataFrame:
+    """Join ``rows`` (one per language) to ``df``, each language's rows dealt to ``SALTS`` keys."""
+    copies = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["lang", "salt"], "left").drop("salt")
+
+
+def suffix(n: int) -> list[Column]:
+    """The last ``n`` characters of a packed n-gram."""
+    keep = [F.lit((1 << _BITS * max(n - 3, 0)) - 1), F.lit((1 << _BITS * min(n, 3)) - 1)]
+    return [F.col("a").bitwiseAND(keep[0]).alias("a"), F.col("b").bitwiseAND(keep[1]).alias("b")]
+
+
+def context() -> list[Column]:
+    """A packed n-gram without its last character."""
+    carried = F.shiftleft(F.col("a").bitwiseAND(F.lit((1 << _BITS) - 1)), 2 * _BITS)
+    return [F.shiftright("a", _BITS).alias("xa"), F.shiftright("b", _BITS).bitwiseOR(carried).alias("xb")]
 
 
 def discounts(level: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts per language from the counts of counts."""
+    """Modified Kneser-Ney discounts per language from the counts of counts, and the number of n-grams."""
     of = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
@@ -214,122 +268,132 @@ def discounts(level: DataFrame) -> DataFrame:
         value = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.coalesce(F.when((value > 0) & (value < i), value), F.lit(i / 2)).alias(f"d{i}")
 
-    return level.groupBy("lang").agg(*of).select("lang", *[d(i) for i in (1, 2, 3)])
+    return level.groupBy("lang").agg(*of, F.count("*").alias("size")).select("lang", "size", *[d(i) for i in (1, 2, 3)])
+
 
+def probabilities(counts: DataFrame) -> list[DataFrame]:
+    """Per order the n-grams (lang, a, b) with their probability ``p`` and their context's ``back_off``.
 
-def probabilities(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], float]:
-    """Per order (key, log probability) and (context key, log back-off weight), and the base value."""
-    levels = level_tables(counts)
-    vocabulary = levels[0].groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    uniform = 1.0 / (vocabulary + 1)
-    grams, contexts = [], []
-    lower: DataFrame | None = None
+    Counts are raw at the highest order and distinct left extensions below it.
+    """
+    levels = [counts]
+    for n in range(ORDER - 1, 0, -1):
+        levels.insert(0, stage(levels[0].groupBy("lang", *suffix(n)).agg(F.count("*").alias("c"))))
+    tables: list[DataFrame] = []
     for n, level in enumerate(levels, 1):
-        level = level.join(discounts(level), "lang")
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = level.withColumn("cut", F.least(cut, "c"))
-        context = level.groupBy(f"x{n}").agg(F.sum("c").alias("total"), F.sum("cut").alias("held"))
-        joined = level.join(context, f"x{n}")
-        if lower is None:
-            joined = joined.withColumn("p_lower", F.lit(uniform))
+        level = of_language(level, discounts(level), F.xxhash64("a", "b")).withColumn("cut", F.least(cut, "c"))
+        level = level.select("lang", "a", "b", *context(), "c", "cut", "size")
+        totals = level.groupBy("lang", "xa", "xb").agg(F.sum("c").alias("total"), F.sum("cut").alias("held"))
+        joined = level.join(totals, ["lang", "xa", "xb"])
+        if tables:
+            lower = tables[-1].select("lang", F.col("a").alias("la"), F.col("b").alias("lb"), F.col("p").alias("p_lower"))
+            short = dict(zip(("la", "lb"), suffix(n - 1)))
+            joined = joined.withColumns(short).join(lower, ["lang", "la", "lb"])
         else:
-            joined = joined.join(lower, f"k{n - 1}")
-        p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("held") / F.col("total") * F.col("p_lower")
-        made = stage(joined.select(f"k{n}", p.alias("p")))
-        lower = made.withColumnRenamed("p", "p_lower")
-        grams.append(made.select(F.col(f"k{n}").alias("key"), F.log("p").alias("value")))
-        contexts.append(context.select(F.col(f"x{n}").alias("key"), F.log(F.col("held") / F.col("total")).alias("value")))
-    return grams, contexts, float(np.log(uniform))
-
-
-def train(docs: DataFrame) -> Model:
-    """Count all documents and collect the model, at most 2**HASH_BITS entries per array."""
-    grams, contexts, unseen = probabilities(stage(count_grams(docs)))
-
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = df.toArrow()
-        keys = got["key"].to_numpy().astype(np.int32)
-        by_key = np.argsort(keys)
-        return keys[by_key], got["value"].to_numpy().astype(np.float32)[by_key]
-
-    return Model([arrays(g) for g in grams], [arrays(c) for c in contexts], unseen)
-
-
-SCORES = (
-    "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,"
-    " n_repeat_words bigint, log_perplexity double"
-)
-NAMES = [f.split()[0] for f in SCORES.split(",")]
-
-#: Words of all languages whose log probability a worker remembers; at most about 100 MB.
-MEMORY = 500_000
-
-
-class WordScores(dict):
-    """word -> log probability of its characters, of one language."""
-
-    def __init__(self, model: Model, lang: str) -> None:
-        self.model, self.lang = model, lang
+            joined = joined.withColumn("p_lower", 1 / (F.col("size") + 1))
+        back_off = F.col("held") / F.col("total")
+        p = (F.col("c") - F.col("cut")) / F.col("total") + back_off * F.col("p_lower")
+        tables.append(stage(joined.select("lang", "a", "b", p.alias("p"), back_off.alias("back_off"))))
+    for level in levels[:-1]:
+        drop(level)
+    return tables
 
-    def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self]
-        if fresh:
-            keys, lengths = gram_keys(fresh, self.lang)
-            sums = np.add.reduceat(self.model.log_probability(keys), np.cumsum(lengths) - lengths)
-            self.update(zip(fresh, sums.tolist()))
 
+@dataclass(frozen=True)
+class Slice:
+    """A chunk's n-grams as a sorted array of hashes, with their log probabilities."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    across: np.ndarray  # whether a blank is among the characters before the last one
+
+
+def sliced(grams: pa.Table) -> Slice:
+    a, b = grams["a"].to_numpy(), grams["b"].to_numpy()
+    langs = grams["lang"].combine_chunks().dictionary_encode()
+    seeds = np.array([seed(lang) for lang in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+    keys = hashed(a, b, seeds)
+    by_key = np.argsort(keys)
+    mask, blank = (1 << _BITS) - 1, ord(" ") + 1
+    across = np.zeros(len(a), bool)
+    for c in (a >> _BITS, a & mask, b >> 2 * _BITS, b >> _BITS & mask):
+        across |= c == blank
+    return Slice(keys[by_key], np.log(grams["p"].to_numpy())[by_key], across[by_key])
+
+
+def log_probability(words: list[bytes], langs: list[str], known: Slice) -> np.ndarray:
+    """Of each text, whose n-grams are all known: of all characters, of those told across a blank, and how many these are."""
+    total = np.zeros((3, len(words)))
+    stream = Stream.of(words)
+    for at, found in stream.windows(np.array([seed(lang) for lang in langs], np.uint64)):
+        codes, distinct = pd.factorize(found)
+        where = np.searchsorted(known.keys, distinct)
+        doc, value = stream.doc[at], known.values[where][codes]
+        over = np.flatnonzero(known.across[where][codes])
+        total[0] += np.bincount(doc, value, len(words))
+        total[1] += np.bincount(doc[over], value[over], len(words))
+        total[2] += np.bincount(doc[over], minlength=len(words))
+    return total
+
+
+def score_chunk(docs: pa.Table, grams: pa.Table) -> pa.Table:
+    """The rows of ``SCORES`` of a chunk's documents."""
+    known = sliced(grams) if grams.num_rows else None
+    value = np.zeros((3, docs.num_rows))
+    sizes = docs["n_words"].to_numpy() + docs["word_chars"].to_numpy()
+    unpack = zstandard.ZstdDecompressor()
+    some = np.flatnonzero(sizes)
+    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes[some]) // WINDOW)) + 1):
+        if len(part):
+            rows = docs.take(part)
+            words = [unpack.decompress(w) for w in rows["words"].to_pylist()]
+            value[:, part] = log_probability(words, rows["lang"].to_pylist(), known)
+    result = docs.select(["doc_id", "lang", *COUNTS])
+    for name, of, many in (("log_perplexity", value[0], sizes), ("log_perplexity_across", value[1], value[2])):
+        result = result.append_column(name, pa.array(-of / np.maximum(many, 1), pa.float64(), mask=many == 0))
+    return result
+
+
+def score(chunks: DataFrame, top: DataFrame) -> DataFrame:
+    """Counts and mean negative log probability per character of every document (``SCORES``).
+
+    ``top`` has the probability of every n-gram of the highest order in the chunks.
+    """
+    wanted = chunks.filter("a is not null").select("chunk", "lang", "a", "b")
+    grams = wanted.join(top.select("lang", "a", "b", "p"), ["lang", "a", "b"]).select("chunk", "lang", "a", "b", "p")
+    columns = ["chunk", "lang", "doc_id", *COUNTS, "words"]
+    docs = chunks.filter("a is null").select(columns).toDF(*columns)  # columns of their own: both sides are of one table
+    return docs.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(score_chunk, SCORES)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Counts and mean negative log probability per character of every document (``SCORES``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Batches) -> Batches:
-        forget()
-        memory: dict[str, WordScores] = {}
-        for batch in batches:
-            rows: list[tuple] = []
-            ids, langs, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2))
-            for start in range(0, len(ids), 500):
-                part = slice(start, start + 500)
-                if sum(map(len, memory.values())) > MEMORY:
-                    memory.clear()
-                split = [r.split() for r in raws[part]]
-                fresh: dict[str, set] = {}
-                for lang, words in zip(langs[part], split):
-                    fresh.setdefault(lang, set()).update(words)
-                for lang, words in fresh.items():
-                    memory.setdefault(lang, WordScores(shared.value, lang)).learn(words)
-                for doc, lang, raw, words in zip(ids[part], langs[part], raws[part], split):
-                    counts = base_counts(raw, words)
-                    value = -sum(map(memory[lang].__getitem__, words)) / (counts[0] + counts[1]) if words else None
-                    rows.append((doc, lang, *counts, value))
-            columns = list(zip(*rows)) if rows else [[]] * 8
-            types = [pa.int64(), pa.string()] + [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)],
-                names=NAMES,
-            )
-
-    return docs.select("doc_id", language(docs), "text").mapInArrow(run, SCORES)
-
-
-def judge(scores: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Add base_failed, the language's band (band_low, band_high) and kept."""
+def judge(scores: DataFrame, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
+    """Add base_failed, the bands of the document's language (``<perplexity>_low``, ``_high``) and kept."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scores = scores.withColumn("base_failed", failed)
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 2, F.lit(LEAST_SPREAD))
-    bands = scores.filter("not base_failed").groupBy("lang").agg(quartiles.alias("q")).select(
-        "lang",
-        (F.col("q")[1] - low * spread).alias("band_low"),
-        (F.col("q")[1] + high * spread).alias("band_high"),
-    )
-    inside = F.col("log_perplexity").between(F.col("band_low"), F.col("band_high"))
-    return scores.join(bands, "lang", "left").withColumn(
+    edges, inside = [], F.lit(True)
+    for value, (low, high) in bands.items():
+        quartiles = F.percentile_approx(value, [0.25, 0.5, 0.75], 10_000)
+        spread = F.greatest((quartiles[2] - quartiles[0]) / 2, F.lit(LEAST_SPREAD))
+        edges += [(quartiles[1] - low * spread).alias(f"{value}_low"), (quartiles[1] + high * spread).alias(f"{value}_high")]
+        inside = inside & F.col(value).between(F.col(f"{value}_low"), F.col(f"{value}_high"))
+    of_lang = scores.filter("not base_failed").groupBy("lang").agg(*edges)
+    return of_language(scores, of_lang, F.xxhash64("doc_id", "word_chars")).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     )
 
 
+def count_grams(chunks: DataFrame) -> DataFrame:
+    """Counts of the highest-order n-grams of all documents."""
+    return chunks.filter("a is not null").groupBy("lang", "a", "b").agg(F.sum("n").alias("c"))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, perplexity, band and verdict of every document."""
-    return judge(stage(score(docs, train(docs))))
+    chunks = stage(chunked(docs))
+    counts = stage(count_grams(chunks))
+    tables = probabilities(counts)
+    scores = stage(score(chunks, tables[-1]))
+    for done in (chunks, counts, *tables):
+        drop(done)
+    return judge(scores)
