@@ -354,11 +354,12 @@ def test_perplexity_equals_a_plain_model(spark):
     rows = [(i, t, lang) for lang, some in texts.items() for i, t in enumerate(some, 0 if lang else 1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     got = {r.doc_id: r for r in perplexity.quality_rules(docs).collect()}
+    k = perplexity.ORDER - 1
     for lang, some in texts.items():
         p, streams, letters = kneser_ney(some)
         assert abs(sum(p("wor" + " ", c) for c in [*letters, "\u2603"]) - 1) < 1e-9
         for i, s in enumerate(streams, 0 if lang else 1000):
-            logs = [(math.log(p(s[j - 4:j], s[j])), " " in s[j - 4:j]) for j in range(4, len(s))]
+            logs = [(math.log(p(s[j - k:j], s[j])), " " in s[j - k:j]) for j in range(k, len(s))]
             assert got[i].log_perplexity == pytest.approx(-sum(v for v, _ in logs) / len(logs))
             over = [v for v, a in logs if a]
             assert got[i].log_perplexity_across == (pytest.approx(-sum(over) / len(over)) if over else None)

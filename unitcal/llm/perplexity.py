@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from unitcal.llm.shared import Batches, drop, forget, mix64, raw_texts
 from unitcal.session import stage
 
-ORDER = 5
+ORDER = 4
 #: Half interquartile distances below and above the median that a document may be away.
 BANDS = {"log_perplexity": (12.0, 6.0), "log_perplexity_across": (12.0, 6.0)}
 LEAST_SPREAD = 0.02
@@ -130,15 +130,15 @@ def seed(lang: str) -> np.uint64:
 
 
 def packed(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end at the places: two characters in the first long, three in the second."""
+    """The n-grams that end at the places: one character in the first long, three in the second."""
     c = [chars[at - j].astype(np.int64) + 1 for j in range(ORDER - 1, -1, -1)]
-    return c[0] << _BITS | c[1], c[2] << 2 * _BITS | c[3] << _BITS | c[4]
+    return c[0], c[1] << 2 * _BITS | c[2] << _BITS | c[3]
 
 
 def hashed(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The hashes of packed n-grams, as :meth:`Stream.windows` gives them."""
     mask = (1 << _BITS) - 1
-    parts = [b & mask, b >> _BITS & mask, b >> 2 * _BITS, a & mask, a >> _BITS]
+    parts = [b & mask, b >> _BITS & mask, b >> 2 * _BITS, a]
     keys = seeds.astype(np.uint64, copy=True)
     for place, c in zip(_PLACE, parts):
         keys += _CHAR[c - 1] * place
@@ -317,7 +317,7 @@ def sliced(grams: pa.Table) -> Slice:
     by_key = np.argsort(keys)
     mask, blank = (1 << _BITS) - 1, ord(" ") + 1
     across = np.zeros(len(a), bool)
-    for c in (a >> _BITS, a & mask, b >> 2 * _BITS, b >> _BITS & mask):
+    for c in (a, b >> 2 * _BITS, b >> _BITS & mask):
         across |= c == blank
     return Slice(keys[by_key], np.log(grams["p"].to_numpy())[by_key], across[by_key])
 
