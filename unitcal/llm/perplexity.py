@@ -7,7 +7,7 @@ all documents, and it grows with them: n-grams are exact (their characters, pack
 and no task and no driver holds the whole model.
 
 * ``chunked``: tasks cut their documents into chunks of about ``CHUNK`` bytes and write, per chunk, its
-  documents (counts and compressed words) and its distinct n-grams of the highest order with their
+  documents (blocks of counts and compressed words) and its distinct n-grams of the highest order with their
   counts.  Both are rows of one staged table.
 * ``probabilities``: aggregates and joins over the count tables give the lower orders (distinct left
   extensions), discounts, context totals and the probability of each n-gram.
@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitcal.llm.shared import Batches, drop, forget, mix64, raw_texts
+from unitcal.llm.words import runs
 from unitcal.session import stage
 
 ORDER = 4
@@ -51,8 +52,9 @@ LEAST_SPREAD = 0.02
 SYMBOLS = b"#*$%&|<>"
 REPEAT = 8  # words of a repeated window
 
-CHUNK = 16_000_000  # bytes of text whose n-grams are told apart together
+CHUNK = 32_000_000  # bytes of text whose n-grams are told apart together
 WINDOW = 1_000_000  # characters that are looked at together
+BLOCK = 1_000_000  # bytes of text of a row of documents, one text at least
 SALTS = 64  # copies of a language's row in joins, so that no task has a whole language
 
 _START, _END = 0x110000, 0x110001  # behind the last character of Unicode
@@ -188,11 +190,21 @@ class GramCounts:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 CHUNKED = pa.schema(
     [("chunk", pa.int64()), ("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
-     ("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS], ("words", pa.binary())]
+     ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("words", pa.binary())]
+)
+TYPES = (
+    "chunk bigint, lang string, a bigint, b bigint, n bigint,"
+    " ids array<bigint>, langs array<string>, counts array<bigint>, words binary"
 )
 SCORES = "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", log_perplexity double, log_perplexity_across double"
 
 
+EMPTY = pa.schema(
+    [("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in COUNTS],
+     ("log_perplexity", pa.float64()), ("log_perplexity_across", pa.float64())]
+).empty_table()
+
+
 def batch_of(rows: int, columns: dict[str, object]) -> pa.RecordBatch:
     """Rows of ``CHUNKED``; columns that are not given are NULL."""
     return pa.RecordBatch.from_arrays(
@@ -201,26 +213,29 @@ def batch_of(rows: int, columns: dict[str, object]) -> pa.RecordBatch:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Rows of documents (``a`` is NULL) and of the distinct n-grams of each chunk, in one table."""
+    """Rows of blocks of documents (``a`` is NULL) and of the distinct n-grams of each chunk, in one table.
+
+    A block's words are compressed together, a document a line.
+    """
 
     def run(batches: Batches) -> Batches:
         forget()
         squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False)
         chunk, size, grams = TaskContext.get().partitionId() << 32, 0, GramCounts()
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for block in runs(batch.column(2), BLOCK):
+                part = batch.slice(block.start, block.stop - block.start)
                 ids, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
                 counts, words = [], []
                 for raw in raw_texts(part.column(2)):
                     split = raw.split()
-                    counts.append(base_counts(raw, split))
+                    counts += base_counts(raw, split)
                     words.append(b" ".join(split))
                 some = [i for i, w in enumerate(words) if w]
                 grams.add([words[i] for i in some], [langs[i] for i in some])
-                yield batch_of(len(ids), {
-                    "chunk": [chunk] * len(ids), "lang": langs, "doc_id": ids, "words": list(map(squeeze.compress, words)),
-                    **dict(zip(COUNTS, zip(*counts))),
+                yield batch_of(1, {
+                    "chunk": [chunk], "ids": [ids], "langs": [langs], "counts": [counts],
+                    "words": [squeeze.compress(b"\n".join(words))],
                 })
                 size += sum(map(len, words))
                 if size >= CHUNK:
@@ -230,8 +245,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         if (rows := grams.rows(chunk)) is not None:
             yield rows
 
-    schema = ", ".join(f"{f.name} {'string' if f.name == 'lang' else 'binary' if f.name == 'words' else 'bigint'}" for f in CHUNKED)
-    return docs.select("doc_id", language(docs), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", language(docs), "text").mapInArrow(run, TYPES)
 
 
 def language(docs: DataFrame) -> Column:
@@ -337,22 +351,25 @@ def log_probability(words: list[bytes], langs: list[str], known: Slice) -> np.nd
     return total
 
 
-def score_chunk(docs: pa.Table, grams: pa.Table) -> pa.Table:
+def score_chunk(blocks: pa.Table, grams: pa.Table) -> pa.Table:
     """The rows of ``SCORES`` of a chunk's documents."""
     known = sliced(grams) if grams.num_rows else None
-    value = np.zeros((3, docs.num_rows))
-    sizes = docs["n_words"].to_numpy() + docs["word_chars"].to_numpy()
     unpack = zstandard.ZstdDecompressor()
-    some = np.flatnonzero(sizes)
-    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes[some]) // WINDOW)) + 1):
-        if len(part):
-            rows = docs.take(part)
-            words = [unpack.decompress(w) for w in rows["words"].to_pylist()]
-            value[:, part] = log_probability(words, rows["lang"].to_pylist(), known)
-    result = docs.select(["doc_id", "lang", *COUNTS])
-    for name, of, many in (("log_perplexity", value[0], sizes), ("log_perplexity_across", value[1], value[2])):
-        result = result.append_column(name, pa.array(-of / np.maximum(many, 1), pa.float64(), mask=many == 0))
-    return result
+    results = []
+    for block in blocks.to_pylist():
+        ids, langs, words = block["ids"], block["langs"], unpack.decompress(block["words"]).split(b"\n")
+        counts = np.array(block["counts"], np.int64).reshape(len(ids), len(COUNTS))
+        sizes = counts[:, 0] + counts[:, 1]
+        value = np.zeros((3, len(ids)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            value[:, some] = log_probability([words[i] for i in some], [langs[i] for i in some], known)
+        columns = {"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string())}
+        columns |= {c: pa.array(counts[:, j]) for j, c in enumerate(COUNTS)}
+        for name, of, many in (("log_perplexity", value[0], sizes), ("log_perplexity_across", value[1], value[2])):
+            columns[name] = pa.array(-of / np.maximum(many, 1), pa.float64(), mask=many == 0)
+        results.append(pa.table(columns))
+    return pa.concat_tables(results) if results else EMPTY
 
 
 def score(chunks: DataFrame, top: DataFrame) -> DataFrame:
@@ -361,10 +378,12 @@ def score(chunks: DataFrame, top: DataFrame) -> DataFrame:
     ``top`` has the probability of every n-gram of the highest order in the chunks.
     """
     wanted = chunks.filter("a is not null").select("chunk", "lang", "a", "b")
-    grams = wanted.join(top.select("lang", "a", "b", "p"), ["lang", "a", "b"]).select("chunk", "lang", "a", "b", "p")
-    columns = ["chunk", "lang", "doc_id", *COUNTS, "words"]
+    grams = stage(wanted.join(top.select("lang", "a", "b", "p"), ["lang", "a", "b"]).select("chunk", "lang", "a", "b", "p"))
+    columns = ["chunk", "ids", "langs", "counts", "words"]
     docs = chunks.filter("a is null").select(columns).toDF(*columns)  # columns of their own: both sides are of one table
-    return docs.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(score_chunk, SCORES)
+    scores = stage(docs.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(score_chunk, SCORES))
+    drop(grams)
+    return scores
 
 
 def judge(scores: DataFrame, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
@@ -393,7 +412,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     chunks = stage(chunked(docs))
     counts = stage(count_grams(chunks))
     tables = probabilities(counts)
-    scores = stage(score(chunks, tables[-1]))
-    for done in (chunks, counts, *tables):
+    for done in (counts, *tables[:-1]):
+        drop(done)
+    scores = score(chunks, tables[-1])
+    for done in (chunks, tables[-1]):
         drop(done)
     return judge(scores)
