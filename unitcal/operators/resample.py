@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from unitcal.functions import is_finite, nan
-from unitcal.functions.columns import TWO_32, joined
+from unitcal.functions.columns import TWO_32
 from unitcal.functions.exact import clopper_pearson
 from unitcal.operators.ordered import attach_one, dense_index, null_safe_join
 from unitcal.operators.score import additive_score_parts, score_from_parts
@@ -26,6 +27,8 @@ SLOTS = 4
 POISSON_CUTS = 12
 #: Units whose draws are made together, and groups whose sums a task holds before it sends them.
 UNITS_AT_ONCE, GROUPS_AT_ONCE = 256, 256
+#: Exact draws: index rows whose draws are made together, and units of a stretch of the index (at most 2**16).
+DRAWN_AT_ONCE, STRETCH = 1024, 16_384
 
 
 class ResampleError(ValueError):
@@ -50,28 +53,101 @@ def poisson_count(draw: Column) -> Column:
     return count
 
 
-def with_draws(df: DataFrame, key: Column, replicates: int, seed: int, fast: bool) -> DataFrame:
-    """One row per (row, replicate) with a ``draw`` of 64 bits (``fast``: of 63), a decimal without fraction.
+def draw_table(keys: Sequence[int], n_replicates: int, seed: int) -> np.ndarray:
+    """Draws of 64 bits (keys x replicates); one md5 digest serves two replicates."""
+    blocks = -(-n_replicates // 2)
+    starts = [hashlib.md5(f"{seed}:{block}:".encode(), usedforsecurity=False) for block in range(blocks)]
+    digests = []
+    for key in keys:
+        tail = str(key).encode()
+        for start in starts:
+            h = start.copy()
+            h.update(tail)
+            digests.append(h.digest())
+    return np.frombuffer(b"".join(digests), ">u8").reshape(len(keys), blocks * 2)[:, :n_replicates]
+
+
+def draw_table_fast(keys: Sequence[int], n_replicates: int, seed: int) -> np.ndarray:
+    """The same from the mixed bits of key and replicate."""
+    with np.errstate(over="ignore"):
+        x = np.array(keys, np.uint64)[:, None] * np.uint64(0xD1342543DE82EF95) + (np.arange(1, n_replicates + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
 
-    One md5 digest serves two replicates.  ``fast`` hashes with xxhash64 instead, which
-    is several times cheaper but cannot be repeated in another engine.
+def exact_sums(
+    units: DataFrame, index: DataFrame, parts: Sequence[str], n_replicates: int, seed: int, by: Sequence[str], fast: bool
+) -> DataFrame:
+    """Per group, stretch of the index and replicate: the drawn rows and the sum of each part over them.
+
+    ``index`` holds every (by, idx, n_total) once, ``units`` the parts at (by, idx).  Draws are made where the
+    index rows live and sent to the stretch of ``STRETCH`` units that they name, as two bytes each; a stretch's
+    draws and units meet in one task, of a size that does not grow with the table.  Nothing is broadcast.
     """
-    blocks = -(-replicates // 2)
-    spread = df.withColumn("_key", key).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    if fast:
-        values = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_block", "_key", F.lit(i)), 1).cast("decimal(20,0)") for i in range(2)]
-    else:
-        digest = F.md5(joined(seed, F.col("_block"), F.col("_key")))
-        spread = spread.withColumn("_digest", digest)
-        values = [F.conv(F.substring("_digest", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(2)]
-    return (
-        spread.select("*", F.posexplode(F.array(*values)).alias("_slot", "draw"))
-        .withColumn("replicate", F.col("_block") * 2 + F.col("_slot"))
-        .filter(F.col("replicate") < replicates)
-        .drop("_key", "_block", "_slot", "_digest")
-    )
+    by, make = list(by), draw_table_fast if fast else draw_table
+    wide = len(parts) + 1
+    keys = index.select(*by).schema
+    sent = index.select(*by).schema.add("_stretch", "long").add("_counts", "binary").add("_offsets", "binary")
+    out = index.select(*by).schema.add("replicate", "long").add("n_drawn", "long")
+    for name in parts:
+        out = out.add(name, "double")
+    types = to_arrow_schema(keys).types
+    tail = to_arrow_schema(out).names
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = list(zip(*[c.to_pylist() for c in batch.columns[:len(by)]])) if by else [()] * len(batch)
+            idx, total = batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist()
+            rows_of: dict[tuple, list[int]] = {}
+            for i, g in enumerate(groups):
+                rows_of.setdefault(g, []).append(i)
+            for g, rows in rows_of.items():
+                for start in range(0, len(rows), DRAWN_AT_ONCE):
+                    some = rows[start:start + DRAWN_AT_ONCE]
+                    at = (make([idx[i] for i in some], n_replicates, seed) % np.uint64(total[some[0]])).T.ravel()
+                    place = (at // np.uint64(STRETCH)).astype(np.int64)
+                    stretches = -(-total[some[0]] // STRETCH)
+                    order = np.argsort(place.astype(np.uint16) if stretches < 1 << 16 else place, kind="stable")
+                    cells = place * n_replicates + np.repeat(np.arange(n_replicates), len(some))
+                    counts = np.bincount(cells, minlength=stretches * n_replicates).astype(np.uint16).reshape(stretches, -1)
+                    offsets = (at % np.uint64(STRETCH)).astype(np.uint16)[order]
+                    ends = np.cumsum(counts.sum(axis=1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v] * stretches, t) for v, t in zip(g, types)] + [
+                            pa.array(np.arange(stretches)), pa.array([c.tobytes() for c in counts], pa.binary()),
+                            pa.array([o.tobytes() for o in np.split(offsets, ends[:-1])], pa.binary()),
+                        ], names=[*by, "_stretch", "_counts", "_offsets"],
+                    )
+
+    def gather(picks: pa.Table, rows: pa.Table) -> pa.Table:
+        at = rows.column("idx").to_numpy() % STRETCH
+        columns = [rows.column(name).combine_chunks() for name in parts]
+        there = [np.ones(len(at))] + [c.is_valid().to_numpy(zero_copy_only=False).astype(float) for c in columns]
+        x = [there[0]] + [c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns]
+        x, there = ([np.bincount(at, weights=v, minlength=STRETCH) for v in side] for side in (x, there))
+        gaps = [i for i in range(1, wide) if (there[i] < there[0]).any()]
+        sums, seen = np.zeros((wide, n_replicates)), np.zeros((wide, n_replicates))
+        for counts, offsets in zip(picks.column("_counts"), picks.column("_offsets")):
+            offsets = np.frombuffer(offsets.as_buffer(), np.uint16)
+            replicate = np.repeat(np.arange(n_replicates), np.frombuffer(counts.as_buffer(), np.uint16))
+            for i in range(wide):
+                sums[i] += np.bincount(replicate, weights=x[i][offsets], minlength=n_replicates)
+            for i in gaps:
+                seen[i] += np.bincount(replicate, weights=there[i][offsets], minlength=n_replicates)
+        key = [(picks if len(picks) else rows).column(name)[0].as_py() for name in by]
+        return pa.Table.from_arrays(
+            [pa.array([v] * n_replicates, t) for v, t in zip(key, types)] + [
+                pa.array(np.arange(n_replicates)), pa.array(sums[0].astype(np.int64)),
+                *[pa.array(sums[i], mask=(seen[i] if i in gaps else sums[0]) == 0) for i in range(1, wide)],
+            ], names=tail,
+        )
+
+    # every index row becomes all replicates' draws here, so the number of tasks must follow from that work
+    width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picks = index.select(*by, "idx", "n_total").repartition(width, *by, "idx").mapInArrow(draw, sent)
+    placed = units.select(*by, "idx", *parts).withColumn("_stretch", F.floor(F.col("idx") / STRETCH).cast("long"))
+    return picks.groupBy(*by, "_stretch").cogroup(placed.groupBy(*by, "_stretch")).applyInArrow(gather, out)
 
 
 def poisson_table(keys: list[str], n_replicates: int, seed: int, steps: np.ndarray) -> np.ndarray:
@@ -169,8 +245,8 @@ def replicates(
     """Sums of the parts for every bootstrap replicate: ``by``, ``replicate``, ``n_drawn``, parts.
 
     ``exact`` draws n units with replacement: draw j of replicate b is
-    ``md5(seed:b:j) mod n`` looked up in a dense unit index.  It shuffles
-    units x replicates rows, so it is for small frames.  ``poisson`` gives each unit an
+    ``md5(seed:b:j) mod n`` looked up in a dense unit index.  It shuffles two bytes
+    per unit and replicate.  ``poisson`` gives each unit an
     independent Poisson(1) count per replicate; the counts are summed where the unit lives
     and only one row per (task, group, replicate) is made and shuffled.
     """
@@ -187,14 +263,9 @@ def replicates(
     if mode != "exact":
         raise ValueError(f"mode must be 'exact' or 'poisson', got {mode!r}")
     index = dense_index(values, unit, by)
-    picks = (
-        with_draws(index, F.col("idx"), n_replicates, seed, fast)
-        .withColumn("idx", (F.col("draw") % F.col("n_total").cast("decimal(20,0)")).cast("bigint"))
-        .select(*by, "idx", "replicate")
-    )
     units = null_safe_join(values, index.drop("n_total"), [*by, unit])
-    return null_safe_join(picks, units, [*by, "idx"]).groupBy(*by, "replicate").agg(
-        F.count(F.lit(1)).alias("n_drawn"), *[F.sum(n).alias(n) for n in parts]
+    return exact_sums(units, index, list(parts), n_replicates, seed, by, fast).groupBy(*by, "replicate").agg(
+        F.sum("n_drawn").alias("n_drawn"), *[F.sum(n).alias(n) for n in parts]
     )
 
 
