@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from unitcal.operators import collision, hypothesis_tests
 from unitcal.operators.splits import stratum
-from unitcal.plans.registry import longs, query, rounded
+from unitcal.plans.registry import longs, query, round_scaled, rounded
 from unitcal.plans.tables import table
 
 N_RADIAL, N_ANGULAR = 8, 12
@@ -109,7 +109,7 @@ SELECT {KEY_SQL}, round(sqrt(mx * mx + my * my), 5) AS miss, round(xx + yy, 3) A
 def pc_encounter_plane(spark, sf):
     out = collision.encounter_plane(collision.combined_covariance(approaches(spark, sf)))
     miss = F.sqrt(F.col("miss_x") * F.col("miss_x") + F.col("miss_y") * F.col("miss_y"))
-    return out.select(*KEYS, F.round(miss, 5).alias("miss"), F.round(F.col("p_xx") + F.col("p_yy"), 3).alias("trace"))
+    return out.select(*KEYS, round_scaled(miss, 5).alias("miss"), round_scaled(F.col("p_xx") + F.col("p_yy"), 3).alias("trace"))
 
 
 @query("pc_batch", ALL_SQL + f"""

@@ -8,7 +8,7 @@ from unitcal.functions import draw_bits
 from unitcal.functions.columns import TWO_32
 from unitcal.functions.exact import binomial_p
 from unitcal.operators import audit, conformal, discriminant, resample, weights
-from unitcal.plans.registry import longs, query, rounded
+from unitcal.plans.registry import longs, query, round_scaled, rounded
 from unitcal.plans.score_queries import REPLICATES, shares_sql
 from unitcal.plans.series_queries import SPLIT_SQL, training_split
 from unitcal.plans.tables import (
@@ -225,7 +225,7 @@ def split_interval(spark, sf):
     )
     return longs(out.select(
         "unit", "learner", "seed", "sided", "level",
-        F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "covered",
+        round_scaled(F.col("lo"), 4).alias("lo"), round_scaled(F.col("hi"), 4).alias("hi"), "covered",
     ), "seed")
 
 

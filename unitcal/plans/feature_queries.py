@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from unitcal.operators import features, series
 from unitcal.operators.ordered import with_row
-from unitcal.plans.registry import longs, query, rounded
+from unitcal.plans.registry import longs, query, round_scaled, rounded
 from unitcal.plans.series_queries import SPLIT_SQL, training_split
 from unitcal.plans.tables import A, CUTOFF, M, ORDERS, T, THRESHOLD, U, messages, table
 
@@ -141,7 +141,7 @@ def sequence_pad(spark, sf):
     long = padded.select("unit", "length", "mask", F.posexplode("x").alias("pos", "row"))
     rows = long.select(
         "unit", "length", (F.col("pos") + 1).alias("pos"), F.col("mask")[F.col("pos")].alias("mask"),
-        *[F.round(F.col("row")[i], 5).alias(f"x_{c}") for i, c in enumerate(SEQUENCE)],
+        *[round_scaled(F.col("row")[i], 5).alias(f"x_{c}") for i, c in enumerate(SEQUENCE)],
     )
     return longs(rows, "length", "pos")
 
@@ -182,7 +182,7 @@ def embedding_scale(spark, sf):
     rows = F.array(*[
         F.struct(
             F.lit(i + 1).cast("bigint").alias("pos"), F.col(f"s.mean_{c}").alias("mean"), F.col(f"s.sd_{c}").alias("sd"),
-            F.round(F.col(c), 4).alias("largest"),
+            round_scaled(F.col(c), 4).alias("largest"),
         )
         for i, c in enumerate(names)
     ])

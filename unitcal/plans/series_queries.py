@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from unitcal.functions import high_flag
 from unitcal.operators import series, splits
-from unitcal.plans.registry import longs, query, rounded
+from unitcal.plans.registry import longs, query, round_scaled, rounded
 from unitcal.plans.tables import (
     A, CUTOFF, M, ORDERS, P, PAIRS, RECENCY, SEED, T, THRESHOLD, U, messages, pairs, table,
 )
@@ -223,7 +223,7 @@ def split_members(spark, sf):
     return kept.agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.countDistinct("unit").alias("n_units"),
-        F.round(F.avg("value"), 4).alias("mean_value"),
+        round_scaled(F.avg("value"), 4).alias("mean_value"),
     )
 
 
