@@ -397,10 +397,23 @@ def resampled_share(k: Column, n: Column, level: float = 0.95, n_replicates: int
 
 
 def share_bounds(
-    df: DataFrame, flag: Column, by: Sequence[str] = (), level: float = 0.95, n_replicates: int = 2000, seed: int = 42
+    df: DataFrame, flag: Column, by: Sequence[str] = (), level: float = 0.95, n_replicates: int = 2000, seed: int = 42,
+    unit: str | None = None,
 ) -> DataFrame:
-    """n_units and k (rows whose flag is set), share and its percentile bounds; rows without a flag are left out."""
+    """n_units and k (rows whose flag is set), share and its percentile bounds; rows without a flag are left out.
+
+    With ``unit`` every unit is drawn by its own Poisson counts, as in :func:`replicates`; without it the share is
+    resampled from (k, n).
+    """
     counts = df.groupBy(*by).agg(F.count(flag).alias("n_units"), F.count_if(flag).alias("k"))
+    if unit is not None:
+        reps = replicates(df.filter(flag.isNotNull()), unit, {"k": flag.cast("int")}, n_replicates, seed, by)
+        bounds = percentile_intervals(reps, {"share": F.try_divide("k", "n_drawn")}, by, level)
+        return attach_one(counts, bounds, by, "left").select(
+            *by, "n_units", "k", F.coalesce(F.try_divide("k", "n_units"), nan()).alias("share"),
+            F.coalesce("share_lo", nan()).alias("share_lo"), F.coalesce("share_hi", nan()).alias("share_hi"),
+            F.when(F.col("n_units") > 0, F.col("share_undefined")).otherwise(n_replicates).cast("bigint").alias("share_undefined"),
+        )
     drawn = counts.withColumn("_b", resampled_share(F.col("k"), F.col("n_units"), level, n_replicates, seed))
     return drawn.select(
         *by, "n_units", "k", F.coalesce(F.try_divide("k", "n_units"), nan()).alias("share"),
@@ -410,11 +423,12 @@ def share_bounds(
 
 
 def proportion_bounds(
-    df: DataFrame, flag: Column, by: Sequence[str] = (), level: float = 0.95, n_replicates: int = 2000, seed: int = 42
+    df: DataFrame, flag: Column, by: Sequence[str] = (), level: float = 0.95, n_replicates: int = 2000, seed: int = 42,
+    unit: str | None = None,
 ) -> DataFrame:
-    """n, k, share with bootstrap and exact bounds, half widths in points, zero-width flag."""
+    """n, k, share with bootstrap (of units, when ``unit`` is named) and exact bounds, half widths in points, zero-width flag."""
     exact = (
-        share_bounds(df, flag, by, level, n_replicates, seed)
+        share_bounds(df, flag, by, level, n_replicates, seed, unit)
         .withColumn("_b", clopper_pearson(F.col("k"), F.col("n_units"), level))
         .select("*", "_b.*")
         .drop("_b")

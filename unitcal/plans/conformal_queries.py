@@ -9,7 +9,7 @@ from unitcal.functions.columns import TWO_32
 from unitcal.functions.exact import binomial_p
 from unitcal.operators import audit, conformal, discriminant, resample, weights
 from unitcal.plans.registry import longs, query, round_scaled, rounded
-from unitcal.plans.score_queries import REPLICATES, shares_sql
+from unitcal.plans.score_queries import POISSON_CASE, REPLICATES, shares_sql
 from unitcal.plans.series_queries import SPLIT_SQL, training_split
 from unitcal.plans.tables import (
     LEVELS, PAIRS, RECENCY, THRESHOLD, pairs, sql_draw, table,
@@ -573,16 +573,22 @@ def binomial_test(spark, sf):
     return rounded(counts.withColumn("p_value", binomial_p(F.col("k"), F.col("n"), F.lit(0.1))), 8)
 
 
-@query("proportion_bounds", PAIRS + f""", kn AS (SELECT grp, count(*) FILTER (WHERE target >= 450000) AS k, count(*) AS n FROM p GROUP BY grp),
-{bounds_sql('kn')}, {shares_sql('kn')}""" + """
+PROP_BOOT = f"""pg AS (SELECT grp, target >= 450000 AS high, b.range AS blk, md5('42:' || b.range || ':' || unit) AS h FROM p, range({REPLICATES // 4}) b),
+pd AS (SELECT grp, high, 4 * blk + s.range AS replicate, CAST('0x' || substr(h, CAST(8 * s.range + 1 AS INTEGER), 8) AS BIGINT) AS d
+       FROM pg, range(4) s),
+pr AS (SELECT grp, replicate, sum(({POISSON_CASE}) * high::INT) / sum({POISSON_CASE}) AS share FROM pd GROUP BY grp, replicate),
+kn AS (SELECT grp, count(*) FILTER (WHERE target >= 450000) AS k, count(*) AS n FROM p GROUP BY grp)"""
+
+
+@query("proportion_bounds", PAIRS + f", {PROP_BOOT}, {bounds_sql('kn')}" + """
 SELECT grp, n AS n_units, k, round(k / n, 6) AS share, round(lo, 6) AS share_lo, round(hi, 6) AS share_hi, CAST(0 AS BIGINT) AS share_undefined,
   round(cp_lo, 6) AS cp_lo, round(cp_hi, 6) AS cp_hi, round(50 * (hi - lo), 4) AS boot_half_pp, round(50 * (cp_hi - cp_lo), 4) AS cp_half_pp,
   hi = lo AS degenerate
-FROM kn JOIN cp USING (k, n) JOIN sb USING (k, n)""")
+FROM kn JOIN cp USING (k, n) JOIN (SELECT grp, quantile_cont(share, 0.025) AS lo, quantile_cont(share, 0.975) AS hi FROM pr GROUP BY grp) USING (grp)""")
 def proportion_bounds(spark, sf):
     """Share of high targets per segment, with bootstrap and exact bounds and the zero-width flag."""
     out = resample.proportion_bounds(
-        pairs(spark, sf, group=True), F.col("target") >= THRESHOLD, ["grp"], n_replicates=REPLICATES
+        pairs(spark, sf, group=True), F.col("target") >= THRESHOLD, ["grp"], n_replicates=REPLICATES, unit="unit"
     )
     return rounded(out, 6, boot_half_pp=4, cp_half_pp=4)
 
