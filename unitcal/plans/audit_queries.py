@@ -10,7 +10,7 @@ from unitcal.functions.exact import binomial_p
 from unitcal.operators import audit, hypothesis_tests, models, ordered, resample, series
 from unitcal.plans.conformal_queries import binomial_sql
 from unitcal.plans.registry import longs, query, rounded
-from unitcal.plans.score_queries import POISSON_DRAWS, REPLICATES, shares_sql
+from unitcal.plans.score_queries import POISSON_DRAWS, REPLICATES
 from unitcal.plans.tables import (
     A, CUTOFF, M, MARGIN, EPSILON, ORDERS, P, PAIRS, RECENCY, SEED, T, THRESHOLD, U,
     messages, pairs, sql_draw, table,
@@ -187,13 +187,15 @@ def rule_conformance(spark, sf):
     return rounded(audit.rule_conformance(messages(spark, sf), rules, ["split"]), 8, min=4, max=4)
 
 
-@query("prevalence", PAIRS + f""",
-s AS (SELECT split, count(*) AS n, count(*) FILTER (WHERE target >= 450000) AS k FROM p GROUP BY split), {shares_sql('s')}
+@query("prevalence", PAIRS + f""", {POISSON_DRAWS},
+r AS (SELECT split, replicate, sum(times * (target >= 450000)::INT) / sum(times) AS share FROM pw GROUP BY split, replicate),
+b AS (SELECT split, quantile_cont(share, 0.025) AS lo, quantile_cont(share, 0.975) AS hi FROM r GROUP BY split),
+s AS (SELECT split, count(*) AS n, count(*) FILTER (WHERE target >= 450000) AS k FROM p GROUP BY split)
 SELECT split, n AS n_units, k, round(k / n, 6) AS share, round(lo, 6) AS share_lo, round(hi, 6) AS share_hi, CAST(0 AS BIGINT) AS share_undefined,
   round(k / n / (SELECT k / n FROM s WHERE split = 'train'), 6) AS enrichment
-FROM s JOIN sb USING (k, n)""")
+FROM s JOIN b USING (split)""")
 def prevalence(spark, sf):
-    shares = resample.share_bounds(pairs(spark, sf), F.col("target") >= THRESHOLD, ["split"], n_replicates=REPLICATES)
+    shares = resample.share_bounds(pairs(spark, sf), F.col("target") >= THRESHOLD, ["split"], n_replicates=REPLICATES, unit="unit")
     return rounded(audit.enrichment(shares, "split", "train"))
 
 
