@@ -99,3 +99,23 @@ def test_empirical_pit(spark):
     df = spark.createDataFrame([(1, 0.0, 5.0), (1, 5.0, 5.0), (1, 9.0, 5.0), (1, 8.0, 5.0)], "unit long, yhat double, y double")
     assert models.empirical_pit(df, "unit", "y").first()["pit"] == 0.5
     assert math.isclose(models.normal_quantile(0.975), 1.959963984540054, rel_tol=1e-12)
+
+
+def test_moments_of_variants_read_the_samples_once(spark):
+    rows = spark.createDataFrame(
+        [(u, float(u * 7 + i * i), u * 2.0, "train" if u % 2 else "test") for u in range(12) for i in range(u % 4 + 1)],
+        "unit long, yhat double, target double, split string",
+    )
+    variants = [({"method": m, "seed": s}, F.col("yhat") * k) for m, s, k in (("a", 1, 1.0), ("a", 2, 1.5), ("b", 1, 2.0))]
+    got = models.moments_of_variants(rows, "unit", variants, ("target", "split"))
+    copies = None
+    for keys, yhat in variants:
+        one = rows.withColumns({**{k: F.lit(v) for k, v in keys.items()}, "yhat": yhat})
+        copies = one if copies is None else copies.unionByName(one)
+    want = models.sample_moments(copies, "unit", ["method", "seed"], ("target", "split"))
+    order = ["unit", "method", "seed"]
+    assert [tuple(r) for r in got.select(want.columns).orderBy(order).collect()] == [
+        tuple(r) for r in want.orderBy(order).collect()
+    ]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(unit") == 1 and "Union" not in plan

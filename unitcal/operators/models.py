@@ -258,6 +258,32 @@ def sample_moments(
     )
 
 
+def moments_of_variants(
+    samples: DataFrame, unit: str, variants: Sequence[tuple[Mapping[str, object], Column]],
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`sample_moments` of several variants of every sample, one row per unit and variant.
+
+    A variant is its key columns' values and its prediction.  The variants are columns of one
+    aggregation by unit, so that no copies of the samples are sorted or held.
+    """
+    names = [f"_variant_{i}" for i in range(len(variants))]
+    told = samples.withColumns({n: c for n, (_, c) in zip(names, variants)})
+    wide = told.groupBy(unit).agg(
+        *[
+            F.struct(
+                *[F.lit(v).alias(k) for k, v in keys.items()],
+                F.avg(n).alias("mean"),
+                F.stddev_samp(n).alias("epistemic_sd"),
+                F.count(F.lit(1)).alias("n_samples"),
+            ).alias(n)
+            for n, (keys, _) in zip(names, variants)
+        ],
+        *[F.first(c).alias(c) for c in carry],
+    )
+    return wide.select(unit, *carry, F.inline(F.array(*names)))
+
+
 def require_samples(moments: DataFrame, least: int = 2) -> DataFrame:
     if moments.filter(F.col("n_samples") < least).limit(1).count():
         raise ModelError(f"a predictive distribution needs at least {least} samples per unit")

@@ -492,15 +492,14 @@ bp AS (SELECT *, {binomial_sql("n_covered", "n", "level")}::DOUBLE AS binomial_p
 
 
 def audited(spark, sf):
-    rows = sample_rows(spark, sf)
-    noise = (draw_bits(F.col("seed"), F.col("unit")) / float(TWO_32) - 0.5) * 0.2
-    disturbed = rows.withColumn("seed", F.explode(F.array(F.lit(42), F.lit(43)))).withColumns({
-        "yhat": F.col("yhat") * (1.0 + noise), "method": F.lit("disturbed"),
-    })
-    plain = rows.withColumns({"seed": F.lit(-1), "method": F.lit("plain")})
+    def disturbed(seed):
+        return F.col("yhat") * (1.0 + (draw_bits(F.lit(seed), F.col("unit")) / float(TWO_32) - 0.5) * 0.2)
+
     by = ["method", "seed"]
-    moments = stage(models.sample_moments(
-        disturbed.unionByName(plain), "unit", by, ("target", "split")
+    variants = [({"method": "disturbed", "seed": seed}, disturbed(seed)) for seed in (42, 43)]
+    variants.append(({"method": "plain", "seed": -1}, F.col("yhat")))
+    moments = stage(models.moments_of_variants(
+        sample_rows(spark, sf), "unit", variants, ("target", "split")
     ).filter("n_samples >= 2"))
     sd = models.aleatoric_sd(moments.filter("split = 'train'"), "target", "mean", by)
     return models.predictive(moments.filter("split = 'test'"), sd, by)
