@@ -378,6 +378,23 @@ def test_windows_do_not_change_the_counts(spark, monkeypatch):
     assert counted() == whole and sum(whole.values()) == sum(len(t) + 1 for t in texts)
 
 
+def test_rules_exchange_a_part_of_the_chunks_at_a_time(spark, monkeypatch):
+    rows = [(i, prose(i, 60), "en") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    scored, plain = [], perplexity.stage
+
+    def stage(df):
+        out = plain(df)
+        if "log_perplexity" in out.columns:
+            scored.append([r.doc_id for r in out.select("doc_id").collect()])
+        return out
+
+    monkeypatch.setattr(perplexity, "stage", stage)
+    assert perplexity.quality_rules(docs).count() == 64
+    assert sorted(i for part in scored for i in part) == list(range(64))
+    assert max(map(len, scored)) <= 32
+
+
 @here
 def test_shuffled_documents_leave_and_clean_ones_stay(spark):
     sf = "/root/testdata/sf0.01"

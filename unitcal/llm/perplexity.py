@@ -12,7 +12,8 @@ and no task and no driver holds the whole model.
 * ``probabilities``: aggregates and joins over the count tables give the lower orders (distinct left
   extensions), discounts, context totals and the probability of each n-gram.
 * ``score``: the chunks' n-grams are joined with their probabilities, and each chunk meets the
-  probabilities of its own n-grams, which a task keeps in a sorted array of 64-bit hashes.
+  probabilities of its own n-grams, which a task keeps in a sorted array of 64-bit hashes.  The chunks
+  are exchanged in ``WAVES`` parts, one after the other, so that the disk holds the exchange of one.
 
 Two perplexities of a document are judged: that of all its characters, and that of the characters told
 across a blank (one of the characters before them is a blank), which is where the order of words and
@@ -32,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,6 +57,7 @@ REPEAT = 8  # words of a repeated window
 CHUNK = 32_000_000  # bytes of text whose n-grams are told apart together
 WINDOW = 1_000_000  # characters that are looked at together
 BLOCK = 1_000_000  # bytes of text of a row of documents, one text at least
+WAVES = 4  # a power of two: parts of the chunks that are exchanged and scored one after the other
 SALTS = 64  # copies of a language's row in joins, so that no task has a whole language
 
 _START, _END = 0x110000, 0x110001  # behind the last character of Unicode
@@ -183,7 +186,7 @@ class GramCounts:
     def rows(self, chunk: int) -> pa.RecordBatch | None:
         if not self.parts:
             return None
-        grams = self.merged()
+        grams = self.merged().sort_values(["lang", "a", "b"])  # neighbours are alike, and take less disk
         return batch_of(len(grams), {"chunk": [chunk] * len(grams), **{c: grams[c].to_numpy() for c in ("lang", "a", "b", "n")}})
 
 
@@ -381,9 +384,14 @@ def score(chunks: DataFrame, top: DataFrame) -> DataFrame:
     grams = stage(wanted.join(top.select("lang", "a", "b", "p"), ["lang", "a", "b"]).select("chunk", "lang", "a", "b", "p"))
     columns = ["chunk", "ids", "langs", "counts", "words"]
     docs = chunks.filter("a is null").select(columns).toDF(*columns)  # columns of their own: both sides are of one table
-    scores = stage(docs.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(score_chunk, SCORES))
+    # a chunk's name is its partition and its place there
+    wave = F.pmod(F.shiftright("chunk", 32) + F.col("chunk"), F.lit(WAVES))
+    parts = []
+    for i in range(WAVES):
+        own, known = docs.filter(wave == i).groupBy("chunk"), grams.filter(wave == i).groupBy("chunk")
+        parts.append(stage(own.cogroup(known).applyInArrow(score_chunk, SCORES)))
     drop(grams)
-    return scores
+    return reduce(DataFrame.unionByName, parts)
 
 
 def judge(scores: DataFrame, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:

@@ -71,7 +71,7 @@ def stage(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
