@@ -50,7 +50,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the two co-trained views accept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return of_kept(docs, cotrain.score(with_key(docs), cotrain.fit(docs, labels)))
+    return of_kept(docs, cotrain.classify(docs, labels, near_copies.row_key(docs)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

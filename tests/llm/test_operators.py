@@ -15,6 +15,7 @@ import pytest
 import tiktoken
 import xxhash
 from oracle import compare, connect
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from unitcal.llm import bpe, chat, chunks, cotrain, cross_polytope, huffman, packing, perplexity, recompress, simhash, tokens, warc
@@ -507,6 +508,19 @@ def test_first_fit_decreasing_equals_a_plain_search():
     assert packing.first_fit_decreasing(sizes, 100) == want
 
 
+def test_classifier_reads_each_text_once_beside_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 30) + (" good fine" if i % 2 else " bad awful"), "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    seen, plain = [], cotrain.views
+    monkeypatch.setattr(cotrain, "views", lambda of: (seen.append(of.count()), plain(of))[1])
+    got = {r.doc_id: r for r in cotrain.classify(docs, labels).collect()}
+    assert sorted(seen) == [150, 200]
+    by_hash = cotrain.classify(docs, labels, F.col("doc_id") + 1000).collect()
+    apart = {r.doc_id - 1000: r for r in cotrain.score(docs.withColumn("doc_id", F.col("doc_id") + 1000), cotrain.fit(docs, labels)).collect()}
+    assert {r.doc_id - 1000 for r in by_hash} == set(got) == set(apart)
+    assert all(got[i].score == pytest.approx(apart[i].score, abs=1e-6) for i in got)
+
+
 def test_classifier_scores_all_unlabelled_rows_each_round(spark, monkeypatch):
     # more than the 10,000 rows that the pool once held; a third without an id
     n = 12_000

@@ -109,9 +109,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return picked.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)))
 
 
-def pool(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All rows of documents without label, those without id among them."""
-    return docs.join(labels_of(labels).select("doc_id"), "doc_id", "left_anti")
+def with_known(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add ``labelled``: NULL for the rows of documents without label, those without id among them."""
+    return rows.join(labels_of(labels).select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left")
 
 
 def logistic(features: str, label: str, strength: float) -> LogisticRegression:
@@ -127,6 +127,16 @@ def logit(features: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     """Co-train; None without both kinds of labels to learn and to calibrate from."""
+    got = trained(docs, labels)
+    return got and got[0]
+
+
+def trained(docs: DataFrame, labels: DataFrame, row_id: Column | None = None) -> tuple[CoTrained, DataFrame] | None:
+    """The fitted views, and both views' features of every row under its ``row_id`` (the document's id if not given).
+
+    The features are made and staged once: the rounds learn from those without label, and all are scored.
+    """
+    every = docs.select(*needed(docs).columns, (F.col("doc_id") if row_id is None else row_id).alias("row_id"))
     docs = needed(docs)
     rows = stage(views(sample(docs, labels)))
     kinds = rows.agg(
@@ -141,10 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     hasher = FeatureHasher(inputCols=[*NUMBERS, "page_lang", "page_source"], outputCol="page", numFeatures=HASHED)
 
     def features(of: DataFrame, *more: str) -> DataFrame:
-        return stage(hasher.transform(vocabulary.transform(of)).select("content", "page", *more))
+        return hasher.transform(vocabulary.transform(of)).select("content", "page", *more)
 
-    rows = features(rows, "accept", "part")
-    unlabelled = features(views(pool(docs, labels)))
+    rows = stage(features(rows, "accept", "part"))
+    # joined when the texts are features: these are what the exchange holds
+    every = stage(with_known(features(views(every), "doc_id", "row_id"), labels).drop("doc_id"))
+    unlabelled = every.filter("labelled is null")
     own = rows.filter(train)
     models: dict[str, LogisticRegressionModel] = {}
     for _ in range(ROUNDS + 1):
@@ -175,17 +187,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     )
     return CoTrained(
         vocabulary, hasher, models["content"], models["page"], platt, (got.intercept, *map(float, got.coefficients))
-    )
+    ), every
 
 
 def score(docs: DataFrame, fitted: CoTrained | None) -> DataFrame:
     """(doc_id, content_score, page_score, score, kept) of every row; scores are probabilities."""
     if fitted is None:
-        nothing = F.lit(None).cast("double")
-        return docs.select(
-            "doc_id", *[nothing.alias(c) for c in ("content_score", "page_score", "score")], F.lit(True).alias("kept")
-        )
-    rows = fitted.hasher.transform(fitted.vocabulary.transform(views(needed(docs)))).select("doc_id", "content", "page")
+        return undecided(docs.select("doc_id"))
+    rows = fitted.hasher.transform(fitted.vocabulary.transform(views(needed(docs))))
+    return judged(rows.select("doc_id", "content", "page"), fitted)
+
+
+def undecided(ids: DataFrame) -> DataFrame:
+    """The rows of :func:`score` without a fit: no scores, and all kept."""
+    nothing = F.lit(None).cast("double")
+    return ids.select(
+        "doc_id", *[nothing.alias(c) for c in ("content_score", "page_score", "score")], F.lit(True).alias("kept")
+    )
+
+
+def judged(rows: DataFrame, fitted: CoTrained) -> DataFrame:
+    """The rows of :func:`score` from ids and features."""
     rows = fitted.page.transform(fitted.content.transform(rows))
     logits = {v: a + b * logit(v) for v, (a, b) in fitted.platt.items()}
     bias, content, page = fitted.combined
@@ -201,6 +223,13 @@ def score(docs: DataFrame, fitted: CoTrained | None) -> DataFrame:
     ).withColumn("kept", F.col("score") >= ACCEPT)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on ``labels`` (doc_id, quality, toxic) and all documents without one, and score all of ``docs``."""
-    return score(docs, fit(docs, labels))
+def classify(docs: DataFrame, labels: DataFrame, row_id: Column | None = None) -> DataFrame:
+    """Fit on ``labels`` (doc_id, quality, toxic) and all documents without one, and score all of ``docs``.
+
+    With ``row_id`` that stands in place of the document's id in the result.
+    """
+    got = trained(docs, labels, row_id)
+    if got is None:
+        return undecided(docs.select((F.col("doc_id") if row_id is None else row_id).alias("doc_id")))
+    fitted, every = got
+    return judged(every.select(F.col("row_id").alias("doc_id"), "content", "page"), fitted)
