@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from oracle import compare, connect
 from test_operators import DOCS, SF, odd_rows, prose
 
@@ -292,6 +293,23 @@ def test_probabilities_sum_to_one(spark, monkeypatch):
             assert 0 < 1 - got.sum() < 0.05 and (got > 0).all()
 
 
+def test_pairs_travel_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "CHUNK", 4000)
+    monkeypatch.setattr(pitman_yor, "BUCKET", 400)
+    chunks = pitman_yor.stage(pitman_yor.tokens_of(spark.createDataFrame(markov_rows(), "doc_id long, text string"), 5, 1))
+    words, chunk_words = pitman_yor.word_table(chunks)
+    buckets, n = pitman_yor.n_buckets(chunks), chunks.select("chunk").distinct().count()
+    pairs = pitman_yor.stage(pitman_yor.pair_counts(chunks, chunk_words))
+    assert buckets > 1 and n > 1 and pairs.count() <= 2 * n * buckets
+    answers = pitman_yor.stage(pitman_yor.pair_answers(pairs))
+    assert answers.filter("not first").count() <= n * buckets
+    # a pair is drawn in one block, and a block names each of its words once
+    firsts = answers.filter("first").select("key", "c")
+    blocks = pitman_yor.stage(pitman_yor.pair_blocks(firsts))
+    assert blocks.count() == blocks.select("block", "id").distinct().count()
+    assert blocks.agg(F.sum("of_context"), F.sum("of_dish")).first() == tuple(firsts.agg(F.sum(F.col("c") - 1)).first()) * 2
+
+
 def test_model_odd_rows(spark, monkeypatch):
     odd = spark.createDataFrame(odd_rows(), DOCS).repartition(3)
     got = pitman_yor.score_texts(odd).collect()

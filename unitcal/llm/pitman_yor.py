@@ -10,14 +10,18 @@ proportional to S(c, t) a**t, S being the generalised Stirling numbers of the di
 ``a`` the concentration plus discount times the restaurant's tables, times the parent's probability of the dish;
 table sizes are summed out.  This law is drawn by its exact distribution up to ``EXACT`` customers and by
 its saddle point beyond.  A sweep draws all dishes of the context restaurants at once from
-the state of the sweep before, then the root's, so that every step is one join or aggregate
-of Spark.  A dish with one customer has one table and is never drawn.  Predictive probabilities
+the state of the sweep before, then the root's.  A dish with one customer has one table and is never drawn.  Predictive probabilities
 are averaged over the last ``KEPT`` of ``SWEEPS`` sweeps.  Draws are hashed from the dish and the sweep.
 
 Texts are tokenised once and staged in chunks of about ``CHUNK`` bytes.  A chunk sends each distinct word
 and each distinct pair once.  Pairs of a word that only this chunk holds stay there, unless they must be drawn.
 A pair's count goes back to the chunks that hold the pair, and with it, and with the state of its words, a
-chunk repeats the draws and scores its texts.  One key has one row per chunk at most.
+chunk repeats the draws and scores its texts.  One key has one row per chunk at most.  Pairs travel in
+compressed runs, dealt by the hash of the pair to buckets of about ``BUCKET`` tokens.
+
+The pairs to be drawn are put once into blocks of ``BLOCK`` pairs, which number their own words.  A sweep
+sends the state of the words to the blocks that hold them, and a block answers with one row per word.  A word
+that was learned once at most is in no such pair; its state is that of all its kind and is not kept.
 
 Defined cases: a NULL text is empty and has the end token alone; a NULL id is hashed as an empty string and so
 learned from; repeated rows count as often as they occur; without learned texts every token is unknown
@@ -27,7 +31,9 @@ and has probability 1; an empty table gives no row; other columns are not read.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +51,9 @@ SWEEPS, KEPT = 3, 2
 CONCENTRATION = 1.0
 EXACT = 256
 CHUNK = 16_000_000
+BUCKET = 2_000_000  # tokens for each bucket of pairs; distinct pairs of a chunk are fewer
+BLOCK = 1 << 20  # pairs that are drawn together
+PARTS = 4  # exchanges of whole chunks are made one after the other, so that the disk holds one of them
 
 #: Blanks are space and 09-0D; a blank is no word, so its hash names the end token.
 _WORDS = byte_table(b"\t\n\v\f\r")
@@ -132,6 +141,8 @@ class Settings:
     documents: int
     discount: float
     root_discount: float
+    #: the root's probability of a dish without and with one customer, for each kept state
+    rare: tuple[tuple[float, float], ...] = ()
 
     @property
     def base(self) -> float:
@@ -202,9 +213,9 @@ class Chunk:
         by_number = np.argsort(words["number"].to_numpy())
         self.words = {c: words[c].combine_chunks().take(pa.array(by_number)) for c in words.column_names}
 
-    def of(self, column: str, width: int = 1) -> np.ndarray:
-        values = self.words[column]
-        return values.flatten().to_numpy().reshape(-1, width) if width > 1 else values.to_numpy()
+    def of(self, column: str) -> np.ndarray:
+        """The words' values; NaN where there is none."""
+        return self.words[column].to_numpy(zero_copy_only=False)
 
     def contexts(self, values: np.ndarray, begin) -> np.ndarray:
         """The context's value for each token, ``begin`` at the starts of texts."""
@@ -225,49 +236,92 @@ class Chunk:
         return np.flatnonzero(known)[first], distinct, pair, n
 
 
-def pair_counts(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows (key, chunk, n) of the pairs of each chunk; chunk is -1 where no answer is needed."""
+def packed(ascending: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys and a number for each, compressed."""
+    both = np.concatenate([np.diff(ascending, prepend=0), n]).astype("<i8")
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(both.tobytes())
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
+    return np.cumsum(both[:len(both) // 2]), both[len(both) // 2:]
+
+
+def dealt(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place, and the elements that go there, in their order."""
+    order = np.argsort(place, kind="stable")
+    starts = np.flatnonzero(np.diff(place[order], prepend=-2))
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        yield int(place[order[start]]), order[start:stop]
+
+
+def part(df: DataFrame, column: str, number: int) -> DataFrame:
+    """The rows of one of ``PARTS`` by a column's hash."""
+    return df.filter(F.pmod(F.xxhash64(column), F.lit(PARTS)) == number)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def n_buckets(chunks: DataFrame) -> int:
+    """Buckets for the pairs of all chunks."""
+    held = chunks.filter("words IS NOT NULL").select(
+        F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("learned"), F.size("words").alias("words")
+    )
+    learned, distinct = held.agg(F.coalesce(F.sum("learned"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    return 1 + max(learned, distinct) // BUCKET
+
+
+def pair_counts(chunks: DataFrame, words: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows (bucket, chunk, pairs) with the pairs of each chunk and their counts; chunk is -1 where no answer is needed."""
+    buckets = buckets or n_buckets(chunks)
 
     def step(docs: pa.Table, words: pa.Table) -> pa.Table:
         chunk = Chunk(docs, words)
         at, key, _, n = chunk.pairs()
         df = chunk.of("df")
         own = (df[chunk.tokens[at]] == 1) | (chunk.contexts(df, 2)[at] == 1)
-        keep = ~own | (n > 1)
-        number = np.where(own, -1, docs["chunk"][0].as_py())
-        return pa.table({"key": key[keep], "chunk": number[keep].astype(np.int64), "n": n[keep].astype(np.int64)})
-
-    return chunks.select("chunk", "held_out", "tokens").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(step, "key bigint, chunk bigint, n bigint")
+        number = docs["chunk"][0].as_py()
+        bucket = (mix64(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        out: list[tuple[int, int, bytes]] = []
+        for named, some in ((number, np.flatnonzero(~own)), (-1, np.flatnonzero(own & (n > 1)))):
+            for place, rows in dealt(bucket[some]):
+                out.append((place, named, packed(key[some[rows]], n[some[rows]])))
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "chunk", "pairs"])
+
+    return chunks.select("chunk", "held_out", "tokens").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
+        step, "bucket bigint, chunk bigint, pairs binary"
+    )
 
 
 def pair_answers(pairs: DataFrame) -> DataFrame:
-    """(chunk, key, c) for the chunks that cannot know a pair's count, and once with ``first`` where it is to be drawn."""
-
-    def answers(key: np.ndarray, chunk: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, int)
-        sizes = np.diff(np.append(starts, len(key)))
-        c = np.repeat(np.add.reduceat(n, starts), sizes) if len(key) else n
-        first = np.zeros(len(key), bool)
-        first[starts] = True
-        first &= c > 1
-        keep = first | ((chunk >= 0) & ((c > 1) | ((c == 1) & (n == 0))))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (chunk, key, c, first)], names=["chunk", "key", "c", "first"]
-        )
+    """Rows (key, c) with ``first`` for the pairs to be drawn; else (chunk, pairs) for the chunks that cannot know the counts."""
 
-    def run(batches: Batches) -> Batches:
+    def step(rows: pa.Table) -> pa.Table:
         forget()
-        held = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            if not len(batch):
-                continue
-            now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
-            held = [x[cut:] for x in now]
-            yield answers(*[x[:cut] for x in now])
-        yield answers(*held)
-
-    return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(run, "chunk bigint, key bigint, c bigint, first boolean")
+        parts = [unpacked(b) for b in rows["pairs"].to_pylist()]
+        key, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        chunk = np.repeat(rows["chunk"].to_numpy(), [len(k) for k, _ in parts])
+        order = np.argsort(key, kind="stable")
+        key, n, chunk = key[order], n[order], chunk[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        sums = np.add.reduceat(n, starts)
+        c = np.repeat(sums, np.diff(np.append(starts, len(key))))
+        drawn = starts[sums > 1]
+        told = np.flatnonzero((chunk >= 0) & ((c > 1) | ((c == 1) & (n == 0))))
+        blobs = [(named, packed(key[told[some]], c[told[some]])) for named, some in dealt(chunk[told])]
+        none, no = [None] * len(drawn), [None] * len(blobs)
+        return pa.table([
+            pa.array([*none, *[named for named, _ in blobs]], pa.int64()),
+            pa.concat_arrays([pa.array(key[drawn]), pa.array(no, pa.int64())]),
+            pa.concat_arrays([pa.array(c[drawn]), pa.array(no, pa.int64())]),
+            pa.array(np.arange(len(drawn) + len(blobs)) < len(drawn)),
+            pa.array([*none, *[blob for _, blob in blobs]], pa.binary()),
+        ], names=["chunk", "key", "c", "first", "pairs"])
+
+    return pairs.groupBy("bucket").applyInArrow(step, "chunk bigint, key bigint, c bigint, first boolean, pairs binary")
 
 
 # The model
@@ -303,33 +357,84 @@ def word_table(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words, chunk_words
 
 
-def sweep(rows: DataFrame, words: DataFrame, settings: Settings, number: int) -> DataFrame:
-    """Draw the tables of all dishes: the words' new state."""
+def pair_blocks(pairs: DataFrame) -> DataFrame:
+    """The words of each block of pairs (block, at, id), the block's pairs in the first row; the rows are to be staged at once.
+
+    ``of_context`` and ``of_dish`` tell how many fewer tables than customers a word has in the
+    block's pairs, as context and as dish, when each dish has one table.
+    """
+
+    def block(number: int, key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key)
+        key, c = key[order], c[order]
+        ids, places = np.unique(np.concatenate([key >> 32, key & _MASK]), return_inverse=True)
+        u, w = places[:len(key)], places[len(key):]
+        raw = np.concatenate([u, w]).astype("<i4").tobytes() + c.astype("<i8").tobytes()
+        blob = zstandard.ZstdCompressor(level=1, write_checksum=False).compress(raw)
+        sums = [np.bincount(x, c - 1, len(ids)).astype(np.int64) for x in (u, w)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(ids), number)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids),
+            *map(pa.array, sums), pa.array([blob, *[None] * (len(ids) - 1)], pa.binary()),
+        ], names=["block", "at", "id", "of_context", "of_dish", "pairs"])
 
-    def draw(batches: Batches) -> Batches:
+    def run(batches: Batches) -> Batches:
         forget()
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            u, w, c, tables, p = [x.to_numpy() for x in batch.columns]
-            a = (CONCENTRATION + settings.discount * tables) * p.astype(float)
-            t = draw_tables(c, a, (u << 32) | w, number, settings.discount)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c - t)], names=["u", "w", "less"])
-
-    paired = words.filter("paired")
-    left = paired.select(F.col("id").alias("u"), F.element_at("tables", -1).alias("tables"))
-    right = paired.select(F.col("id").alias("w"), F.element_at("p", -1).alias("p"))
-    drawn = (
-        rows.join(left, "u").join(right, "w").select("u", "w", "c", "tables", "p")
-        .mapInArrow(draw, "u bigint, w bigint, less bigint")
+            held.append([x.to_numpy() for x in batch.columns])
+            size += len(batch)
+            if size >= BLOCK:
+                yield block(number, *map(np.concatenate, zip(*held)))
+                number, held, size = number + 1, [], 0
+        if size:
+            yield block(number, *map(np.concatenate, zip(*held)))
+
+    # ranges of the key keep the pairs of a context together
+    return pairs.select("key", "c").repartitionByRange("key").mapInArrow(
+        run, "block bigint, at int, id bigint, of_context bigint, of_dish bigint, pairs binary"
+    )
+
+
+def summed(fewer: DataFrame) -> DataFrame:
+    return fewer.groupBy("id").agg(F.sum("of_context").alias("of_context"), F.sum("of_dish").alias("of_dish"))
+
+
+def sweep(blocks: DataFrame, words: DataFrame, settings: Settings, number: int) -> DataFrame:
+    """Draw the tables of all dishes: how many fewer than customers each word has as context and as dish."""
+
+    def draw(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        order = np.argsort(members["at"].to_numpy())
+        ids, tables, p = (members[x].to_numpy()[order] for x in ("id", "tables", "p"))
+        raw = zstandard.ZstdDecompressor().decompress(pairs["pairs"][0].as_py())
+        n = len(raw) // 16
+        u, w = np.frombuffer(raw, "<i4", 2 * n).reshape(2, n)
+        c = np.frombuffer(raw, "<i8", n, 8 * n)
+        a = (CONCENTRATION + settings.discount * tables[u]) * p[w].astype(float)
+        less = c - draw_tables(c, a, (ids[u] << 32) | ids[w], number, settings.discount)
+        sums = [np.bincount(x, less, len(ids)).astype(np.int64) for x in (u, w)]
+        some = (sums[0] > 0) | (sums[1] > 0)
+        return pa.table([pa.array(x[some]) for x in (ids, *sums)], names=["id", "of_context", "of_dish"])
+
+    state = words.filter("paired").select(
+        "id", F.element_at("tables", -1).alias("tables"), F.element_at("p", -1).alias("p")
+    )
+    members = blocks.select("block", "at", "id").join(state, "id")
+    return summed(
+        blocks.filter("pairs IS NOT NULL").select(F.col("block").alias("named"), "pairs").groupBy("named")
+        .cogroup(members.groupBy("block")).applyInArrow(draw, "id bigint, of_context bigint, of_dish bigint")
     )
-    return with_state(words, drawn, settings, number)
 
 
-def with_state(words: DataFrame, drawn: DataFrame, settings: Settings, number: int) -> DataFrame:
+def with_state(
+    words: DataFrame, fewer: DataFrame, settings: Settings, number: int, lone: int
+) -> tuple[DataFrame, tuple[float, float]]:
     """Adds to the words' histories the tables of each context and the root's probability of each dish.
 
-    ``drawn`` tells how many fewer tables than customers the pairs have.  The root's seating is drawn, too.
+    ``fewer`` tells how many fewer tables than customers the words have.  The root's seating is drawn, too.
+    ``lone`` dishes that are not among ``words`` have one customer; the probabilities
+    of dishes without and with one customer are the second result.
     """
-    seats = words.agg(F.sum("seats")).first()[0] or 0
+    seats = (words.agg(F.sum("seats")).first()[0] or 0) + lone
     root_a = (CONCENTRATION + settings.root_discount * seats) * settings.base
 
     @F.arrow_udf("bigint")
@@ -337,12 +442,6 @@ def with_state(words: DataFrame, drawn: DataFrame, settings: Settings, number: i
         c = customers.to_numpy()
         return pa.array(draw_tables(c, np.full(len(c), root_a), ids.to_numpy(), 2000 + number, settings.root_discount))
 
-    # a pair counts for its context and for its dish: one aggregate and one join for both
-    sides = drawn.select(F.explode(F.array(
-        F.struct(F.col("u").alias("id"), F.col("less").alias("of_context"), F.lit(0).cast("bigint").alias("of_dish")),
-        F.struct(F.col("w").alias("id"), F.lit(0).cast("bigint").alias("of_context"), F.col("less").alias("of_dish")),
-    )).alias("s")).select("s.*")
-    fewer = sides.groupBy("id").agg(F.sum("of_context").alias("of_context"), F.sum("of_dish").alias("of_dish"))
     old = ["id", "c", "total", "paired", "tables", "p"]
     zero = F.lit(0).cast("bigint")
     state = words.filter("paired").select(*old).join(fewer, "id", "left").unionByName(
@@ -354,41 +453,58 @@ def with_state(words: DataFrame, drawn: DataFrame, settings: Settings, number: i
         F.array_append("tables", F.col("total") - F.coalesce("of_context", zero)).alias("tables"),
     ))
     customers, seats = state.agg(F.coalesce(F.sum("customers"), zero), F.coalesce(F.sum("seats"), zero)).first()
+    customers, seats = customers + lone, seats + lone
     more = (CONCENTRATION + settings.root_discount * seats) * settings.base
     p = (F.col("customers") - settings.root_discount * F.col("seats") + more) / (CONCENTRATION + customers)
-    return state.withColumn("p", F.array_append("p", p.cast("float")))
+    rare = more / (CONCENTRATION + customers), (1 - settings.root_discount + more) / (CONCENTRATION + customers)
+    return state.withColumn("p", F.array_append("p", p.cast("float"))), rare
 
 
-def fit(pairs: DataFrame, words: DataFrame, documents: int) -> tuple[Settings, DataFrame]:
-    """Settings, and per word id the last ``KEPT`` + 1 states: arrays ``tables`` and ``p``.
+#: Words with a state of their own: learned more than once, or the end token.
+OWN_STATE = f"(c > 1 OR hash = {END_HASH})"
+
+
+def fit_frequent(pairs: DataFrame, words: DataFrame, documents: int) -> tuple[Settings, DataFrame]:
+    """Settings, and the last ``KEPT`` + 1 states of the words of ``OWN_STATE`` by id: arrays ``tables`` and ``p``.
 
     ``pairs`` holds the counts above one of distinct pairs; a context's customers that they do not hold sit alone.
     """
-    rows = stage(pairs.select(
-        F.shiftright("key", 32).alias("u"), F.col("key").bitwiseAND(F.lit(_MASK)).alias("w"), "c"
-    ))
-    tokens, known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    in_pairs, twos = rows.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 2)).first()
+    blocks = stage(pair_blocks(pairs))
+    tokens, known, lone = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.expr(f"count_if(c = 1 AND NOT {OWN_STATE})")
+    ).first()
+    in_pairs, twos = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 2)).first()
     begin = words.sparkSession.createDataFrame([(BEGIN_ID, 0, documents)], "id bigint, c bigint, total bigint")
     total = F.when(F.col("hash") == END_HASH, F.lit(0)).otherwise(F.col("c")).cast("bigint").alias("total")
     # at first every dish has one table in its context
-    alone = rows.select("u", "w", (F.col("c") - 1).alias("less"))
-    kinds = rows.select(F.col("u").alias("id"), F.lit(0).cast("bigint").alias("less")).unionByName(
-        rows.select(F.col("w").alias("id"), (F.col("c") - 1).alias("less"))
-    ).groupBy("id").agg(F.sum("less").alias("less"))
-    state = stage(words.select("id", "c", total).unionByName(begin).join(kinds, "id", "left").select(
-        "id", "c", "total", F.isnotnull("less").alias("paired"), (F.col("c") - F.coalesce("less", F.lit(0))).alias("customers"),
+    alone = summed(blocks)
+    state = stage(words.filter(OWN_STATE).select("id", "c", total).unionByName(begin).join(alone, "id", "left").select(
+        "id", "c", "total", F.isnotnull("of_dish").alias("paired"),
+        (F.col("c") - F.coalesce("of_dish", F.lit(0))).alias("customers"),
         F.lit(1).alias("seats"), F.array().cast("array<bigint>").alias("tables"), F.array().cast("array<float>").alias("p"),
     ))
     ones, two = state.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
-    settings = Settings(tokens, known, documents, estimated(tokens - in_pairs, twos), estimated(ones, two))
+    settings = Settings(tokens, known, documents, estimated(tokens - in_pairs, twos), estimated(ones + lone, two))
+    rare = []
     for number in range(SWEEPS + 1):
         before = state
-        state = sweep(rows, state, settings, number) if number else with_state(state, alone, settings, 0)
+        fewer = sweep(blocks, state, settings, number) if number else alone
+        state, now = with_state(state, fewer, settings, number, lone)
+        rare.append(now)
         drop(before)
-    drop(rows)
+    drop(blocks)
     last = [F.slice(c, -KEPT - 1, KEPT + 1).alias(c) for c in ("tables", "p")]
-    return settings, state.select("id", "total", *last)
+    return replace(settings, rare=tuple(rare[-KEPT - 1:])), state.select("id", "total", *last)
+
+
+def fit(pairs: DataFrame, words: DataFrame, documents: int) -> tuple[Settings, DataFrame]:
+    """As :func:`fit_frequent`, with the states of all words."""
+    settings, state = fit_frequent(pairs, words, documents)
+    p = [F.when(F.col("c") > 0, F.lit(one)).otherwise(F.lit(none)).cast("float") for none, one in settings.rare]
+    rare = words.filter(f"NOT {OWN_STATE}").select(
+        "id", F.col("c").alias("total"), F.array_repeat("c", KEPT + 1).alias("tables"), F.array(*p).alias("p")
+    )
+    return settings, state.unionByName(rare)
 
 
 def predictive(
@@ -415,20 +531,26 @@ SCORES = (
 
 def scored(chunks: DataFrame, words: DataFrame, answers: DataFrame, settings: Settings, begin: tuple) -> DataFrame:
     """``SCORES`` of every text.  ``begin`` holds total, tables and p of the begin of a text."""
-    both = words.withColumn("key", F.lit(None).cast("bigint")).unionByName(
-        answers.filter("chunk >= 0").select("chunk", "key", "c"), allowMissingColumns=True
-    )
-    states = KEPT + 1
+    both = words.unionByName(answers.select("chunk", "pairs"), allowMissingColumns=True)
+    states = range(KEPT + 1)
 
     def step(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        pair_rows = replies.filter(replies["key"].is_valid())
-        chunk = Chunk(docs, replies.filter(replies["key"].is_null()).drop_columns("key"))
+        told = replies["pairs"].drop_null().to_pylist()
+        chunk = Chunk(docs, replies.filter(replies["pairs"].is_null()).drop_columns("pairs"))
         c_word = chunk.of("c")
         at, key, pair, c = chunk.pairs()
         # a pair without an answer has no other chunk's counts
-        told = pair_rows["key"].to_numpy()
-        c[np.searchsorted(key, told)] = pair_rows["c"].to_numpy()
-        word_total, word_tables, word_p = chunk.of("total"), chunk.of("tables", states), chunk.of("p", states)
+        for blob in told:
+            keys, counts = unpacked(blob)
+            c[np.searchsorted(key, keys)] = counts
+        # a word without a state of its own has that of all words of its count
+        rare = np.isnan(chunk.of("p0"))
+        word_total = c_word.copy()
+        word_total[END] = 0  # nothing follows the end
+        word_tables = np.stack([np.where(rare, c_word, chunk.of(f"tables{i}")) for i in states], axis=1)
+        word_p = np.stack([
+            np.where(rare, np.array(settings.rare[i], np.float32)[np.minimum(c_word, 1)], chunk.of(f"p{i}")) for i in states
+        ], axis=1)
         value = np.empty(len(chunk.tokens))
         known = pair >= 0
 
@@ -460,12 +582,30 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     """
     chunks = stage(tokens_of(docs, folds, fold))
     words, chunk_words = word_table(chunks)
-    answers = stage(pair_answers(pair_counts(chunks, chunk_words)))
+    buckets = n_buckets(chunks)
+    pairs = [
+        stage(pair_counts(part(chunks, "chunk", i), part(chunk_words, "chunk", i), buckets)) for i in range(PARTS)
+    ]
+    answers = union([stage(pair_answers(part(union(pairs), "bucket", i))) for i in range(PARTS)])
+    for staged in pairs:
+        drop(staged)
     documents = chunks.filter("not held_out").count()
-    settings, state = fit(answers.filter("first").select("key", "c"), words, documents)
-    begin = state.filter(F.col("id") == BEGIN_ID).select("total", "tables", "p").first()
-    with_states = chunk_words.join(state, "id")
-    return scored(chunks, with_states, answers, settings, tuple(begin))
+    settings, state = fit_frequent(answers.filter("first").select("key", "c"), words, documents)
+    drop(words)
+    begin = tuple(state.filter(F.col("id") == BEGIN_ID).select("total", "tables", "p").first())
+    columns = ["chunk", "number", "id", "c"]
+    own = (F.col("c") > 1) | (F.col("number") == END)
+    none = F.lit(None).cast("binary").alias("pairs")
+    flat = [F.col(c)[i].cast("double").alias(f"{c}{i}") for c in ("tables", "p") for i in range(KEPT + 1)]
+    scores = []
+    for i in range(PARTS):
+        some = part(chunk_words, "chunk", i)
+        with_states = some.filter(own).join(state, "id").select(*columns, none, *flat).unionByName(
+            some.filter(~own).select(*columns), allowMissingColumns=True
+        )
+        replies = part(answers.filter("not first"), "chunk", i)
+        scores.append(stage(scored(part(chunks, "chunk", i), with_states, replies, settings, begin)))
+    return union(scores)
 
 
 def perplexity(scores: DataFrame) -> Column:
