@@ -195,6 +195,20 @@ def test_ids_without_entry_are_refused():
     assert bpe.codec(RANKS, PATTERN).decode(pa.array([None, [], [65]], pa.list_(pa.int32())))[2].as_py() == bpe.codec(RANKS, PATTERN).bytes_of[65]
 
 
+def test_new_pieces_are_encoded_together(monkeypatch):
+    codec = bpe.Codec(RANKS, PATTERN)
+    rng = random.Random(3)
+    words = [("".join(rng.choices("abcdeiotrnsé世ß", k=rng.randint(1, 20)))).encode() for _ in range(3000)]
+    words = [w for w in words if len(w) <= bpe.LONGEST_TOGETHER]
+    want = [[codec.ranks[part] for part in bpe.merge(w, codec.ranks)] if w not in codec.ranks else [codec.ranks[w]] for w in words]
+    alone = [list(codec.encode_piece(w)) for w in words]
+    monkeypatch.setattr(bpe.Codec, "encode_piece", None)
+    monkeypatch.setattr(bpe, "TOGETHER", 700)
+    fresh = bpe.Codec(RANKS, PATTERN)
+    got = [np.frombuffer(ids, "<i4").tolist() for ids in fresh.encode_pieces(words)]
+    assert got == want == alone
+
+
 def test_pairs_stay_apart_as_merges_say():
     codec = bpe.codec(RANKS, PATTERN)
     rng = random.Random(2)
