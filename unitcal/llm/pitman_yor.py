@@ -104,6 +104,11 @@ def draw_tables(c: np.ndarray, a: np.ndarray, keys: np.ndarray, salt: int, disco
     """Tables of dishes with ``c`` customers, given ``a``."""
     logs = memory(("stirling", discount), lambda: stirling_logs(discount))
     out = np.minimum(c, 1).astype(np.int64)
+    several = np.flatnonzero(c > 1)
+    if len(several) < len(c):  # the others are not drawn
+        if len(several):
+            out[several] = draw_tables(c[several], a[several], keys[several], salt, discount)
+        return out
     u = uniform(keys, salt)
     a = np.maximum(a, 1e-300)
     for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
