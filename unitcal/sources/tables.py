@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,15 @@ from unitcal.operators.series import (
 )
 from unitcal.operators.splits import require_disjoint
 from unitcal.roles import CDM_SERIES
+from unitcal.session import stage
 from unitcal.sources.cdm import CDM_COLUMNS, TEXT_COLUMNS
 
+#: Bytes up to which the manifest reads a file as one value.
+WHOLE_FILE = 256 << 20
+#: Endings whose files Spark's line reader would unpack.
+PACKED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst", ".zstd", ".passthrough")
+MARK = b"\xef\xbb\xbf"
+
 
 class SchemaError(ValueError):
     """The columns of a table are not the expected ones."""
@@ -157,16 +166,25 @@ def file_manifest(
 ) -> DataFrame:
     """Path, size and md5 of every landed file; with ``expected`` also the comparison.
 
-    ``expected`` has ``file, md5``.  Each file is hashed in the task that reads it.
+    ``expected`` has ``file, md5``.  Each file is hashed in the task that reads it; a large
+    one passes through that task line by line, so no file must fit in memory.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.col("length").alias("n_bytes"),
-            F.md5("content").alias("md5"),
-        )
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    whole = min(WHOLE_FILE, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    large = [(r["path"], r["length"]) for r in listed.filter(F.col("length") > whole).select("path", "length").collect()]
+    packed = [p for p, _ in large if p.lower().endswith(PACKED)]
+    streamed = {p: n for p, n in large if p not in packed}
+    # this filter alone is pushed into the reader, so that it does not open what it must not read as a value
+    values = listed.filter(F.col("length") <= whole)
+    if packed:
+        values = values.unionByName(spark.read.format("binaryFile").load(packed))
+    files = values.select(
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.col("length").alias("n_bytes"),
+        F.md5("content").alias("md5"),
     )
+    if streamed:
+        files = files.unionByName(streamed_md5(spark, list(streamed), max(streamed.values())))
     if expected is None:
         return files
     wanted = expected.select("file", F.col("md5").alias("expected_md5"))
@@ -179,6 +197,69 @@ def file_manifest(
     )
 
 
+def streamed_md5(spark: SparkSession, paths: Sequence[str], largest: int) -> DataFrame:
+    """Size and md5 of files that are too large for one value: ``file, n_bytes, md5``.
+
+    Lines end at the byte 10 alone and keep their bytes.  A file is one split, as MD5 is a
+    chain over its bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = name = None
+        size = seen = 0
+        plain = marked = hashlib.md5()
+
+        def finished() -> pa.RecordBatch:
+            # the reader leaves out a byte order mark; the last line may have no end in the file
+            missing = size - seen
+            if missing not in (-1, 0, 2, 3):
+                raise ValueError(f"{name}: {seen} bytes read of {size}")
+            sums = marked if missing > 0 else plain
+            if missing in (0, 3):
+                sums.update(b"\n")
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([size], pa.int64()), pa.array([sums.hexdigest()])], names=["file", "n_bytes", "md5"]
+            )
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            lines = batch.column(3).cast(pa.large_binary())
+            ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset:]
+            data = memoryview(lines.buffers()[2] or b"")
+            starts = [0, *(np.flatnonzero(np.diff(ids)) + 1)] if len(ids) else []
+            for first, last in zip(starts, [*starts[1:], len(ids)]):
+                if ids[first] != file:
+                    if file is not None:
+                        yield finished()
+                    file, name, size, seen = ids[first], batch.column(1)[first].as_py(), batch.column(2)[first].as_py(), 0
+                    plain, marked = hashlib.md5(), hashlib.md5(MARK)
+                else:
+                    plain.update(b"\n")
+                    marked.update(b"\n")
+                # the end of the last line waits for the next one
+                part = data[ends[first]:ends[last] - 1]
+                plain.update(part)
+                marked.update(part)
+                seen += len(part) + 1
+        if file is not None:
+            yield finished()
+
+    one_split = {"spark.sql.files.maxPartitionBytes": str(largest), "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in one_split}
+    for k, v in one_split.items():
+        spark.conf.set(k, v)
+    try:
+        return stage(
+            spark.read.option("lineSep", "\n").text(list(paths)).select(
+                F.xxhash64("_metadata.file_path").alias("id"), "_metadata.file_name", "_metadata.file_size",
+                F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("line"),
+            ).mapInArrow(run, "file string, n_bytes bigint, md5 string")
+        )
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def require_manifest(manifest: DataFrame) -> DataFrame:
     """Fail loudly when a listed file is absent or has another checksum."""
     bad = manifest.filter(F.col("status").isin("absent", "mismatch")).first()
